@@ -22,7 +22,7 @@ def bound_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small by rows and by bytes; smaller settings of the session stay."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
-        now = int(str(spark.conf.get(key, "0")).lower().removesuffix("b") or 0)
+        now = int(str(spark.conf.get(key)).lower().removesuffix("b"))
         if not 0 < now <= most:
             spark.conf.set(key, str(most))
 
