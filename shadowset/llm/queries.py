@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shadowset.llm import decontam, htmltext, minhash, packing, quality, secrets
+from shadowset.llm import decontam, htmltext, minhash, packing, quality, secrets, warc
 from shadowset.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_report(table(spark, sf_dir, "pages"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
