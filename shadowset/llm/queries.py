@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shadowset.llm import decontam, htmltext, minhash, packing, quality, secrets, warc
+from shadowset.llm import chat, decontam, htmltext, minhash, packing, quality, secrets, warc
 from shadowset.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(chat.with_trap(table(spark, sf_dir, "conversations")))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
