@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shadowset.llm import chat, decontam, htmltext, minhash, packing, quality, secrets, warc
+from shadowset.llm import chat, decontam, htmltext, itq, minhash, packing, quality, secrets, warc
 from shadowset.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_report(table(spark, sf_dir, "pages"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
