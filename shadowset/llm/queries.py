@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shadowset.llm import chat, decontam, htmltext, itq, minhash, packing, quality, secrets, warc
+from shadowset.llm import chat, decontam, htmltext, itq, licenses, minhash, packing, quality, secrets, warc
 from shadowset.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
 
