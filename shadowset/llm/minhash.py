@@ -4,11 +4,13 @@
    128-bit digest of the whole set finds equal sets: they are one class, so copies cost nothing further.
 2. A class has BANDS * ROWS minima under functions (a*x + b) mod 2^32. Classes that agree on all rows of a band share a
    bucket. At a similarity of 0.8 a pair misses all buckets with probability (1 - 0.8^6)^40 = 5e-6.
-3. Pairs to compare come from buckets without listing all pairs of a large one. At first every bucket's members are
-   compared with its least one. Then, in turns, a bucket whose members are in several components gives pairs across
-   components: a bucket of at most SMALL members all of them, a larger one those of about HUBS members (four times as many
-   in every later turn, in a random order) with the members after them. So a large group of near copies collapses after a
-   star of comparisons, and nothing is capped: in the end every pair of a bucket is compared or already connected.
+3. Pairs to compare come from buckets without listing all pairs of a large one. First every bucket's members are compared
+   with its least one. Of buckets that then hold several components, those of at most SMALL members give all pairs across
+   components. In a larger one the members are first compared with the one that has the fewest shingles of its own (none
+   other among these classes has them), then those outside its largest component with all of other components, in turns of
+   HUBS, four times as many in every later turn, with components joined in between. What two sets have of their own bounds
+   their similarity; pairs that this bound rules out are not asked. So a large group of near copies collapses after two
+   stars of comparisons, and nothing is capped: in the end every pair of a bucket is compared, ruled out or connected.
 4. A pair whose signatures agree on fewer than ``floor`` of the rows is dropped (at the threshold that is 8 standard
    deviations below the mean); the rest is compared on the whole texts' shingle sets.
 5. Components come from large-star and small-star.
@@ -30,7 +32,7 @@ from shadowset.llm.common import arrow_map, dropped, stored
 from shadowset.llm.components import components
 
 BANDS, ROWS = 40, 6
-SMALL, HUBS = 24, 4
+SMALL, HUBS = 24, 64
 #: Words remembered in a worker, at most.
 WORDS = 400_000
 
@@ -121,15 +123,52 @@ def _order(doc):
     return F.shiftrightunsigned(F.xxhash64(F.lit(11), doc), 11) / float(1 << 53)
 
 
-def _asked(buckets: DataFrame, part: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a < b) to compare in a turn: those of a hub of this turn with later members of its bucket in other components."""
-    now = buckets.join(part, buckets.doc == part.node, "left").select("band", "doc", "n", F.coalesce("component", "doc").alias("part"))
-    share = lambda t: F.when(F.col("n") <= SMALL, F.lit(0.0 if t < 1 else 1.0)).otherwise(F.least(F.lit(1.0), F.lit(0.0 if t < 1 else float(HUBS * 4 ** (t - 1))) / F.col("n")))
-    mixed = now.filter(share(turn - 1) < 1).groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo != hi").select("band")
-    now = now.join(mixed, "band", "left_semi").withColumn("u", _order(F.col("doc")))
-    hub = now.filter((F.col("u") >= share(turn - 1)) & (F.col("u") < share(turn))).select("band", F.col("doc").alias("h"), F.col("part").alias("hp"), F.col("u").alias("hu"))
-    pairs = now.join(hub, "band").filter((F.col("part") != F.col("hp")) & ((F.col("u") > F.col("hu")) | ((F.col("u") == F.col("hu")) & (F.col("doc") > F.col("h")))))
-    return pairs.select(F.least("h", "doc").alias("a"), F.greatest("h", "doc").alias("b"))
+def _mixed_buckets(buckets: DataFrame, part: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components: band, doc, n, part, others (members outside the bucket's largest component), major (whether in it)."""
+    now = buckets.join(part, buckets.doc == part.node, "left").select(*(buckets[c] for c in buckets.columns if c not in ("part", "major", "others")), F.coalesce("component", "doc").alias("part"))
+    sizes = now.groupBy("band", "part").agg(F.count(F.lit(1)).alias("c"))
+    mixed = sizes.groupBy("band").agg(F.max_by("part", "c").alias("most"), (F.sum("c") - F.max("c")).alias("others")).filter("others > 0")
+    return now.join(mixed, "band").withColumn("major", F.col("part") == F.col("most")).drop("most")
+
+
+def _possible(x: str, y: str, percent: int):
+    """Whether two sets can have the similarity, given their sizes and how many members of each no other set has."""
+    most = F.least(F.col(f"n{x}") - F.col(f"u{x}"), F.col(f"n{y}") - F.col(f"u{y}"))
+    return 100 * most >= percent * (F.col(f"n{x}") + F.col(f"n{y}") - most)
+
+
+def _across(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a hub and a member of its bucket in another component. Both: band, doc, part, major, size, alone."""
+    side = lambda d, x: d.select("band", *(F.col(c).alias(f"{k}{x}") for c, k in (("doc", "d"), ("part", "p"), ("major", "m"), ("size", "n"), ("alone", "u"))))
+    pairs = side(members, "x").join(side(hubs, "y"), "band").filter((F.col("px") != F.col("py")) & _possible("x", "y", percent))
+    return pairs.select(F.least("dx", "dy").alias("a"), F.greatest("dx", "dy").alias("b"))
+
+
+def _alone(texts: DataFrame, total: int, words: int) -> DataFrame:
+    """doc, alone: how many shingles of each text no other one of texts has. total: about how many there are in all."""
+    slots = max(1, total // 1_000_000)
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            slot, doc, values = [], [], []
+            for d, t in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
+                s = shingles(t.as_py(), words)
+                at = s % np.uint64(slots)
+                for k in np.unique(at):
+                    slot.append(int(k)), doc.append(d), values.append(s[at == k].tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(doc, pa.int64()), pa.array(values, pa.binary())], names=["slot", "doc", "shingles"])
+
+        return each
+
+    def count(group: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        ends = np.cumsum([len(x) for x in sets])
+        single = np.concatenate(([0], np.cumsum(often[at] == 1)))
+        return pa.table({"doc": group.column("doc"), "alone": pa.array(single[ends] - single[ends - [len(x) for x in sets]], pa.int64())})
+
+    dealt = arrow_map(texts.select("doc", "text"), make, "slot long, doc long, shingles binary")
+    return dealt.groupBy("slot").applyInArrow(count, "doc long, alone long").groupBy("doc").agg(F.sum("alone").alias("alone"))
 
 
 def _near_signatures(pairs: DataFrame, classes: DataFrame, threshold: float, rows: int) -> DataFrame:
@@ -208,27 +247,56 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
     banded = classes.select("doc", F.explode("bands").alias("band"))
     counted = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("hub")).filter("n > 1")
     buckets, buckets_at = stored(banded.join(counted, "band"), "buckets")
-    links, part, turn, used = None, None, 0, []
-    while True:
-        # at first every bucket's members meet its least one: a large group of near copies becomes one component
-        pairs = buckets.filter("doc != hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")) if turn == 0 else _asked(buckets, part, turn)
+    percent = round(100 * threshold)
+    part = spark.createDataFrame([], "node long, component long")
+
+    def text_of(some: DataFrame) -> DataFrame:
+        return _texts(docs, classes.join(some, "doc", "left_semi"), repeated, words)
+
+    def compared(pairs: DataFrame, part: DataFrame) -> DataFrame:
+        """The components after comparing pairs."""
         pairs, pairs_at = stored(pairs.distinct(), "pairs")
-        if pairs.limit(1).count():
-            near, near_at = stored(_near_signatures(pairs, classes, threshold, BANDS * ROWS), "near")
-            needed = near.select(F.col("a").alias("doc")).unionByName(near.select(F.col("b").alias("doc"))).distinct()
-            some = _texts(docs, classes.join(needed, "doc", "left_semi"), repeated, words)
-            found = _alike(near, some, words, threshold)
-            links, at = stored(found if links is None else links.unionByName(found), "links")
-            used.append(at)
-            part = components(links)
-            dropped(spark, near_at)
-        dropped(spark, pairs_at)
-        turn += 1
-        if part is None or not buckets.filter((F.col("n") > 1) if turn == 1 else (F.col("n") > SMALL) & (F.col("n") > HUBS * 4 ** (turn - 2))).limit(1).count():
+        if not pairs.limit(1).count():
+            return part
+        near, near_at = stored(_near_signatures(pairs, classes, threshold, BANDS * ROWS), "near")
+        needed = near.select(F.col("a").alias("doc")).unionByName(near.select(F.col("b").alias("doc"))).distinct()
+        links, links_at = stored(_alike(near, text_of(needed), words, threshold), "links")
+        dropped(spark, pairs_at, near_at)
+        if not links.limit(1).count():
+            return part
+        for x in ("a", "b"):
+            links = links.join(part.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(x, F.coalesce(f"c{x}", x)).select("a", "b")
+        new = components(links)
+        moved = part.join(new.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        return stored(moved.unionByName(new.join(part, "node", "left_anti")), "parts")[0]
+
+    # every bucket's members meet its least one: a large group of near copies becomes few components
+    part = compared(buckets.filter("doc != hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")), part)
+    sized = classes.select("doc", F.col("n_shingles").alias("size"))
+    open_, _ = stored(_mixed_buckets(buckets.drop("hub"), part).join(sized, "doc"), "open")
+    small = open_.filter(F.col("n") <= SMALL).withColumn("alone", F.lit(0).cast("long"))
+    pairs = _across(small, small, percent)
+    large = open_.filter(F.col("n") > SMALL)
+    members = large.select("doc", "size").distinct().agg(F.count(F.lit(1)), F.sum("size")).first()
+    if members[0]:
+        # the rest of a large one meets the member that has least of its own, and pairs that what each has of its own rules out are not asked
+        alone, _ = stored(_alone(text_of(large.select("doc").distinct()), members[1], words), "alone")
+        large, _ = stored(large.join(alone, "doc"), "large")
+        center = large.groupBy("band").agg(F.min(F.struct("alone", "doc")).alias("c")).select("band", F.col("c.doc").alias("doc"))
+        pairs = pairs.unionByName(_across(large, large.join(center, ["band", "doc"], "left_semi"), percent))
+    part = compared(pairs, part)
+    turn = HUBS
+    while members[0]:
+        now, now_at = stored(_mixed_buckets(large, part), "open")
+        most = now.agg(F.max("others")).first()[0] or 0
+        if most:
+            hubs = now.filter(~F.col("major") & ((F.col("others") <= turn) | (_order(F.col("doc")) < turn / F.col("others"))))
+            part = compared(_across(now, hubs, percent), part)
+        dropped(spark, now_at)
+        if most <= turn:
             break
-    dropped(spark, buckets_at, *used)
-    if part is None:
-        part = classes.select(F.col("doc").alias("node"), F.col("doc").alias("component")).limit(0)
+        turn *= 4
+    dropped(spark, buckets_at)
     parts = classes.select("same", "of", "doc").join(part, F.col("doc") == F.col("node"), "left").select("same", "of", F.coalesce("component", "doc").alias("part"))
     least = parts.groupBy("part").agg(F.min("of").alias("component"))
     named = parts.join(least, "part").select("same", "component")
