@@ -41,7 +41,7 @@ ENDS = {
     "th": (("td", "th"), ("tr", "table")),
     "option": (("option",), ("select",)),
 }
-FURNITURE = frozenset("head nav footer aside form script style noscript template iframe object embed svg canvas button select input textarea menu dialog title link meta audio video map".split())
+FURNITURE = frozenset("head nav footer aside script style noscript template iframe object embed svg canvas button select input textarea menu dialog title link meta audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar alert alertdialog dialog".split())
 #: Words of classes and ids that mark furniture.
 MARKS = frozenset(
@@ -53,12 +53,12 @@ KEEP = frozenset("html body main article".split())
 
 
 def _furniture(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
-    """Whether an element is furniture by its kind, and by its class or id."""
+    """Whether an element is furniture by its kind, and whether it is unless it holds the article: forms, and by class or id."""
     if tag in FURNITURE or tag == "header" and not inside_article:
         return True, False
+    marked = tag == "form"
     if not attributes or tag in KEEP:
-        return False, False
-    marked = False
+        return False, marked
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):

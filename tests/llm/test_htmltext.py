@@ -18,6 +18,7 @@ TEXT = "First para with bold words & more text, long enough to matter. Second on
         f"<body><div><div class='menu'><a href=a>a</a><a href=b>b</a></div><div><section>{ARTICLE}</section></div></div><div id=comments><p>I think this is a very long reader comment, longer than all.</p></div>",
         f"<!-- <p>no</p> --><script>var t='<p>no</p>'</script><style>p{{}}</style><article>{ARTICLE}<section class='comments'>me too</section></article>",
         f"<body><article>{ARTICLE.replace('</p>', '')}</article><div hidden>no</div><div style='display: none'>no</div>",
+        f"<body><form id='page'><nav>x</nav><main>{ARTICLE}<form><label>Your name</label><input></form></main></form>",
     ],
 )
 def test_article_without_furniture(page):
