@@ -137,12 +137,12 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(by, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", rule: EntropyRule = EntropyRule()) -> DataFrame:
-    """docs with ``base`` and ``found`` (array<struct<kind, s, e>>; end exclusive, in code points): pattern spans, and all spans."""
+def scan_secrets(docs: DataFrame, text: str = "text", rule: EntropyRule = EntropyRule(), base: str = "base", found: str = "found") -> DataFrame:
+    """docs with two columns (array<struct<kind, s, e>>; end exclusive, in code points): pattern spans, and all spans. Columns of docs that have these names give way."""
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("base", "found")]
-    with_base = docs.select(*kept, _base_spans(whole).alias("base"))
-    return with_base.withColumn("found", F.concat("base", _entropy_spans(whole, rule)))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (base, found)]
+    with_base = docs.select(*kept, _base_spans(whole).alias(base))
+    return with_base.withColumn(found, F.concat(base, _entropy_spans(whole, rule)))
 
 
 def secret_report(docs: DataFrame, rule: EntropyRule = EntropyRule()) -> DataFrame:
@@ -161,8 +161,8 @@ def secret_report(docs: DataFrame, rule: EntropyRule = EntropyRule()) -> DataFra
 
 def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", rule: EntropyRule = EntropyRule()) -> DataFrame:
     """docs with every found span (overlapping ones joined) replaced by mask; n_chars, where there is such a column, follows. Texts without a span stay as they are."""
-    found = scan_secrets(docs, "text", rule)
-    spans = F.array_sort(F.transform("found", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+    found = scan_secrets(docs, "text", rule, "_base_spans", "_found_spans")
+    spans = F.array_sort(F.transform("_found_spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
     start = F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<string>").alias("a"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -173,8 +173,8 @@ def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", rule: EntropyRule =
     def finish(acc: Column) -> Column:
         return F.concat(F.array_join(acc["a"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
 
-    text = F.when(F.size("found") > 0, F.aggregate(spans, start, step, finish)).otherwise(F.col("text"))
+    text = F.when(F.size("_found_spans") > 0, F.aggregate(spans, start, step, finish)).otherwise(F.col("text"))
     out = found.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size("_found_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*(f"`{c}`" for c in docs.columns))

@@ -68,10 +68,11 @@ def test_windows_match_recount(spark):
 
 
 def test_redaction(spark):
-    docs = spark.createDataFrame([(1, 'a token = "abcdefgh12" b', 25), (2, "plain", 5), (3, None, None)], "doc_id long, text string, n_chars long")
+    docs = spark.createDataFrame([(1, 'a token = "abcdefgh12" b', 25, "x"), (2, "plain", 5, "y"), (3, None, None, None)], "doc_id long, text string, n_chars long, found string")
+    assert secrets.redact_secrets(docs).dtypes == docs.dtypes
     got = {r.doc_id: r for r in secrets.redact_secrets(docs).collect()}
     assert got[1].text == 'a [SECRET]" b' and got[1].n_chars == len(got[1].text)
-    assert got[2].text == "plain" and got[3].text is None and got[3].n_chars is None
+    assert got[1].found == "x" and got[2].text == "plain" and got[3].text is None and got[3].n_chars is None
 
 
 def test_empty_table(spark):
