@@ -7,9 +7,9 @@
 3. Pairs to compare come from buckets without listing all pairs of a large one. First every bucket's members are compared
    with its least one. Of buckets that then hold several components, those of at most SMALL members give all pairs across
    components. In a larger one the members are first compared with the one that has the fewest shingles of its own (none
-   other among these classes has them), then those outside its largest component with all of other components, in turns of
-   HUBS, four times as many in every later turn, with components joined in between. What two sets have of their own bounds
-   their similarity; pairs that this bound rules out are not asked. So a large group of near copies collapses after two
+   other among these classes has them). Members that are still outside a bucket's largest component are compared with its
+   other components in blocks of bounded size, and only links come out of a block. What two sets have of their own bounds
+   their similarity; pairs that this bound rules out are not compared. So a large group of near copies collapses after two
    stars of comparisons, and nothing is capped: in the end every pair of a bucket is compared, ruled out or connected.
 4. A pair whose signatures agree on fewer than ``floor`` of the rows is dropped (at the threshold that is 8 standard
    deviations below the mean); the rest is compared on the whole texts' shingle sets.
@@ -32,7 +32,7 @@ from shadowset.llm.common import arrow_map, dropped, stored
 from shadowset.llm.components import components
 
 BANDS, ROWS = 40, 6
-SMALL, HUBS = 24, 64
+SMALL = 24
 #: Words remembered in a worker, at most.
 WORDS = 400_000
 
@@ -118,11 +118,6 @@ def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS
     return arrow_map(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, SIGNED)
 
 
-def _order(doc):
-    """A fixed random number in [0, 1) for each class: the order in which members of a bucket become hubs."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(11), doc), 11) / float(1 << 53)
-
-
 def _mixed_buckets(buckets: DataFrame, part: DataFrame) -> DataFrame:
     """Members of buckets that hold several components: band, doc, n, part, others (members outside the bucket's largest component), major (whether in it)."""
     now = buckets.join(part, buckets.doc == part.node, "left").select(*(buckets[c] for c in buckets.columns if c not in ("part", "major", "others")), F.coalesce("component", "doc").alias("part"))
@@ -144,6 +139,53 @@ def _across(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("dx", "dy").alias("a"), F.greatest("dx", "dy").alias("b"))
 
 
+#: Members of a block: of those outside a bucket's largest component, and of all.
+FEW, MANY = 256, 1024
+
+
+def _blocks(now: DataFrame, payload: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between the members outside each bucket's largest component and its members in other components.
+
+    now: of _mixed_buckets, with alone. payload: doc, size, bands, text. A task has one block of either kind, finds the links
+    on whole shingle sets and gives nothing but links; a pair that shares several buckets is compared in the first of them.
+    """
+    few, many = (F.greatest(F.ceil(F.col(c) / n), F.lit(1)).cast("int") for c, n in (("others", FEW), ("n", MANY)))
+    own = lambda k: F.pmod(F.xxhash64("doc"), k).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
+    columns = ("band", "doc", "part", "major", "alone")
+    hubs = now.filter(~F.col("major")).select(*columns, F.lit(True).alias("hub"), own(few).alias("f"), every(many).alias("m"))
+    rest = now.select(*columns, F.lit(False).alias("hub"), every(few).alias("f"), own(many).alias("m"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        hub = group.column("hub").to_numpy()
+        doc, part, size, alone, major = (group.column(c).to_numpy() for c in ("doc", "part", "size", "alone", "major"))
+        bands = np.array(group.column("bands").to_pylist(), np.int64)
+        text, known = group.column("text"), {}
+
+        def of(i: int) -> np.ndarray:
+            if doc[i] not in known:
+                known[doc[i]] = shingles(text[i].as_py(), words)
+            return known[doc[i]]
+
+        at = int(np.flatnonzero(bands[0] == group.column("band")[0].as_py())[0])
+        members, a, b = np.flatnonzero(~hub), [], []
+        for i in np.flatnonzero(hub):
+            most = np.minimum(size[i] - alone[i], size[members] - alone[members])
+            good = (part[members] != part[i]) & (major[members] | (doc[members] > doc[i])) & (100 * most >= percent * (size[i] + size[members] - most))
+            some = members[good]
+            some = some[(bands[some, : at + 1] == bands[i, : at + 1]).argmax(axis=1) == at] if len(some) else some
+            x = of(i)
+            for j in some:
+                y = of(j)
+                where = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                both = int((x[where] == y).sum())
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    a.append(min(doc[i], doc[j])), b.append(max(doc[i], doc[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return hubs.unionByName(rest).join(payload, "doc").groupBy("band", "f", "m").applyInArrow(compare, "a long, b long")
+
+
 def _alone(texts: DataFrame, total: int, words: int) -> DataFrame:
     """doc, alone: how many shingles of each text no other one of texts has. total: about how many there are in all."""
     slots = max(1, total // 1_000_000)
@@ -260,8 +302,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
             return part
         near, near_at = stored(_near_signatures(pairs, classes, threshold, BANDS * ROWS), "near")
         needed = near.select(F.col("a").alias("doc")).unionByName(near.select(F.col("b").alias("doc"))).distinct()
-        links, links_at = stored(_alike(near, text_of(needed), words, threshold), "links")
+        part = joined(_alike(near, text_of(needed), words, threshold), part)
         dropped(spark, pairs_at, near_at)
+        return part
+
+    def joined(links: DataFrame, part: DataFrame) -> DataFrame:
+        """The components with links added."""
+        links, _ = stored(links, "links")
         if not links.limit(1).count():
             return part
         for x in ("a", "b"):
@@ -285,17 +332,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
         center = large.groupBy("band").agg(F.min(F.struct("alone", "doc")).alias("c")).select("band", F.col("c.doc").alias("doc"))
         pairs = pairs.unionByName(_across(large, large.join(center, ["band", "doc"], "left_semi"), percent))
     part = compared(pairs, part)
-    turn = HUBS
-    while members[0]:
+    if members[0]:
         now, now_at = stored(_mixed_buckets(large, part), "open")
-        most = now.agg(F.max("others")).first()[0] or 0
-        if most:
-            hubs = now.filter(~F.col("major") & ((F.col("others") <= turn) | (_order(F.col("doc")) < turn / F.col("others"))))
-            part = compared(_across(now, hubs, percent), part)
+        if now.limit(1).count():
+            payload = text_of(now.select("doc").distinct()).join(classes.select("doc", F.col("n_shingles").alias("size"), "bands"), "doc")
+            part = joined(_blocks(now.drop("size"), payload, words, percent), part)
         dropped(spark, now_at)
-        if most <= turn:
-            break
-        turn *= 4
     dropped(spark, buckets_at)
     parts = classes.select("same", "of", "doc").join(part, F.col("doc") == F.col("node"), "left").select("same", "of", F.coalesce("component", "doc").alias("part"))
     least = parts.groupBy("part").agg(F.min("of").alias("component"))

@@ -57,7 +57,8 @@ def corpus(n, seed, group=30):
 @pytest.mark.parametrize("small", [24, 3])
 def test_against_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(minhash, "SMALL", small)
-    monkeypatch.setattr(minhash, "HUBS", 2 if small == 3 else 64)
+    monkeypatch.setattr(minhash, "FEW", 2 if small == 3 else 256)
+    monkeypatch.setattr(minhash, "MANY", 5 if small == 3 else 1024)
     docs = corpus(40, small) + [(1, None), (4, ""), (7, "  \n"), (10, "one two"), (13, "ONE two"), (16, "x " * 30000)]
     d = spark.createDataFrame([(*r, 0) for r in docs], "doc_id long, text string, n_shingles int").repartition(3)
     got = sorted(map(tuple, minhash.near_duplicates(d, 4).collect()))
