@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bounds of one Arrow batch handed to Python, so that long texts cannot fill a worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
@@ -48,6 +49,14 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, st
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def keyed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df, stored with a key of its own for each row, and the name of the key's column."""
+    key = "_row"
+    while key.lower() in {c.lower() for c in df.columns}:
+        key += "_"
+    return stored(df.withColumn(key, F.monotonically_increasing_id()), name)[0], key
+
+
 def dropped(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that no returned plan reads."""
     jvm = spark.sparkContext._jvm

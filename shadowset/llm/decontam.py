@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shadowset.llm.common import arrow_map, bound_batches, stored
+from shadowset.llm.common import arrow_map, bound_batches, keyed, stored
 
 WINDOW = 13
 BLOCK_CHARS = 4 << 20
@@ -307,7 +307,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     )
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones. Rows with a null doc_id stay."""
-    bad = contamination(docs, benchmark).filter("contaminated and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, null_ids: bool = False) -> DataFrame:
+    """docs without the contaminated rows; of a repeated doc_id only those go. Rows with a null doc_id stay, unless null_ids: then they are judged as all others."""
+    rows, key = keyed(docs, "rows")
+    asked = rows if null_ids else rows.filter("doc_id is not null")
+    bad = contamination(asked.select(F.col(key).alias("doc_id"), "text"), benchmark).filter("contaminated").select(F.col("doc_id").alias(key))
+    return rows.join(bad, key, "left_anti").select(*(f"`{c}`" for c in docs.columns))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shadowset.llm.common import arrow_map, dropped, stored
+from shadowset.llm.common import arrow_map, dropped, keyed, stored
 from shadowset.llm.components import components
 
 BANDS, ROWS = 40, 6
@@ -348,6 +348,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
 
 
 def deduplicated(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """docs with one document of each group (that with the least id). Rows with a null doc_id stay; of a repeated doc_id one row stays."""
-    gone = near_duplicates(docs, words, threshold).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """docs with one row of each group (one with the least id; rows with a null doc_id come last).
+
+    Every row is a document of its own, also where ids repeat or are null. Texts that are null or without words stay.
+    """
+    rows, key = keyed(docs, "rows")
+    near = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), words, threshold)
+    named = near.select(F.col("doc_id").alias(key), "component_id").join(rows.select(key, F.col("doc_id").cast("long").alias("id")), key)
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", F.col(key).alias("row"))).alias("x")).select(F.col("x.row").alias(key))
+    return rows.join(kept, key, "left_semi").select(*(f"`{c}`" for c in docs.columns))

@@ -83,6 +83,16 @@ def test_stage_keeps_clean_documents(spark):
     assert sorted((r.doc_id for r in out.collect()), key=str) == sorted((i for i, _ in docs if i is None or i not in bad), key=str)
 
 
+def test_stage_judges_each_row(spark):
+    bad = " ".join(f"q{i}" for i in range(20))
+    docs = [(5, "a b c d e f"), (5, "a b c d e f"), (5, bad), (3, bad), (9, "a b c"), (None, bad), (None, "a b c")]
+    d, b = frames(spark, docs, [(1, bad)])
+    clean = sorted([docs[0], docs[1], docs[4], docs[6]], key=str)
+    rows = lambda out: sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert rows(decontam.decontaminated(d, b, null_ids=True)) == clean
+    assert rows(decontam.decontaminated(d, b)) == sorted([*clean, docs[5]], key=str)
+
+
 def test_proximity(spark):
     docs = [(1, "a b c d e"), (2, "a x x x x x c"), (3, "c a"), (4, "a"), (5, "c x a c")]
     d = spark.createDataFrame(docs, "doc_id long, text string")

@@ -72,6 +72,14 @@ def test_repeated_ids(spark):
     assert got == [(3, 3, 3, True), (5, 3, 3, False), (5, 3, 5, True), (5, 3, 5, True), (9, 3, 5, False)]
 
 
+def test_stage_with_repeated_and_null_ids(spark):
+    docs = [(5, "a b c d e f"), (5, "a b c d e f"), (5, "g h i j k l"), (3, "g h i j k l"), (9, "a b c d e f"), (None, "a b c d e f"), (None, "m n o p q r"), (None, "m n o p q r"), (4, None), (None, "")]
+    d = spark.createDataFrame([(*r, i) for i, r in enumerate(docs)], "doc_id long, text string, _row int").repartition(3)
+    out = minhash.deduplicated(d, 4)
+    assert out.dtypes == d.dtypes
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(5, docs[0][1]), (3, docs[2][1]), (None, docs[6][1]), (4, None), (None, "")], key=str)
+
+
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(d).count() == 0 and minhash.deduplicated(d).count() == 0
