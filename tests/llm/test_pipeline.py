@@ -1,5 +1,6 @@
 import random
 import re
+import zlib
 
 from tokenizers import Tokenizer
 
@@ -67,3 +68,12 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert out.dtypes == d.dtypes
         assert not out.filter("n_chars != length(text)").count()
     assert re.fullmatch("[a-z_]+", corpus_pipeline.STAGES[0][0])
+
+
+def test_result_has_the_token_ids(spark, tmp_path):
+    docs, items, labels = fixture()
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows, schema in (("documents", docs, columns), ("benchmark", items, "item_id long, text string"), ("labels", labels, "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
