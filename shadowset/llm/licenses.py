@@ -5,10 +5,11 @@ words around) of each, multinomial logistic regression over the one- and two-wor
 "unknown" as classes, and a temperature fitted on variants that were held out, so that probabilities are honest.
 
 *Scanning* is SQL expressions on the row at hand. A text's paragraphs are its lines, long ones cut at sentence ends. Those
-with a word that licence notices are made with are scored: n-gram weights are summed per class, softmax gives probabilities.
+with a word that licence notices are made with are scored; all others are unknown for certain, because what else the notices
+have cannot lift a family over "unknown". N-gram weights are summed per class, softmax gives probabilities.
 A family with at least ``least`` probability is confirmed by comparing the paragraph's n-grams with the family's notices: the
 largest share of a notice's (or, for a shorter paragraph, the paragraph's) n-grams must reach ``alike``. What is not
-confirmed is unknown.
+confirmed is unknown. The word "mit" alone names nothing (it is a common German word), so it is scored but not confirmed.
 
 Defined results: null, empty and notice-free texts have no findings; every input row gives one row, repeated rows included;
 a null doc_id stays null; extra columns are ignored; long texts are scanned whole; families of equal probability go by name.
@@ -52,8 +53,24 @@ OTHERS = [
 ]
 
 CLASSES = (*sorted(NOTICES), "unknown")
+# The notices' words but common ones. Without any of these no n-grams can lift a family over "unknown" (tested).
+LIFTING = """1.0 2 2.0 2.1 2020 3 3.0 4.0 affero agpl all any apache associated attribution author available binary bsd can cc cc0 charge
+clause code commercial commons compliance conditions content copy copyright creative distributed documentation domain example except
+extent file files following form forms foundation free general gnu governed gpl granted has hereby identifier inc international into
+later law lesser lgpl library license licensed may met mit modification modify mozilla mpl nc noncommercial not obtaining or part
+permission permitted person possible prior program provided public publication published publisher redistribute redistribution released
+reproduced reserved rights sa sharealike shared software source spdx style subject terms text this under unencumbered unlicense use v v2
+version waived without work written you""".split()
+
+
+def _any(words: list[str]) -> str:
+    """A pattern for one of the words, by first characters."""
+    heads = sorted({w[0] for w in words})
+    return "|".join(f"{h}(?:{'|'.join(re.escape(w[1:]) for w in words if w[0] == h)})" for h in heads)
+
+
 #: A paragraph is scored if it has one of these.
-GATE = r"(?i)licen[cs]e|copyright|all rights|rights reserved|permission|redistribut|public domain|creative commons|spdx|waived|\bcc[ -]by|no part of"
+GATE = r"(?i)licen[cs]e|copyright|all rights|rights reserved|permission|redistribut|public domain|creative commons|spdx|waived|\bcc[ -]by|no part of" + rf"|(?<![a-z0-9])(?:{_any(LIFTING)})(?![a-z0-9])"
 WORD = r"[A-Za-z0-9][A-Za-z0-9.+]*[A-Za-z0-9]|[A-Za-z0-9]"
 LONG = 600
 
@@ -152,7 +169,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", least: float = 0.5, alike
         probability = 1 / F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
         share = lambda n: F.size(F.array_intersect(n, x["grams"])) / F.greatest(F.least(F.size(n), F.size(x["grams"])), F.lit(1))
         similar = F.coalesce(F.array_max(F.transform(F.try_element_at(notices, family), share)), F.lit(0.0))
-        return F.struct(family.alias("family"), probability.alias("probability"), similar.alias("similarity"), ((family != "unknown") & (probability >= least) & (similar >= alike)).alias("confirmed"), x["paragraph"].alias("paragraph"))
+        return F.struct(family.alias("family"), probability.alias("probability"), similar.alias("similarity"), ((family != "unknown") & (probability >= least) & (similar >= alike) & (x["grams"] != F.array(F.lit("mit")))).alias("confirmed"), x["paragraph"].alias("paragraph"))
 
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     none = F.expr("array()").cast("array<struct<family:string,probability:double,similarity:double,confirmed:boolean,paragraph:string>>")

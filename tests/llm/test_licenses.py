@@ -60,3 +60,28 @@ def test_rows_and_empty(spark):
     rows = sorted(map(tuple, licenses.license_report(d).collect()), key=str)
     assert len(rows) == 3 and rows[2][4] == "proprietary" and rows[0] == (1, 0, 0, "", "unknown", None)
     assert licenses.license_report(d.limit(0)).count() == 0
+
+
+def test_the_gate_loses_nothing():
+    weights, bias = licenses.model()
+    rest = [v for g, v in weights.items() if not set(g.split()) & set(licenses.LIFTING)]
+    for k in range(len(bias) - 1):
+        assert bias[k] - bias[-1] + sum(max(0, v[k] - v[-1]) for v in rest) < 0
+    for w in licenses.LIFTING:
+        assert re.search(licenses.GATE, f"a {w.upper()}, b") and re.search(licenses.GATE, w)
+
+
+def test_same_as_plain_version_without_gate(spark):
+    rnd = random.Random(4)
+    known = sorted(licenses.model()[0])
+    rows = ["Distributed under the GPL v2.", "Code: GPLv3 or later", "Available under Apache-2.0", "Released under BSD-3-Clause", "CC0 1.0", "the of and in", "Mit dem Zug.", "Mit.", "MIT!!", "GNU GPL v2", "MPL 2.0"]
+    rows += [" ".join(rnd.choices(known, k=rnd.randint(1, 6))) for _ in range(300)]
+    got = {r.doc_id: [(f.family, round(f.probability, 9), f.confirmed) for f in r.findings] for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(rows):
+        family, probability = licenses.classify(t)
+        g = set(licenses.grams(t))
+        similar = max((len(g & (n := set(licenses.grams(x)))) / max(1, min(len(n), len(g))) for x in licenses.NOTICES.get(family, ())), default=0.0)
+        want = (family, round(probability, 9), family != "unknown" and probability >= 0.5 and similar >= 0.6 and g != {"mit"})
+        assert got[i] == [want] or (family == "unknown" and got[i] == []), t
+    assert [got[i][0][0] for i in (0, 2, 3)] == ["gpl", "apache", "bsd"] and got[0][0][2]
+    assert not got[7][0][2] and not got[8][0][2]
