@@ -1,7 +1,8 @@
 """Gaussian copula models of tables: fitted by aggregates, sampled as column expressions over spark.range.
 
-A model holds per column a marginal (quantiles of numbers and times, intervals of frequent values of anything else) and the
-correlations of normal scores. It is bounded by the number of columns and the parameters here, not by the rows. Sampling
+A model holds per column a marginal (quantiles of numbers and times, the intervals of all values of anything else) and the
+correlations of normal scores. On the driver it is bounded by the number of columns and the parameters here, not by the rows:
+the intervals of more than VALUES values are a table, which scores and draws are joined with. Sampling
 draws independent normals by row id, mixes them with the Cholesky factor and maps them through the marginals, all in the JVM.
 
 Constraints: of an ordered date pair the low column and the non-negative gap are modelled; the columns of a dimension group
@@ -22,6 +23,8 @@ from pyspark.sql import types as T
 
 from shadowset.functions import random as R
 from shadowset.models import Analysis, DateOrder, DimensionGroup
+from shadowset.operators.stitch import BUCKETS
+from shadowset.plans.ranking import with_prefix, with_rank
 
 QUANTILES, VALUES, ACCURACY = 101, 1000, 10_000
 _NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
@@ -48,7 +51,7 @@ def normal_quantile(p: Column) -> Column:
 
 @dataclass
 class Marginal:
-    """nulls: share of NULL. Numbers have quantiles; others have values with cumulative shares of the known ones."""
+    """nulls: share of NULL. Numbers have quantiles; others have values with cumulative shares of the known ones, or spans: a table of all values, v, lo, hi."""
 
     type: T.DataType
     nulls: float = 0.0
@@ -56,6 +59,7 @@ class Marginal:
     values: list = field(default_factory=list)
     cumulative: list[float] = field(default_factory=list)
     decimals: int | None = None
+    spans: DataFrame | None = None
 
     @property
     def numeric(self) -> bool:
@@ -136,7 +140,12 @@ def fit(df: DataFrame, orders: list[DateOrder] = (), groups: list[DimensionGroup
             m.decimals = next((d for d in (0, 2) if row.get(f"d{d}_{i}")), None)
         else:
             known = work.filter(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-            top = known.orderBy(F.desc("n"), F.col("v").cast("string")).limit(VALUES).collect()
+            order = [F.desc("n"), F.col("v").cast("string")]
+            top = known.orderBy(*order).limit(VALUES + 1).collect()
+            if len(top) > VALUES:
+                sums, n = with_prefix(with_rank(known, order, "i"), "i", "n", "lo"), row[f"k{i}"]
+                m.spans = sums.select("v", (F.col("lo") / n).alias("lo"), ((F.col("lo") + F.col("n")) / n).alias("hi"))
+                continue
             total = sum(r["n"] for r in top)
             m.values = [r["v"] for r in top]
             m.cumulative = list(np.cumsum([r["n"] / total for r in top])) if total else []
@@ -155,9 +164,10 @@ def _score(c: str, m: Marginal) -> Column:
     elif m.values:
         shares = np.diff([0, *m.cumulative])
         middle = np.cumsum(shares) - shares / 2
-        u = F.lit(1 - 1e-3)
-        for v, x in list(zip(m.values, middle, strict=True))[:20][::-1]:
-            u = F.when(F.to_json(F.struct(col.alias("v"))) == F.to_json(F.struct(_literal(v, m.type).alias("v"))), float(x)).otherwise(u)
+        named = lambda v: F.to_json(F.struct(v.alias("v")))
+        u = F.try_element_at(F.map_from_arrays(F.array(*(named(_literal(v, m.type)) for v in m.values)), F.array(*map(F.lit, map(float, middle)))), named(col))
+    elif m.spans is not None:
+        u = F.col(f"`_middle_{c}`")
     else:
         return F.lit(None).cast("double")
     return F.when(col.isNotNull(), normal_quantile(F.greatest(F.least(u, F.lit(1 - 1e-4)), F.lit(1e-4))))
@@ -174,6 +184,10 @@ def _literal(v, kind: T.DataType) -> Column:
 def _factor(work: DataFrame, columns: list[str], marginals: dict[str, Marginal]) -> np.ndarray:
     k = len(columns)
     corr = np.eye(k)
+    for c in columns:
+        if (spans := marginals[c].spans) is not None:
+            middle = spans.select(F.col("v").alias("_v"), ((F.col("lo") + F.col("hi")) / 2).alias(f"_middle_{c}"))
+            work = work.join(middle, work[f"`{c}`"] == middle["_v"], "left").drop("_v")
     scored = work.select(*(_score(c, marginals[c]).alias(f"s{i}") for i, c in enumerate(columns)))
     pairs = list(itertools.combinations(range(k), 2))
     for at in range(0, len(pairs), 64):
@@ -201,16 +215,28 @@ def _value(u: Column, m: Marginal) -> Column:
     return F.element_at(F.array(*(_literal(v, m.type) for v in m.values)), i)
 
 
+def _drawn(df: DataFrame, u: str, spans: DataFrame, name: str) -> DataFrame:
+    """df with the value whose span holds u, by an equi-join on cells of [0, 1)."""
+    bucket = lambda x: F.floor(x * BUCKETS)
+    lo, hi = bucket(F.col("lo")), F.ceil(F.col("hi") * BUCKETS) - 1
+    cells = spans.select(F.col("v").alias(name), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(F.sequence(lo, F.greatest(lo, hi))).alias("_b"))
+    asked = df.withColumn(u, F.greatest(F.least(F.col(u), F.lit(1 - 2.0**-53)), F.lit(0.0))).withColumn("_b", bucket(F.col(u)))
+    return asked.join(cells, "_b").filter(f"{u} >= _lo and {u} < _hi").drop("_b", "_lo", "_hi")
+
+
 def sample(rows: DataFrame, row: str, model: Model, seed: int, stream: str) -> DataFrame:
     """rows (with a row id) plus the model's columns, in the order of the source."""
     k = len(model.columns)
     z = rows.select("*", *(R.normal(F.col(row), seed, f"{stream}/{c}").alias(f"_z{i}") for i, c in enumerate(model.columns)))
     mixed = [sum((F.col(f"_z{j}") * float(model.factor[i, j]) for j in range(i + 1) if abs(model.factor[i, j]) > 1e-12), F.lit(0.0)) for i in range(k)]
     out = z.select(*(f"`{c}`" for c in rows.columns), *(normal_cdf(m).alias(f"_u{i}") for i, m in enumerate(mixed)))
+    for i, c in enumerate(model.columns):
+        if (spans := model.marginals[c].spans) is not None:
+            out = _drawn(out, f"_u{i}", spans, f"_value{i}")
     drawn = []
     for i, c in enumerate(model.columns):
         m = model.marginals[c]
-        value = _value(F.col(f"_u{i}"), m)
+        value = _value(F.col(f"_u{i}"), m) if m.spans is None else F.col(f"_value{i}")
         drawn.append((F.when(R.uniform(F.col(row), seed, f"{stream}/{c}/null") >= m.nulls, value) if m.nulls > 0 else value).alias(c))
     out = out.select(*(f"`{c}`" for c in rows.columns), *drawn)
     for g, names in model.groups.items():

@@ -167,3 +167,20 @@ def test_groups_and_small_tables(spark):
     out = synthesize.synthesize(a, {"t": df}, 20.0, seed=5, warn=said.append)["t"]
     assert set(map(tuple, out.collect())) <= {("a", 1), ("b", 2)} and out.count() == 40 and any("too few" in x for x in said)
     assert math.isclose(validate.expected_rows(100, 0.29), 28)
+
+
+def test_every_category_has_a_score_of_its_own(spark):
+    df = spark.range(60).select(F.col("id").cast("string").alias("c"), F.explode(F.sequence(F.lit(0), 60 - F.col("id"))).alias("n"))
+    m = copula.fit(df).marginals["c"]
+    assert df.select(copula._score("c", m).alias("s")).distinct().count() == 60
+
+
+def test_no_category_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(copula, "VALUES", 40)
+    df = spark.range(6000).select((F.col("id") % 70).alias("x"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("v"), F.col("id") % 70)).alias("c"))
+    df = df.select(F.when(F.col("c").isNotNull(), F.length("c") + F.col("x")).alias("x"), "c")
+    want = {r.c for r in df.filter("c is not null").select("c").distinct().collect()}
+    out = copula.sample(spark.range(5000).withColumnRenamed("id", "_row"), "_row", copula.fit(df), 3, "t")
+    rows = out.collect()
+    assert len(rows) == 5000 and len({r._row for r in rows}) == 5000 and {r.c for r in rows} - {None} == want
+    assert abs(sum(r.c is None for r in rows) / 5000 - 0.25) < 0.03
