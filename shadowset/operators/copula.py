@@ -1,9 +1,10 @@
 """Gaussian copula models of tables: fitted by aggregates, sampled as column expressions over spark.range.
 
-A model holds per column a marginal (quantiles of numbers and times, the intervals of all values of anything else) and the
-correlations of normal scores. On the driver it is bounded by the number of columns and the parameters here, not by the rows:
-the intervals of more than VALUES values are a table, which scores and draws are joined with. Sampling
+A model holds per column a marginal (quantiles of numbers and times, a table of the intervals of all values of anything else)
+and the correlations of normal scores. On the driver it is bounded by the number of columns and the parameters here, not by
+the rows: scores and draws are joins with the intervals, which stay a distributed table above VALUES values. Sampling
 draws independent normals by row id, mixes them with the Cholesky factor and maps them through the marginals, all in the JVM.
+A column of one value, of none or of one row has no spread and so no correlation.
 
 Constraints: of an ordered date pair the low column and the non-negative gap are modelled; the columns of a dimension group
 are modelled as one composite value, so that only combinations that exist are drawn. Numbers are interpolated between
@@ -23,8 +24,8 @@ from pyspark.sql import types as T
 
 from shadowset.functions import random as R
 from shadowset.models import Analysis, DateOrder, DimensionGroup
-from shadowset.operators.stitch import BUCKETS
-from shadowset.plans.ranking import with_prefix, with_rank
+from shadowset.operators.stitch import cells_for
+from shadowset.plans.ranking import cut, with_prefix, with_rank
 
 QUANTILES, VALUES, ACCURACY = 101, 1000, 10_000
 _NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
@@ -51,19 +52,19 @@ def normal_quantile(p: Column) -> Column:
 
 @dataclass
 class Marginal:
-    """nulls: share of NULL. Numbers have quantiles; others have values with cumulative shares of the known ones, or spans: a table of all values, v, lo, hi."""
+    """nulls: share of NULL. Numbers have quantiles; other columns have spans, a table of all their n known values: v, lo, hi."""
 
     type: T.DataType
     nulls: float = 0.0
     quantiles: list[float] = field(default_factory=list)
-    values: list = field(default_factory=list)
-    cumulative: list[float] = field(default_factory=list)
     decimals: int | None = None
     spans: DataFrame | None = None
+    n: int = 0
+    exact: bool = False
 
     @property
     def numeric(self) -> bool:
-        return isinstance(self.type, (*_NUMBERS, *_TIMES))
+        return isinstance(self.type, (*_NUMBERS, *_TIMES)) and not self.exact
 
 
 @dataclass
@@ -115,12 +116,12 @@ def _prepared(df: DataFrame, orders: list[DateOrder], groups: list[DimensionGrou
     return df, composites, taken
 
 
-def fit(df: DataFrame, orders: list[DateOrder] = (), groups: list[DimensionGroup] = (), skip: list[str] = ()) -> Model:
-    """Marginals and correlations of df's columns but those in skip."""
+def fit(df: DataFrame, orders: list[DateOrder] = (), groups: list[DimensionGroup] = (), skip: list[str] = (), exact: list[str] = ()) -> Model:
+    """Marginals and correlations of df's columns but those in skip. exact: numbers drawn from their own values only, in their order."""
     schema = df.schema
     work, composites, orders = _prepared(df.drop(*skip), list(orders), list(groups))
     columns = work.columns
-    marginals = {c: Marginal(work.schema[c].dataType) for c in columns}
+    marginals = {c: Marginal(work.schema[c].dataType, exact=c in exact) for c in columns}
     asked = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
         col, m = F.col(f"`{c}`"), marginals[c]
@@ -133,67 +134,74 @@ def fit(df: DataFrame, orders: list[DateOrder] = (), groups: list[DimensionGroup
                 asked += [F.bool_and(v == F.round(v, d)).alias(f"d{d}_{i}") for d in (0, 2)]
     row = work.agg(*asked).first().asDict()
     for i, c in enumerate(columns):
-        m = marginals[c]
-        m.nulls = 1 - row[f"k{i}"] / row["rows"] if row["rows"] else 1.0
+        m, known = marginals[c], row[f"k{i}"]
+        m.nulls = 1 - known / row["rows"] if row["rows"] else 1.0
         if m.numeric:
             m.quantiles = [float(x) for x in row[f"q{i}"] or ()]
             m.decimals = next((d for d in (0, 2) if row.get(f"d{d}_{i}")), None)
+        elif known:
+            m.spans, m.n = _spans(work, c, known, m.exact)
+    return Model(columns, marginals, _factor(work, columns, marginals), orders, composites, schema)
+
+
+def _spans(work: DataFrame, c: str, total: int, by_value: bool) -> tuple[DataFrame, int]:
+    """v, lo, hi: the part of [0, 1) of each known value, as wide as its share, the most frequent first or by value; and how many there are."""
+    counts = work.filter(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    order = [F.col("v")] if by_value else [F.desc("n"), F.col("v").cast("string")]
+    few = counts.orderBy(*order).limit(VALUES + 1).collect()
+    if len(few) <= VALUES:
+        ends = list(itertools.accumulate(r["n"] for r in few))
+        kind = T.StructType([T.StructField("v", counts.schema["v"].dataType), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
+        return work.sparkSession.createDataFrame([(r["v"], (e - r["n"]) / total, e / total) for r, e in zip(few, ends, strict=True)], kind), len(few)
+    sums = cut(with_prefix(with_rank(counts, order, "i"), "i", "n", "lo").select("v", (F.col("lo") / total).alias("lo"), ((F.col("lo") + F.col("n")) / total).alias("hi")))
+    return sums, sums.count()
+
+
+def _before(q: Column, holds) -> Column:
+    """How many of a sorted array's first values hold, by halving."""
+    top = 1 << (QUANTILES - 1).bit_length() - 1
+    steps = F.array(*(F.lit(top >> i) for i in range(top.bit_length())))
+    return F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= QUANTILES) & holds(F.element_at(q, F.least(n + s, F.lit(QUANTILES)))), n + s).otherwise(n))
+
+
+def _normal_score(u: Column) -> Column:
+    return normal_quantile(F.greatest(F.least(u, F.lit(1 - 1e-4)), F.lit(1e-4)))
+
+
+def _scored(work: DataFrame, columns: list[str], marginals: dict[str, Marginal]) -> DataFrame:
+    """s0, s1, ...: the normal score of each column's value, of its middle rank."""
+    scores = []
+    for i, c in enumerate(columns):
+        m, col = marginals[c], F.col(f"`{c}`")
+        if m.spans is not None:
+            middle = m.spans.select(F.col("v").alias(f"_v{i}"), _normal_score((F.col("lo") + F.col("hi")) / 2).alias(f"s{i}"))
+            work = work.join(middle, col == F.col(f"_v{i}"), "left")
+            scores.append(F.col(f"s{i}"))
+        elif m.quantiles:
+            v, q = _number(col, m.type), F.array(*map(F.lit, m.quantiles))
+            rank = _before(q, lambda x, v=v: x < v) + _before(q, lambda x, v=v: x <= v)
+            scores.append(F.when(v.isNotNull(), _normal_score(rank / (2.0 * QUANTILES))).alias(f"s{i}"))
         else:
-            known = work.filter(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-            order = [F.desc("n"), F.col("v").cast("string")]
-            top = known.orderBy(*order).limit(VALUES + 1).collect()
-            if len(top) > VALUES:
-                sums, n = with_prefix(with_rank(known, order, "i"), "i", "n", "lo"), row[f"k{i}"]
-                m.spans = sums.select("v", (F.col("lo") / n).alias("lo"), ((F.col("lo") + F.col("n")) / n).alias("hi"))
-                continue
-            total = sum(r["n"] for r in top)
-            m.values = [r["v"] for r in top]
-            m.cumulative = list(np.cumsum([r["n"] / total for r in top])) if total else []
-    factor = _factor(work, columns, marginals)
-    return Model(columns, marginals, factor, orders, composites, schema)
-
-
-def _score(c: str, m: Marginal) -> Column:
-    """The normal score of a column's value: of its middle rank."""
-    col = F.col(f"`{c}`")
-    if m.numeric and len(m.quantiles):
-        v, q = _number(col, m.type), F.array(*map(F.lit, m.quantiles))
-        below = F.size(F.filter(q, lambda x: x < v))
-        upto = F.size(F.filter(q, lambda x: x <= v))
-        u = (below + upto) / (2.0 * QUANTILES)
-    elif m.values:
-        shares = np.diff([0, *m.cumulative])
-        middle = np.cumsum(shares) - shares / 2
-        named = lambda v: F.to_json(F.struct(v.alias("v")))
-        u = F.try_element_at(F.map_from_arrays(F.array(*(named(_literal(v, m.type)) for v in m.values)), F.array(*map(F.lit, map(float, middle)))), named(col))
-    elif m.spans is not None:
-        u = F.col(f"`_middle_{c}`")
-    else:
-        return F.lit(None).cast("double")
-    return F.when(col.isNotNull(), normal_quantile(F.greatest(F.least(u, F.lit(1 - 1e-4)), F.lit(1e-4))))
-
-
-def _literal(v, kind: T.DataType) -> Column:
-    if isinstance(kind, T.StructType):
-        return F.struct(*(_literal(v[f.name], f.dataType).alias(f.name) for f in kind.fields))
-    if isinstance(kind, T.ArrayType):
-        return F.array(*(_literal(x, kind.elementType) for x in v)).cast(kind) if v is not None else F.lit(None).cast(kind)
-    return F.lit(v).cast(kind)
+            scores.append(F.lit(None).cast("double").alias(f"s{i}"))
+    return work.select(*scores)
 
 
 def _factor(work: DataFrame, columns: list[str], marginals: dict[str, Marginal]) -> np.ndarray:
     k = len(columns)
     corr = np.eye(k)
-    for c in columns:
-        if (spans := marginals[c].spans) is not None:
-            middle = spans.select(F.col("v").alias("_v"), ((F.col("lo") + F.col("hi")) / 2).alias(f"_middle_{c}"))
-            work = work.join(middle, work[f"`{c}`"] == middle["_v"], "left").drop("_v")
-    scored = work.select(*(_score(c, marginals[c]).alias(f"s{i}") for i, c in enumerate(columns)))
+    scored = _scored(work, columns, marginals)
+    with_nulls = [marginals[c].nulls > 0 for c in columns]
+    spread = lambda i, j: F.stddev_pop(F.when(F.col(f"s{j}").isNotNull(), F.col(f"s{i}")) if with_nulls[j] else F.col(f"s{i}"))
     pairs = list(itertools.combinations(range(k), 2))
     for at in range(0, len(pairs), 64):
-        part = pairs[at : at + 64]
-        for (i, j), v in zip(part, scored.agg(*(F.corr(f"s{i}", f"s{j}").alias(f"c{i}_{j}") for i, j in part)).first(), strict=True):
-            corr[i, j] = corr[j, i] = 0.0 if v is None or not math.isfinite(v) else max(-0.999, min(0.999, v))
+        asked = []
+        for i, j in (part := pairs[at : at + 64]):
+            asked += [F.covar_pop(f"s{i}", f"s{j}").alias(f"c{i}_{j}"), spread(i, j).alias(f"a{i}_{j}"), spread(j, i).alias(f"b{i}_{j}")]
+        row = scored.agg(*asked).first()
+        for i, j in part:
+            c, a, b = (row[f"{x}{i}_{j}"] for x in "cab")
+            v = c / (a * b) if c is not None and a and b and a * b > 1e-12 else 0.0
+            corr[i, j] = corr[j, i] = max(-0.999, min(0.999, v)) if math.isfinite(v) else 0.0
     low = np.linalg.eigvalsh(corr)[0] if k else 1.0
     if low < 1e-6:
         corr = (corr + (1e-6 - low) * np.eye(k)) / (1 + 1e-6 - low)
@@ -201,27 +209,22 @@ def _factor(work: DataFrame, columns: list[str], marginals: dict[str, Marginal])
 
 
 def _value(u: Column, m: Marginal) -> Column:
-    if m.numeric:
-        if not m.quantiles:
-            return F.lit(None).cast(m.type)
-        q, x = F.array(*map(F.lit, m.quantiles)), F.greatest(F.least(u, F.lit(1.0)), F.lit(0.0)) * (QUANTILES - 1)
-        i = F.least(F.floor(x), F.lit(QUANTILES - 2)).cast("int")
-        a, b = F.element_at(q, i + 1), F.element_at(q, i + 2)
-        return _from_number(a + (b - a) * (x - i), m)
-    if not m.values:
+    if not m.quantiles:
         return F.lit(None).cast(m.type)
-    cumulative = F.array(*map(F.lit, map(float, m.cumulative)))
-    i = F.least(F.size(F.filter(cumulative, lambda c: c <= u)) + 1, F.lit(len(m.values))).cast("int")
-    return F.element_at(F.array(*(_literal(v, m.type) for v in m.values)), i)
+    q, x = F.array(*map(F.lit, m.quantiles)), F.greatest(F.least(u, F.lit(1.0)), F.lit(0.0)) * (QUANTILES - 1)
+    i = F.least(F.floor(x), F.lit(QUANTILES - 2)).cast("int")
+    a, b = F.element_at(q, i + 1), F.element_at(q, i + 2)
+    return _from_number(a + (b - a) * (x - i), m)
 
 
-def _drawn(df: DataFrame, u: str, spans: DataFrame, name: str) -> DataFrame:
-    """df with the value whose span holds u, by an equi-join on cells of [0, 1)."""
-    bucket = lambda x: F.floor(x * BUCKETS)
-    lo, hi = bucket(F.col("lo")), F.ceil(F.col("hi") * BUCKETS) - 1
-    cells = spans.select(F.col("v").alias(name), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(F.sequence(lo, F.greatest(lo, hi))).alias("_b"))
-    asked = df.withColumn(u, F.greatest(F.least(F.col(u), F.lit(1 - 2.0**-53)), F.lit(0.0))).withColumn("_b", bucket(F.col(u)))
-    return asked.join(cells, "_b").filter(f"{u} >= _lo and {u} < _hi").drop("_b", "_lo", "_hi")
+def _drawn(df: DataFrame, u: str, m: Marginal, name: str) -> DataFrame:
+    """df with the value whose span holds u, by an equi-join on cells of [0, 1), about one for each value."""
+    cells = cells_for(m.n)
+    cell = lambda x: F.floor(x * cells)
+    lo, hi = cell(F.col("lo")), F.ceil(F.col("hi") * cells) - 1
+    values = m.spans.select(F.col("v").alias(name), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(F.sequence(lo, F.greatest(lo, hi))).alias("_b"))
+    asked = df.withColumn(u, F.greatest(F.least(F.col(u), F.lit(1 - 2.0**-53)), F.lit(0.0))).withColumn("_b", cell(F.col(u)))
+    return asked.join(values, "_b").filter(f"{u} >= _lo and {u} < _hi").drop("_b", "_lo", "_hi")
 
 
 def sample(rows: DataFrame, row: str, model: Model, seed: int, stream: str) -> DataFrame:
@@ -231,8 +234,8 @@ def sample(rows: DataFrame, row: str, model: Model, seed: int, stream: str) -> D
     mixed = [sum((F.col(f"_z{j}") * float(model.factor[i, j]) for j in range(i + 1) if abs(model.factor[i, j]) > 1e-12), F.lit(0.0)) for i in range(k)]
     out = z.select(*(f"`{c}`" for c in rows.columns), *(normal_cdf(m).alias(f"_u{i}") for i, m in enumerate(mixed)))
     for i, c in enumerate(model.columns):
-        if (spans := model.marginals[c].spans) is not None:
-            out = _drawn(out, f"_u{i}", spans, f"_value{i}")
+        if model.marginals[c].spans is not None:
+            out = _drawn(out, f"_u{i}", model.marginals[c], f"_value{i}")
     drawn = []
     for i, c in enumerate(model.columns):
         m = model.marginals[c]

@@ -1,6 +1,6 @@
 """Weighted reference assignment: synthetic children point to synthetic parents as often as the originals did.
 
-Ranks and cumulative weights are computed over ranges and blocks, and the draw is an equi-join on buckets of [0, 1), so
+Ranks and cumulative weights are computed over ranges and blocks, and the draw is an equi-join on cells of [0, 1), so
 neither parents nor frequencies need to fit one task.
 """
 
@@ -13,7 +13,13 @@ from shadowset.functions import random as R
 from shadowset.models import Analysis
 from shadowset.plans.ranking import with_prefix, with_rank
 
-BUCKETS = 1 << 12
+#: Cells of [0, 1) at least, and at most for each span.
+LEAST_CELLS = 1 << 12
+
+
+def cells_for(spans: int) -> int:
+    """A power of two of cells, one or two for each span, so that a row meets few spans whatever their number."""
+    return max(LEAST_CELLS, 1 << max(0, spans - 1).bit_length())
 
 
 def frequencies(original: DataFrame, column: str) -> DataFrame:
@@ -36,10 +42,11 @@ def weights(ranked: DataFrame, parents: int) -> DataFrame:
 
 def drawn(rows: DataFrame, row: str, weighted: DataFrame, seed: int, stream: str) -> DataFrame:
     """rows with ``_i``: an index drawn by weight, with replacement."""
-    total = weighted.agg(F.sum("w")).first()[0]
+    total, n = weighted.agg(F.sum("w"), F.count(F.lit(1))).first()
+    cells_all = cells_for(n)
     spans = with_prefix(weighted, "i", "w", "lo").select("i", (F.col("lo") / total).alias("lo"), ((F.col("lo") + F.col("w")) / total).alias("hi"))
-    bucket = lambda x: F.floor(x * BUCKETS)
-    cells = spans.filter("hi > lo").select("i", "lo", "hi", F.explode(F.sequence(bucket(F.col("lo")), F.greatest(bucket(F.col("lo")), F.ceil(F.col("hi") * BUCKETS) - 1))).alias("_b"))
+    bucket = lambda x: F.floor(x * cells_all)
+    cells = spans.filter("hi > lo").select("i", "lo", "hi", F.explode(F.sequence(bucket(F.col("lo")), F.greatest(bucket(F.col("lo")), F.ceil(F.col("hi") * cells_all) - 1))).alias("_b"))
     asked = rows.withColumn("_u", R.uniform(F.col(row), seed, stream)).withColumn("_b", bucket(F.col("_u")))
     return asked.join(cells, (asked["_b"] == cells["_b"]) & (F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi"))).drop("_b", "_u", "lo", "hi").withColumnRenamed("i", "_i")
 

@@ -6,6 +6,7 @@ import logging
 import os
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,7 @@ from shadowset.models import METHODS, Analysis, Relationship, Role
 from shadowset.operators import copula, repair
 from shadowset.operators.stitch import stitch_all
 from shadowset.operators.validate import expected_rows
+from shadowset.plans.ranking import cut, with_rank
 
 log = logging.getLogger(__name__)
 ROW = "_row"
@@ -62,17 +64,32 @@ def single_tables(analysis: Analysis, clean: dict[str, DataFrame], scale: float,
     return out
 
 
-def one_table(analysis: Analysis, name: str, df: DataFrame, rows: DataFrame, seed: int, skip: list[str] = ()) -> DataFrame:
+def one_table(analysis: Analysis, name: str, df: DataFrame, rows: DataFrame, seed: int, skip: list[str] = (), extra: list[str] = ()) -> DataFrame:
+    """rows with the columns of df, modelled. extra: whole numbers of df that are modelled with them but are no columns of the table."""
     t = analysis.tables[name]
     keys = [c for c in (t.primary_key, *skip) if c in df.columns]
-    model = copula.fit(df, *copula.constraints(analysis, name), skip=keys)
+    model = copula.fit(df, *copula.constraints(analysis, name), skip=keys, exact=extra)
     made = copula.sample(rows, ROW, model, seed, name)
     key = t.primary_key if t.primary_key in df.columns else None
     return _key_values(made, key, df.schema[key].dataType if key else None, seed)
 
 
+#: Children of one parent row that are made together.
+FAMILY = 1 << 14
+
+
+def _children(parents: DataFrame, key: str, column: str, count: str) -> DataFrame:
+    """A row for each child, numbered from 0 by parent: the row id and the reference. A parent of many is split, so no task makes them all."""
+    blocks = parents.filter(F.col(count) > 0).select(F.col(ROW).alias("_parent"), F.col(f"`{key}`").alias(column), F.col(count).alias("_n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / FAMILY))).alias("_k"))
+    dealt = blocks.repartition("_parent", "_k")
+    made = dealt.withColumn("_j", F.explode(F.sequence(F.col("_k") * FAMILY, F.least(F.col("_n"), (F.col("_k") + 1) * FAMILY) - 1)))
+    return with_rank(made.select("_parent", "_j", f"`{column}`"), ["_parent", "_j"], ROW).select(ROW, f"`{column}`")
+
+
 def multi_table(analysis: Analysis, clean: dict[str, DataFrame], scale: float, seed: int, progress: Callable[[float, str], None]) -> dict[str, DataFrame]:
-    """Parents first; a child's rows are made per parent row, as many as the distribution of child counts says, along the child's first relationship."""
+    """Parents first. How many children a row has, along the child's first relationship, is modelled as a further column of the parent:
+    drawn from the counts that occur, as often as they do, and correlated with the parent's other columns. A child's own columns do
+    not depend on its parent's, as references are assigned anew afterwards."""
     lead: dict[str, Relationship] = {}
     for r in analysis.relationships:
         if r.child_table in clean and r.parent_table in clean:
@@ -80,30 +97,23 @@ def multi_table(analysis: Analysis, clean: dict[str, DataFrame], scale: float, s
     out: dict[str, DataFrame] = {}
     left = list(clean)
     while left:
-        ready = [t for t in left if t not in lead or lead[t].parent_table in out or lead[t].parent_table not in left]
+        ready = [t for t in left if t not in lead or lead[t].parent_table in out]
         if not ready:
             raise ValueError("the relationships form a circle")
         for name in ready:
             progress(0.2 + 0.5 * len(out) / len(clean), f"modelling {name}")
             df, r = clean[name], lead.get(name)
-            if r is None:
-                rows = df.sparkSession.range(expected_rows(analysis.tables[name].row_count, scale)).withColumnRenamed("id", ROW)
-                out[name] = one_table(analysis, name, df, rows, seed)
-                continue
-            parents = clean[r.parent_table].select(F.col(f"`{r.parent_column}`").alias("_p"))
-            counts = df.filter(F.col(f"`{r.child_column}`").isNotNull()).groupBy(F.col(f"`{r.child_column}`").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
-            spread = parents.join(counts, F.col("_p") == F.col("_c"), "left").select(F.coalesce("_n", F.lit(0)).alias("_n"))
-            steps = [i / (copula.QUANTILES - 1) for i in range(copula.QUANTILES)]
-            often = spread.agg(F.percentile_approx("_n", steps, copula.ACCURACY)).first()[0] or [1]
-            u = R.uniform(F.col(ROW), seed, f"count/{name}")
-            n = F.element_at(F.array(*map(F.lit, often)), F.least(F.floor(u * len(often)) + 1, F.lit(len(often))).cast("int"))
-            made = out[r.parent_table].select(ROW, F.col(f"`{r.parent_column}`").alias(r.child_column)).withColumn("_k", F.explode(F.sequence(F.lit(1), F.when(n > 0, n))))
-            from shadowset.plans.ranking import with_rank
-
-            rows = with_rank(made.filter("_k is not null").withColumnRenamed(ROW, "_parent"), ["_parent", "_k"], ROW).select(ROW, f"`{r.child_column}`")
-            out[name] = one_table(analysis, name, df, rows, seed, [r.child_column])
+            rows = df.sparkSession.range(expected_rows(analysis.tables[name].row_count, scale)).withColumnRenamed("id", ROW) if r is None else _children(out[r.parent_table], r.parent_column, r.child_column, f"_n_{name}")
+            counts = []
+            for child, of in lead.items():
+                if of.parent_table == name:
+                    counts.append(f"_n_{child}")
+                    often = clean[child].groupBy(F.col(f"`{of.child_column}`").alias("_c")).agg(F.count(F.lit(1)).alias(counts[-1]))
+                    df = df.join(often, F.col(f"`{of.parent_column}`") == F.col("_c"), "left").drop("_c").fillna(0, [counts[-1]])
+            made = one_table(analysis, name, df, rows, seed, [r.child_column] if r else [], counts)
+            out[name] = cut(made) if counts else made
         left = [t for t in left if t not in out]
-    return out
+    return {t: df.drop(*(c for c in df.columns if c.startswith("_n_") and c[3:] in lead)) for t, df in out.items()}
 
 
 def fill_text(tables: dict[str, DataFrame], analysis: Analysis, seed: int, locale: str | None = None, strict: bool = False) -> dict[str, DataFrame]:
@@ -140,7 +150,7 @@ def synthesize(
     if choose_method(analysis, method) == "hma":
         try:
             made = multi_table(analysis, clean, scale, seed, progress)
-        except Exception as error:
+        except (ArithmeticError, ValueError, PySparkException) as error:  # what a model or its fit can raise
             warn(f"multi-table model failed ({error}); modelling each table on its own")
             made = single_tables(analysis, clean, scale, seed, progress)
     else:

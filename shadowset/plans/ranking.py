@@ -5,17 +5,26 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 16
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master may go without; it gets one in the temporary folder."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/shadowset-{os.getpid()}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: the rows are fixed and outlive lost executors."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.gettempdir()}/shadowset-{os.getpid()}")
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shadowset.operators.validate import orphans
+from shadowset.plans.ranking import shared_dir
 
 
 def _place(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/shadowset-{os.getpid()}"
-    return f"{base}/shadowset-streams/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/shadowset-streams/{name}-{uuid.uuid4().hex}"
 
 
 def watch_orphans(stream: DataFrame, column: str, parent: DataFrame, key: str, out: str, checkpoint: str):

@@ -171,8 +171,8 @@ def test_groups_and_small_tables(spark):
 
 def test_every_category_has_a_score_of_its_own(spark):
     df = spark.range(60).select(F.col("id").cast("string").alias("c"), F.explode(F.sequence(F.lit(0), 60 - F.col("id"))).alias("n"))
-    m = copula.fit(df).marginals["c"]
-    assert df.select(copula._score("c", m).alias("s")).distinct().count() == 60
+    m = copula.fit(df).marginals
+    assert copula._scored(df, ["c"], m).distinct().count() == 60
 
 
 def test_no_category_is_cut(spark, monkeypatch):
@@ -184,3 +184,34 @@ def test_no_category_is_cut(spark, monkeypatch):
     rows = out.collect()
     assert len(rows) == 5000 and len({r._row for r in rows}) == 5000 and {r.c for r in rows} - {None} == want
     assert abs(sum(r.c is None for r in rows) / 5000 - 0.25) < 0.03
+
+
+@pytest.mark.parametrize("rows", [[(1.0, "a", None), (2.0, "a", None), (3.0, "a", None)], [(1.0, "a", None)], [(5.0, "a", 1), (5.0, "b", 1)], []])
+def test_columns_without_spread(spark, rows):
+    df = spark.createDataFrame(rows, "x double, c string, e long")
+    model = copula.fit(df)
+    assert np.array_equal(model.factor, np.eye(3))
+    out = copula.sample(spark.range(7).withColumnRenamed("id", "_row"), "_row", model, 3, "t").collect()
+    assert len(out) == 7 and {r.c for r in out} <= {r[1] for r in rows} | {None} and {r.e for r in out} <= {r[2] for r in rows} | {None}
+
+
+def test_correlations_where_values_are_missing(spark):
+    df = spark.range(400).select(F.when(F.col("id") % 3 > 0, F.col("id").cast("double")).alias("x"), F.when(F.col("id") % 4 > 0, F.col("id") * 2.0).alias("y"))
+    f = copula.fit(df).factor
+    assert (f @ f.T)[0, 1] > 0.99
+
+
+def test_child_counts_are_those_that_occur(spark):
+    """One parent has a third of all children; what is made has neither more such parents nor other counts, and follows the parent's columns."""
+    parents = spark.range(400).select((F.col("id") + 1).alias("p_id"), F.when(F.col("id") < 200, 1.0).otherwise(9.0).alias("size"))
+    n = F.when(F.col("id") == 300, 900).when(F.col("id") < 200, 0).otherwise(F.lit(9))
+    children = spark.range(400).select((F.col("id") + 1).alias("p_id"), F.explode(F.sequence(F.lit(1), F.when(n > 0, n))).alias("amount")).withColumn("c_id", F.monotonically_increasing_id())
+    a = Analysis({"p": Table("p", "", 400, {}, "p_id"), "c": Table("c", "", children.count(), {}, "c_id")}, relationships=[Relationship("p", "p_id", "c", "p_id")])
+    out = synthesize.multi_table(a, {"p": parents, "c": children}, 1.0, 4, lambda *x: None)
+    assert set(out["p"].columns) == {"_row", "p_id", "size"}
+    counts = out["c"].groupBy("p_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_row").alias("k"))
+    got = counts.collect()
+    assert all(r.n == r.k for r in got) and {r.n for r in got} <= {9, 900} and sum(r.n == 900 for r in got) <= 6
+    mean = out["p"].join(counts.withColumnRenamed("p_id", "q"), F.col("p_id") == F.col("q"), "left").groupBy("size").agg(F.avg((F.coalesce("n", F.lit(0)) > 0).cast("int")).alias("some"))
+    by = {r["size"]: r["some"] for r in mean.collect()}
+    assert max(by.values()) > 0.8
