@@ -16,6 +16,7 @@ from __future__ import annotations
 import itertools
 import math
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from shadowset.functions import random as R
 from shadowset.models import Analysis, DateOrder, DimensionGroup
-from shadowset.operators.stitch import cells_for
+from shadowset.operators.stitch import drawn_values
 from shadowset.plans.ranking import cut, with_prefix, with_rank
 
 QUANTILES, VALUES, ACCURACY = 101, 1000, 10_000
@@ -171,6 +172,7 @@ def _normal_score(u: Column) -> Column:
 def _scored(work: DataFrame, columns: list[str], marginals: dict[str, Marginal]) -> DataFrame:
     """s0, s1, ...: the normal score of each column's value, of its middle rank."""
     scores = []
+    ranks = F.array(*(F.lit(NormalDist().inv_cdf(max(1e-4, min(1 - 1e-4, r / (2 * QUANTILES))))) for r in range(2 * QUANTILES + 1)))
     for i, c in enumerate(columns):
         m, col = marginals[c], F.col(f"`{c}`")
         if m.spans is not None:
@@ -178,9 +180,10 @@ def _scored(work: DataFrame, columns: list[str], marginals: dict[str, Marginal])
             work = work.join(middle, col == F.col(f"_v{i}"), "left")
             scores.append(F.col(f"s{i}"))
         elif m.quantiles:
-            v, q = _number(col, m.type), F.array(*map(F.lit, m.quantiles))
+            v, q = F.col(f"_x{i}"), F.array(*map(F.lit, m.quantiles))
+            work = work.withColumn(f"_x{i}", _number(col, m.type))
             rank = _before(q, lambda x, v=v: x < v) + _before(q, lambda x, v=v: x <= v)
-            scores.append(F.when(v.isNotNull(), _normal_score(rank / (2.0 * QUANTILES))).alias(f"s{i}"))
+            scores.append(F.when(v.isNotNull(), F.element_at(ranks, rank + 1)).alias(f"s{i}"))
         else:
             scores.append(F.lit(None).cast("double").alias(f"s{i}"))
     return work.select(*scores)
@@ -201,7 +204,8 @@ def _factor(work: DataFrame, columns: list[str], marginals: dict[str, Marginal])
         for i, j in part:
             c, a, b = (row[f"{x}{i}_{j}"] for x in "cab")
             v = c / (a * b) if c is not None and a and b and a * b > 1e-12 else 0.0
-            corr[i, j] = corr[j, i] = max(-0.999, min(0.999, v)) if math.isfinite(v) else 0.0
+            # rounded, so that the order in which partitions are added up does not show in what is drawn
+            corr[i, j] = corr[j, i] = round(max(-0.999, min(0.999, v)), 9) if math.isfinite(v) else 0.0
     low = np.linalg.eigvalsh(corr)[0] if k else 1.0
     if low < 1e-6:
         corr = (corr + (1e-6 - low) * np.eye(k)) / (1 + 1e-6 - low)
@@ -217,16 +221,6 @@ def _value(u: Column, m: Marginal) -> Column:
     return _from_number(a + (b - a) * (x - i), m)
 
 
-def _drawn(df: DataFrame, u: str, m: Marginal, name: str) -> DataFrame:
-    """df with the value whose span holds u, by an equi-join on cells of [0, 1), about one for each value."""
-    cells = cells_for(m.n)
-    cell = lambda x: F.floor(x * cells)
-    lo, hi = cell(F.col("lo")), F.ceil(F.col("hi") * cells) - 1
-    values = m.spans.select(F.col("v").alias(name), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(F.sequence(lo, F.greatest(lo, hi))).alias("_b"))
-    asked = df.withColumn(u, F.greatest(F.least(F.col(u), F.lit(1 - 2.0**-53)), F.lit(0.0))).withColumn("_b", cell(F.col(u)))
-    return asked.join(values, "_b").filter(f"{u} >= _lo and {u} < _hi").drop("_b", "_lo", "_hi")
-
-
 def sample(rows: DataFrame, row: str, model: Model, seed: int, stream: str) -> DataFrame:
     """rows (with a row id) plus the model's columns, in the order of the source."""
     k = len(model.columns)
@@ -234,8 +228,8 @@ def sample(rows: DataFrame, row: str, model: Model, seed: int, stream: str) -> D
     mixed = [sum((F.col(f"_z{j}") * float(model.factor[i, j]) for j in range(i + 1) if abs(model.factor[i, j]) > 1e-12), F.lit(0.0)) for i in range(k)]
     out = z.select(*(f"`{c}`" for c in rows.columns), *(normal_cdf(m).alias(f"_u{i}") for i, m in enumerate(mixed)))
     for i, c in enumerate(model.columns):
-        if model.marginals[c].spans is not None:
-            out = _drawn(out, f"_u{i}", model.marginals[c], f"_value{i}")
+        if (spans := model.marginals[c].spans) is not None:
+            out = drawn_values(out, f"_u{i}", spans, model.marginals[c].n, f"_value{i}")
     drawn = []
     for i, c in enumerate(model.columns):
         m = model.marginals[c]

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from shadowset.functions.names import sensitivity
 from shadowset.models import Analysis, Column, DateOrder, DimensionGroup, Relationship, Role, Table
-from shadowset.operators.profile import ColumnProfile, profile
+from shadowset.operators.profile import SLACK, ColumnProfile, profile
 
 log = logging.getLogger(__name__)
 
@@ -36,7 +36,8 @@ _TIMES = (T.TimestampType, T.TimestampNTZType)
 
 def primary_keys(df: DataFrame | None, threshold: float = PK_THRESHOLD, profiled: dict[str, ColumnProfile] | None = None) -> list[tuple[str, float]]:
     """(column, uniqueness) of key candidates, most unique first, ties in column order. Columns with a NULL or of an empty table are none."""
-    known = [p for p in (profiled or profile(df)).values() if p.rows and not p.nulls]
+    near = lambda p: p.rows and not p.nulls and p.ratio >= min(threshold, 1) * (1 - SLACK)
+    known = [p for p in (profile(df, near) if profiled is None else profiled).values() if p.rows and not p.nulls]
     found = [p for p in known if p.ratio >= threshold and p.name.lower().endswith(PK_SUFFIXES)] or [p for p in known if p.distinct_known == p.rows]
     return [(p.name, p.ratio) for p in sorted(found, key=lambda p: -p.ratio)]
 
@@ -120,7 +121,18 @@ def dimension_limit(rows: int, threshold: float = DIMENSION_THRESHOLD) -> float:
 
 
 def dimensions(df: DataFrame | None, exclude: Iterable[str] = (), threshold: float = DIMENSION_THRESHOLD, profiled: dict[str, ColumnProfile] | None = None) -> list[str]:
-    return [p.name for p in (profiled or profile(df)).values() if p.rows and isinstance(p.type, T.StringType) and p.name not in set(exclude) and p.ratio < dimension_limit(p.rows, threshold)]
+    found = dimension_profiles(df, threshold) if profiled is None else profiled
+    return [p.name for p in found.values() if p.rows and isinstance(p.type, T.StringType) and p.name not in set(exclude) and p.ratio < dimension_limit(p.rows, threshold)]
+
+
+def dimension_profiles(df: DataFrame, threshold: float = DIMENSION_THRESHOLD) -> dict[str, ColumnProfile]:
+    """Exact profiles of the string columns that may be dimensions."""
+    return profile(df, lambda p: isinstance(p.type, T.StringType) and p.ratio * (1 - SLACK) <= dimension_limit(p.rows, threshold))
+
+
+def text_profiles(df: DataFrame, threshold: float = DIMENSION_THRESHOLD) -> dict[str, ColumnProfile]:
+    """Exact profiles of the string columns that may be free text."""
+    return profile(df, lambda p: isinstance(p.type, T.StringType) and p.ratio * (1 + SLACK) >= threshold and (p.mean_length or 0) > 3)
 
 
 def _distinct(columns: Iterable[str]) -> Expr:
@@ -176,7 +188,8 @@ def date_orders(table: str, df: DataFrame) -> list[DateOrder]:
 
 def text_columns(df: DataFrame | None, exclude: Iterable[str] = (), threshold: float = DIMENSION_THRESHOLD, profiled: dict[str, ColumnProfile] | None = None) -> list[str]:
     """String columns of many values that are longer than three characters on average."""
-    return [p.name for p in (profiled or profile(df)).values() if p.rows and isinstance(p.type, T.StringType) and p.name not in set(exclude) and p.ratio >= threshold and (p.mean_length or 0) > 3]
+    found = text_profiles(df, threshold) if profiled is None else profiled
+    return [p.name for p in found.values() if p.rows and isinstance(p.type, T.StringType) and p.name not in set(exclude) and p.ratio >= threshold and (p.mean_length or 0) > 3]
 
 
 def classify(p: ColumnProfile, key: str | None, references: Iterable[str], dims: Iterable[str], texts: Iterable[str], samples: list | None = None) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,22 +11,31 @@ from pyspark.sql import types as T
 from shadowset.functions import random as R
 from shadowset.functions.fakes import Fakes, fake_column
 from shadowset.models import Analysis, Role
-from shadowset.plans.ranking import with_rank
+from shadowset.operators.stitch import drawn_values
 
 ROW = "_row"
 
 
+#: Values of a column that draws are made from, at most: those with the least keys of a weighted draw without replacement.
+POOL = 1000
+
+
 def _resampled(out: DataFrame, name: str, source: DataFrame, column: str, seed: int, stream: str, distinct: bool = False) -> DataFrame | None:
-    """out with column name drawn from the non-null values of source: by row, so with multiplicity, or among the distinct ones."""
+    """out with column name drawn from the non-null values of source: as often as they occur, or evenly among the distinct ones.
+
+    Values meet the driver only as a pool of at most POOL; its order is a top-k of each partition, so nothing is sorted whole.
+    """
     c = F.col(f"`{column}`")
-    values = source.filter(c.isNotNull()).select(c.alias("_v"))
-    values = values.distinct() if distinct else values
-    ranked = with_rank(values, [F.col("_v")], "_i")
-    n = ranked.count()
-    if not n:
+    values = source.filter(c.isNotNull()).groupBy(c.alias("v")).agg((F.lit(1) if distinct else F.count(F.lit(1))).cast("long").alias("n"))
+    clock = -F.log(1 - R.uniform(F.col("v"), seed, stream + "/pool")) / F.col("n")
+    pool = values.orderBy(clock, "v").limit(POOL).collect()
+    if not pool:
         return None
-    asked = out.withColumn("_i", R.integer(F.col(ROW), seed, stream, n))
-    return asked.join(ranked, "_i", "left").withColumnRenamed("_v", name).drop("_i")
+    total, ends = sum(r["n"] for r in pool), list(itertools.accumulate(r["n"] for r in pool))
+    kind = T.StructType([T.StructField("v", values.schema["v"].dataType), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
+    spans = source.sparkSession.createDataFrame([(r["v"], (e - r["n"]) / total, e / total) for r, e in zip(pool, ends, strict=True)], kind)
+    asked = out.withColumn("_u", R.uniform(F.col(ROW), seed, stream))
+    return drawn_values(asked, "_u", spans, len(pool), name).drop("_u")
 
 
 def preview(table: str, analysis: Analysis, tables: dict[str, DataFrame], n_rows: int = 10, redact: bool = False, seed: int = 0) -> DataFrame:

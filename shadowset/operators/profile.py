@@ -1,14 +1,17 @@
 """Column profiles: what the detection rules need to know of a table, in few passes.
 
 Distinct counts are exact and count NULL as a value (``distinct_values``) or not (``distinct_known``). Many of them in one
-aggregate make Spark expand every row once per column, so columns go in batches.
+aggregate make Spark expand every row once per column, so columns go in batches; long values go as 128-bit hashes. A rule that
+only needs the columns near its threshold names them by an estimate (a HyperLogLog pass, without any shuffle of values), and
+only those are counted exactly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,28 +37,50 @@ class ColumnProfile:
         return self.distinct_values / self.rows if self.rows else 0.0
 
 
-def _comparable(c: str, kind: T.DataType):
-    """Maps have no equality; compare their sorted entries."""
-    return F.array_sort(F.map_entries(F.col(f"`{c}`"))) if isinstance(kind, T.MapType) else F.col(f"`{c}`")
+#: Relative standard deviation of an estimate, and how many of them a decision leaves on either side.
+DEVIATION, SIGMAS = 0.02, 6
+SLACK = DEVIATION * SIGMAS
+_SHORT = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def profile(df: DataFrame) -> dict[str, ColumnProfile]:
-    out: dict[str, ColumnProfile] = {}
+def _comparable(c: str, kind: T.DataType) -> Column:
+    """What stands for a value in distinct counts: short ones themselves, others two independent hashes. Maps have no equality, so their sorted entries."""
+    col = F.col(f"`{c}`")
+    if isinstance(kind, _SHORT):
+        return col
+    value = F.array_sort(F.map_entries(col)) if isinstance(kind, T.MapType) else col
+    return F.when(col.isNotNull(), F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit(1), value).alias("b")))
+
+
+def profile(df: DataFrame, needed: Callable[[ColumnProfile], bool] | None = None) -> dict[str, ColumnProfile]:
+    """All columns, exactly. needed: only the columns whose estimated profile it accepts are counted and given."""
     fields = list(enumerate(df.schema.fields))
+    if needed is not None:
+        asked = [F.count(F.lit(1)).alias("rows")]
+        for i, f in fields:
+            asked += [*_simple(i, f), F.approx_count_distinct(_comparable(f.name, f.dataType), DEVIATION).alias(f"d{i}")]
+        row = df.agg(*asked).first().asDict()
+        fields = [(i, f) for i, f in fields if needed(_of(i, f, row))]
+    out: dict[str, ColumnProfile] = {}
     for at in range(0, len(fields), BATCH):
         part = fields[at : at + BATCH]
         asked = [F.count(F.lit(1)).alias("rows")]
         for i, f in part:
-            c = F.col(f"`{f.name}`")
-            asked += [F.count_if(c.isNull()).alias(f"n{i}"), F.count_distinct(_comparable(f.name, f.dataType)).alias(f"d{i}")]
-            if isinstance(f.dataType, T.StringType):
-                asked.append(F.avg(F.char_length(c)).alias(f"l{i}"))
+            asked += [*_simple(i, f), F.count_distinct(_comparable(f.name, f.dataType)).alias(f"d{i}")]
         row = df.agg(*asked).first().asDict()
-        for i, f in part:
-            out[f.name] = ColumnProfile(f.name, i, f.dataType, row["rows"], row[f"n{i}"], row[f"d{i}"], row.get(f"l{i}"))
+        out |= {f.name: _of(i, f, row) for i, f in part}
     return out
 
 
+def _simple(i: int, f: T.StructField) -> list[Column]:
+    c = F.col(f"`{f.name}`")
+    return [F.count_if(c.isNull()).alias(f"n{i}"), *([F.avg(F.char_length(c)).alias(f"l{i}")] if isinstance(f.dataType, T.StringType) else [])]
+
+
+def _of(i: int, f: T.StructField, row: dict) -> ColumnProfile:
+    return ColumnProfile(f.name, i, f.dataType, row["rows"], row[f"n{i}"], row[f"d{i}"], row.get(f"l{i}"))
+
+
 def profile_frame(df: DataFrame, table: str) -> DataFrame:
     """The profile as rows: table_name, column_name, ordinal, n_rows, n_null, n_distinct (NULL as a value), uniqueness. One aggregate, unpivoted."""
     counts = [F.count(F.lit(1)).alias("n_rows")]

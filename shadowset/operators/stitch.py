@@ -40,15 +40,21 @@ def weights(ranked: DataFrame, parents: int) -> DataFrame:
     return every.join(ranked.select("j", F.col("n").alias("w")), "j").select("i", "w")
 
 
+def drawn_values(df: DataFrame, u: str, spans: DataFrame, n: int, name: str) -> DataFrame:
+    """df with the value whose span holds u, by an equi-join on cells of [0, 1). spans: n rows v, lo, hi that fill [0, 1)."""
+    cells = cells_for(n)
+    cell = lambda x: F.floor(x * cells)
+    lo, hi = cell(F.col("lo")), F.ceil(F.col("hi") * cells) - 1
+    values = spans.filter("hi > lo").select(F.col("v").alias(name), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(F.sequence(lo, F.greatest(lo, hi))).alias("_b"))
+    asked = df.withColumn(u, F.greatest(F.least(F.col(u), F.lit(1 - 2.0**-53)), F.lit(0.0))).withColumn("_b", cell(F.col(u)))
+    return asked.join(values, "_b").filter(f"{u} >= _lo and {u} < _hi").drop("_b", "_lo", "_hi")
+
+
 def drawn(rows: DataFrame, row: str, weighted: DataFrame, seed: int, stream: str) -> DataFrame:
     """rows with ``_i``: an index drawn by weight, with replacement."""
     total, n = weighted.agg(F.sum("w"), F.count(F.lit(1))).first()
-    cells_all = cells_for(n)
-    spans = with_prefix(weighted, "i", "w", "lo").select("i", (F.col("lo") / total).alias("lo"), ((F.col("lo") + F.col("w")) / total).alias("hi"))
-    bucket = lambda x: F.floor(x * cells_all)
-    cells = spans.filter("hi > lo").select("i", "lo", "hi", F.explode(F.sequence(bucket(F.col("lo")), F.greatest(bucket(F.col("lo")), F.ceil(F.col("hi") * cells_all) - 1))).alias("_b"))
-    asked = rows.withColumn("_u", R.uniform(F.col(row), seed, stream)).withColumn("_b", bucket(F.col("_u")))
-    return asked.join(cells, (asked["_b"] == cells["_b"]) & (F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi"))).drop("_b", "_u", "lo", "hi").withColumnRenamed("i", "_i")
+    spans = with_prefix(weighted, "i", "w", "lo").select(F.col("i").alias("v"), (F.col("lo") / total).alias("lo"), ((F.col("lo") + F.col("w")) / total).alias("hi"))
+    return drawn_values(rows.withColumn("_u", R.uniform(F.col(row), seed, stream)), "_u", spans, n, "_i").drop("_u")
 
 
 def stitch(child: DataFrame, column: str, parent: DataFrame, key: str, row: str, seed: int, original: DataFrame | None = None) -> DataFrame:

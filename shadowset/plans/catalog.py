@@ -123,7 +123,7 @@ _STRING_SQL = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_n
 def dimension_detect(spark, sf_dir):
     rows = []
     for t in _STRING_TABLES:
-        known = profile.profile(raw(spark, sf_dir, t))
+        known = discover.dimension_profiles(raw(spark, sf_dir, t))
         rows += [(t, c, known[c].ratio) for c in discover.dimensions(None, profiled=known)]
     return spark.createDataFrame(rows, "table_name string, column_name string, uniqueness double")
 
@@ -132,7 +132,7 @@ def dimension_detect(spark, sf_dir):
 def text_columns(spark, sf_dir):
     rows = []
     for t in _STRING_TABLES:
-        known = profile.profile(raw(spark, sf_dir, t))
+        known = discover.text_profiles(raw(spark, sf_dir, t))
         rows += [(t, c, known[c].ratio) for c in discover.text_columns(None, profiled=known)]
     return spark.createDataFrame(rows, "table_name string, column_name string, uniqueness double")
 
