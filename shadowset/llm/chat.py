@@ -1,20 +1,23 @@
 r"""Chat formatting over a prefix tree of turns.
 
 *Template.* A turn is ``<turn ROLE>\nTEXT</turn>\n``. Inside role and text a backslash and ``<`` get a backslash before them,
-so no text can close a turn, open one, or hold the vocabulary's special token; undoing that gives the text back exactly.
+so no text can close a turn or open one; every string that the vocabulary reads as a control token gets one before its second
+character, so that none is ever encoded as that token. Undoing that gives the text back exactly.
 
-*Tree.* Conversations that share their first turns share nodes. A conversation's path is known by the hashes of its prefixes.
-Trees are split into bounded groups: conversations whose first turn is shared by at most GROUP are grouped by it; others by
-the deepest of their prefixes that more than GROUP share, dealt out by id into as many parts as that count asks for. Parts
-of one tree repeat the turns they share with other parts, within a part nothing is emitted twice.
+*Tree.* Conversations that share their first turns share nodes. A conversation's path is known by the digests of its prefixes.
+Prefixes that more than GROUP conversations share are trunk nodes: each is laid out once, as a tree of its own. What lies
+below them (or a whole tree, where nothing is shared that often) is dealt into parts of about GROUP conversations by the
+first prefix below the trunk, so a turn that conversations share is in one part only. A part names the trunk nodes above it.
+Every shared turn is so emitted once in all, however many conversations share it, and no task holds an unbounded group.
 
-*Output.* A task lays its group's tree out depth first. A node (one turn) has its tokens once; each token's position id is
-its distance from the root, and its attention is the intervals of the layout that its ancestors fill, plus itself causally.
-A conversation is a list of nodes; its loss mask covers the text tokens of assistant turns.
+*Output.* A task lays its part's tree out depth first. A node (one turn) has its tokens once; each token's position id is
+its distance from the root, trunk included, and its attention is the trunk nodes above the part, the intervals of the layout
+that its ancestors fill, and itself causally. A conversation is the trunk above its part and a list of nodes; its loss mask
+covers the text tokens of assistant turns.
 
 Defined results: turns are ordered by turn (nulls first), then role and text; null roles and texts are empty; rows with a null
-conv_id form one conversation of that name; repeated rows are turns of their own; extra columns are ignored; an empty table
-gives nothing.
+conv_id belong together with nothing and are conversations of one turn each; repeated rows are turns of their own; extra
+columns are ignored, whatever their names; an empty table gives nothing. One conversation is one sequence and held by one task.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shadowset.llm.common import bound_batches
+from shadowset.llm.common import arrow_map, bound_batches, stored
 from shadowset.llm.packing import encoder, tokenizer_path
 
 #: Conversations of a group, about.
@@ -36,17 +39,28 @@ ASSISTANT = "assistant"
 _TURN = re.compile(r"<turn ((?:[^\\<>]|\\.)*)>\n((?:[^\\<]|\\.)*)</turn>\n", re.S)
 
 
-def escape(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("<", "\\<")
+class Template:
+    """The turns' texts for a vocabulary with these control strings."""
 
+    def __init__(self, control: list[str] = ()):
+        self.control = sorted(control, key=len, reverse=True)
+        if any(len(c) < 2 or "\\" in c[:2] for c in self.control):
+            raise ValueError("a control string that cannot be broken by a backslash")
 
-def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.S)
+    def escape(self, text: str, more: str = "") -> str:
+        for c in ("\\", "<", *more):
+            text = text.replace(c, "\\" + c)
+        for c in self.control:
+            text = text.replace(c, c[0] + "\\" + c[1:])
+        return text
+
+    def parts(self, role: str | None, text: str | None) -> tuple[str, str, str]:
+        """A turn's opening, its text and its closing, escaped."""
+        return f"<turn {self.escape(role or '', '>')}>\n", self.escape(text or ""), "</turn>\n"
 
 
-def parts(role: str | None, text: str | None) -> tuple[str, str, str]:
-    """A turn's opening, its text and its closing, escaped."""
-    return f"<turn {escape(role or '').replace('>', chr(92) + '>')}>\n", escape(text or ""), "</turn>\n"
+def unescape(text: str) -> str:
+    return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -94,19 +108,19 @@ class Tree:
 
 
 class Layout:
-    """A tree in depth-first order: token ids, position ids, the loss mask, and for each node its own and its ancestors' intervals."""
+    """A tree in depth-first order: token ids, position ids, the loss mask, and for each node its own and its ancestors' intervals. base: tokens above its roots."""
 
-    def __init__(self, tree: Tree, enc):
+    def __init__(self, tree: Tree, enc, base: int = 0):
         self.tree, ids, loss = tree, [], []
         self.start, self.end, self.depth = {}, {}, {}
         self.intervals: dict[int, list[tuple[int, int]]] = {}
-        position, at = [], 0
+        template, position, at = Template(enc.special), [], 0
         for n in tree.depth_first():
             role, text = tree.turn[n]
-            mine = [np.frombuffer(enc.ids(x), np.uint32) for x in parts(role, text)]
+            mine = [np.frombuffer(enc.ids(x), np.uint32) for x in template.parts(role, text)]
             size = sum(map(len, mine))
             p = tree.parent[n]
-            self.depth[n] = self.depth[p] + self.end[p] - self.start[p] if p >= 0 else 0
+            self.depth[n] = self.depth[p] + self.end[p] - self.start[p] if p >= 0 else base
             self.start[n], self.end[n] = at, at + size
             self.intervals[n] = _joined([*self.intervals[p], (at, at + size)]) if p >= 0 else [(at, at + size)]
             ids += mine
@@ -118,7 +132,7 @@ class Layout:
         self.position = np.concatenate(position) if position else np.empty(0, np.int32)
 
     def attends(self, node: int, token: int) -> list[tuple[int, int]]:
-        """What a token of the node sees: its ancestors' intervals and its own node up to itself."""
+        """What a token of the node sees in this layout: its ancestors' intervals and its own node up to itself."""
         above = self.intervals[self.tree.parent[node]] if self.tree.parent[node] >= 0 else []
         return _joined([*above, (self.start[node], token + 1)])
 
@@ -129,78 +143,136 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return spans
 
 
-def _gathered(rows: DataFrame) -> DataFrame:
-    """conv_id, turns: array<struct<role, text>> in order."""
+def gathered(rows: DataFrame) -> DataFrame:
+    """talk (a key), conv_id, turns: array<struct<role, text>> in order, prefixes: a digest of the turns up to each one. Stored."""
+    own = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    rows = rows.select("conv_id", own.alias("own"), turn.alias("said"))
+    talks = rows.groupBy("conv_id", "own").agg(F.sort_array(F.collect_list("said")).alias("turns")).drop("own")
 
+    def chain(acc: Column, t: Column) -> Column:
+        last = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("").cast("binary"))
+        return F.concat(acc, F.array(F.unhex(F.md5(F.concat(last, F.concat_ws(":", F.length(t["role"]), t["role"], t["text"]).cast("binary"))))))
 
-def grouped(rows: DataFrame, size: int = GROUP) -> DataFrame:
-    """conv_id, turns, group: conversations of a group share their first turns, and a group has about ``size`` of them at most."""
-    talks = _gathered(rows)
+    talks = talks.withColumn("prefixes", F.aggregate("turns", F.expr("array()").cast("array<binary>"), chain))
+    return stored(talks.withColumn("talk", F.monotonically_increasing_id()), "talks")[0]
 
-    def chain(acc: Column, t: Column) -> Column:
-        last = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long"))
-        return F.concat(acc, F.array(F.xxhash64(last, t["role"], t["text"])))
 
-    hashes = F.aggregate("turns", F.expr("array()").cast("array<bigint>"), chain)
-    talks = talks.withColumn("prefixes", hashes)
+def grouped(talks: DataFrame, size: int = GROUP) -> DataFrame:
+    """talk, conv_id, turns (those below the trunk), trunk (the prefixes above them), part. talks: of gathered."""
     seen = talks.select(F.explode("prefixes").alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
     large = seen.filter(F.col("n") > size)
-    # how deep a conversation's large prefixes go: the group is the first prefix below them
+    # how deep a conversation's large prefixes go
     depth = (
-        talks.select("conv_id", F.posexplode("prefixes").alias("at", "prefix"))
+        talks.select("talk", F.posexplode("prefixes").alias("at", "prefix"))
         .join(large, "prefix")
-        .groupBy("conv_id")
+        .groupBy("talk")
         .agg((F.max("at") + 1).alias("large"), F.max_by("n", "at").alias("n"))
     )
-    talks = talks.join(depth.withColumnRenamed("conv_id", "_id"), F.col("conv_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    above = F.coalesce(F.col("large"), F.lit(0))
-    dealt = F.pmod(F.xxhash64("conv_id"), F.ceil(F.coalesce("n", F.lit(1)) / size).cast("long"))
-    # below a large prefix single conversations are dealt together, so that its turns are repeated as seldom as can be
-    group = F.when(above == 0, F.struct(F.element_at("prefixes", 1).alias("p"), F.lit(0).cast("long").alias("d"))).otherwise(F.struct(F.element_at("prefixes", F.greatest(above, F.lit(1)).cast("int")).alias("p"), dealt.alias("d")))
-    return talks.select("conv_id", "turns", group.alias("group"))
+    above = F.coalesce("large", F.lit(0))
+    first = F.try_element_at("prefixes", above + 1)
+    dealt = F.when(above > 0, F.pmod(F.coalesce(F.when(first.isNotNull(), F.xxhash64(first)), F.xxhash64("talk")), F.ceil(F.col("n") / size).cast("long"))).otherwise(F.lit(0).cast("long"))
+    top = F.element_at("prefixes", F.greatest(above, F.lit(1)).cast("int"))
+    return talks.join(depth, "talk", "left").select(
+        "talk",
+        "conv_id",
+        F.slice("turns", above + 1, F.size("turns")).alias("turns"),
+        F.slice("prefixes", 1, above).alias("trunk"),
+        F.struct(F.hex(top).alias("p"), dealt.alias("d")).alias("part"),
+        F.slice("turns", 1, above).alias("shared"),
+    )
+
 
+def formatted(rows: DataFrame, on_trunk, trunk_schema: str, on_part, schema: str, tokenizer: str | None = None, size: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The trunk nodes (prefix, parent, ``trunk_schema``) and what ``on_part`` makes of each part.
 
-def formatted(rows: DataFrame, fold, schema: str, tokenizer: str | None = None) -> DataFrame:
-    """Lay every group out and give what ``fold(conv_ids, layout)`` makes of it: a RecordBatch of ``schema``."""
+    on_trunk(layout of one node) gives the values of trunk_schema; its first column must be n long, the node's tokens. on_part(conv_ids, layout, above)
+    gives a RecordBatch of schema; above: the trunk's values from the root down, as dicts.
+    """
     bound_batches(rows.sparkSession)
     tokenizer = tokenizer or tokenizer_path()
+    dealt, _ = stored(grouped(gathered(rows), size or GROUP), "dealt")
+    nodes = dealt.filter(F.size("trunk") > 0).select(F.posexplode(F.arrays_zip("trunk", "shared")).alias("at", "x"), "trunk")
+    nodes = nodes.select(F.col("x.trunk").alias("prefix"), F.when(F.col("at") > 0, F.try_element_at("trunk", F.col("at"))).alias("parent"), F.col("at").alias("depth"), F.col("x.shared").alias("turn"))
+    nodes = nodes.groupBy("prefix").agg(F.any_value("parent").alias("parent"), F.any_value("depth").alias("depth"), F.any_value("turn").alias("turn"))
+    fields = [c.split()[0] for c in trunk_schema.split(", ")]
 
-    def each(group: pa.Table) -> pa.Table:
-        talks = [[(t["role"], t["text"]) for t in turns] for turns in group.column("turns").to_pylist()]
-        return pa.Table.from_batches([fold(group.column("conv_id").combine_chunks(), Layout(Tree(talks), encoder(tokenizer)))])
+    def make():
+        enc = encoder(tokenizer)
 
-    return grouped(rows).groupBy("group").applyInArrow(each, schema)
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = [on_trunk(Layout(Tree([[(t["role"], t["text"])]]), enc)) for t in batch.column("turn").to_pylist()]
+            columns = [pa.array(c) for c in zip(*out, strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column(c) for c in ("prefix", "parent", "depth")] + columns, names=["prefix", "parent", "depth", *fields])
 
+        return each
 
-TREES = "conv_ids array<long>, nodes array<array<int>>, parent array<int>, role array<string>, starts array<int>, ends array<int>, ids array<long>, position_ids array<int>, loss array<boolean>, intervals array<array<array<int>>>"
+    trunk, _ = stored(arrow_map(nodes, make, f"prefix binary, parent binary, depth int, {trunk_schema}"), "trunk")
+    asked = dealt.filter(F.size("trunk") > 0).select("part", "trunk").groupBy("part").agg(F.any_value("trunk").alias("trunk"))
+    chains = asked.select(F.col("part").alias("of"), F.posexplode("trunk").alias("at", "prefix")).join(trunk.select("prefix", *fields), "prefix")
 
+    def each(part: pa.Table, chain: pa.Table) -> pa.Table:
+        if not part.num_rows:
+            raise ValueError("a part without conversations")
+        above = sorted(chain.select(["at", *fields]).to_pylist(), key=lambda x: x["at"])
+        talks = [[(t["role"], t["text"]) for t in turns] for turns in part.column("turns").to_pylist()]
+        lay = Layout(Tree(talks), encoder(tokenizer), sum(x["n"] for x in above))
+        trunk = part.column("trunk")[0].as_py()
+        return pa.Table.from_batches([on_part(part.column("conv_id").combine_chunks(), lay, [x | {"prefix": p} for x, p in zip(above, trunk, strict=True)])])
 
-def trees(rows: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """The layouts: token ids, position ids and loss mask of each tree, every node's interval and its ancestors', and the conversations' paths."""
+    parts = dealt.select("part", "conv_id", "turns", "trunk").groupBy("part").cogroup(chains.groupBy("of")).applyInArrow(each, schema)
+    return trunk, parts
 
-    def fold(conv_ids: pa.Array, lay: Layout) -> pa.RecordBatch:
-        n = range(len(lay.tree.turn))
-        one = [
-            conv_ids.cast(pa.int64()).to_pylist(), lay.tree.paths, lay.tree.parent, [lay.tree.turn[i][0] for i in n], [lay.start[i] for i in n], [lay.end[i] for i in n],
-            lay.ids.astype(np.int64), lay.position, lay.loss, [[list(s) for s in lay.intervals[i]] for i in n],
-        ]
-        kinds = [pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()), pa.list_(pa.string()), *[pa.list_(pa.int32())] * 2, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.list_(pa.list_(pa.int32())))]
-        names = [c.split()[0] for c in TREES.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(one, kinds, strict=True)], names=names)
 
-    return formatted(rows, fold, TREES, tokenizer)
+TREES = "tree string, above array<string>, conv_ids array<long>, nodes array<array<int>>, parent array<int>, role array<string>, starts array<int>, ends array<int>, ids array<long>, position_ids array<int>, loss array<boolean>, intervals array<array<array<int>>>"
+
+
+def trees(rows: DataFrame, tokenizer: str | None = None, size: int | None = None) -> DataFrame:
+    """The layouts: token ids, position ids and loss mask of each tree, every node's interval and its ancestors', and the conversations' paths.
+
+    above: the trunk trees that every token of the tree also attends to, from the root down; a trunk tree has one node and no conversations.
+    """
+    kinds = [pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()), pa.list_(pa.string()), *[pa.list_(pa.int32())] * 2, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.list_(pa.list_(pa.int32())))]
+    names = [c.split()[0] for c in TREES.split(", ")]
+
+    def values(lay: Layout) -> list:
+        n = range(len(lay.tree.turn))
+        return [lay.tree.paths, lay.tree.parent, [lay.tree.turn[i][0] for i in n], [lay.start[i] for i in n], [lay.end[i] for i in n], lay.ids.astype(np.int64).tolist(), lay.position.tolist(), lay.loss.tolist(), [[list(s) for s in lay.intervals[i]] for i in n]]
+
+    def on_trunk(lay: Layout) -> tuple:
+        _, parent, role, starts, ends, ids, _, loss, intervals = values(lay)
+        return len(ids), role, ids, loss
+
+    def on_part(conv_ids: pa.Array, lay: Layout, above: list[dict]) -> pa.RecordBatch:
+        first = lay.tree.turn[0] if lay.tree.turn else ("", "")
+        name = hashlib.sha256(repr((above and above[-1]["prefix"], conv_ids.to_pylist(), first)).encode("utf-8", "surrogatepass")).hexdigest()[:32]
+        one = [pa.array([name]), pa.array([[x["prefix"].hex() for x in above]], pa.list_(pa.string())), pa.array([conv_ids.cast(pa.int64()).to_pylist()], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(one + [pa.array([v], k) for v, k in zip(values(lay), kinds, strict=True)], names=names)
+
+    trunk, parts = formatted(rows, on_trunk, "n long, role array<string>, ids array<long>, loss array<boolean>", on_part, TREES, tokenizer, size)
+    # a trunk node's positions begin where those above it end
+    up = trunk.select(F.col("prefix").alias("node"), "parent", "n")
+    reach, at = trunk.select("prefix", F.col("parent").alias("next"), F.lit(0).alias("base"), F.array().cast("array<string>").alias("above")), 0
+    while reach.filter("next is not null").limit(1).count():
+        step = up.select(F.col("node").alias("next"), F.col("parent").alias("_up"), "n")
+        reach, _ = stored(reach.join(step, "next", "left").select("prefix", F.col("_up").alias("next"), (F.col("base") + F.coalesce("n", F.lit(0))).cast("int").alias("base"), F.when(F.col("next").isNotNull(), F.concat(F.array(F.lower(F.hex("next"))), "above")).otherwise(F.col("above")).alias("above")), f"reach{at}")
+        at += 1
+    own = trunk.join(reach.drop("next"), "prefix")
+    whole = own.select(
+        F.lower(F.hex("prefix")).alias("tree"), "above", F.array().cast("array<long>").alias("conv_ids"), F.array().cast("array<array<int>>").alias("nodes"), F.array(F.lit(-1)).alias("parent"), "role",
+        F.array(F.lit(0)).alias("starts"), F.array(F.col("n").cast("int")).alias("ends"), "ids", F.when(F.col("n") > 0, F.sequence(F.col("base"), (F.col("base") + F.col("n") - 1).cast("int"))).otherwise(F.array().cast("array<int>")).alias("position_ids"), "loss", F.array(F.array(F.array(F.lit(0), F.col("n").cast("int")))).alias("intervals"),
+    )
+    return parts.unionByName(whole)
 
 
 REPORT = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def report(rows: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Per conversation, read back from the layout's tokens: its turns, the text under the loss mask and the formatted length."""
+def report(rows: DataFrame, tokenizer: str | None = None, size: int | None = None) -> DataFrame:
+    """Per conversation, read back from the layouts' tokens: its turns, the text under the loss mask and the formatted length."""
     tokenizer = tokenizer or tokenizer_path()
 
-    def fold(conv_ids: pa.Array, lay: Layout) -> pa.RecordBatch:
+    def read(lay: Layout) -> dict[int, tuple[str, str]]:
         whole = encoder(tokenizer).whole
         decode = lambda ids: whole.decode(ids.tolist(), skip_special_tokens=False)
         node: dict[int, tuple[str, str]] = {}
@@ -208,16 +280,23 @@ def report(rows: DataFrame, tokenizer: str | None = None) -> DataFrame:
             span = slice(lay.start[n], lay.end[n])
             ids, mask = lay.ids[span], lay.loss[span]
             node[n] = (decode(ids), unescape(decode(ids[mask])) if mask.any() else "")
-        out = []
+        return node
+
+    def on_trunk(lay: Layout) -> tuple:
+        return (len(lay.ids), *read(lay)[0])
+
+    def on_part(conv_ids: pa.Array, lay: Layout, above: list[dict]) -> pa.RecordBatch:
+        node, out = read(lay), []
+        before, loss_before = "".join(x["said"] for x in above), "".join(x["learned"] for x in above)
         for path in lay.tree.paths:
-            text = "".join(node[n][0] for n in path)
-            turns, loss = parse(text), "".join(node[n][1] for n in path)
+            text = before + "".join(node[n][0] for n in path)
+            turns, loss = parse(text), loss_before + "".join(node[n][1] for n in path)
             said = "".join(f"{r}\n{t}\n" for r, t in turns)
             out.append((len(turns), _sha(said), len(loss), _sha(loss), len(text)))
         columns = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([conv_ids.cast(pa.int64()), *(pa.array(c) for c in columns)], names=[c.split()[0] for c in REPORT.split(", ")])
 
-    return formatted(rows, fold, REPORT, tokenizer)
+    return formatted(rows, on_trunk, "n long, said string, learned string", on_part, REPORT, tokenizer, size)[1]
 
 
 def _sha(text: str) -> str:
