@@ -1,29 +1,30 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 1. *Index.* Every task tokenises its documents and stores index shards (one for each Arrow batch) in the shared folder.
-   A shard lays its documents out in one token space, with a gap after each, and holds for every benchmark term the sorted
-   list of its positions. Terms that no benchmark item has are not stored. For phrase search a position is also left out if
-   its run of benchmark terms is shorter than the shortest phrase: no phrase can lie there, so no match is lost.
-2. *Counts.* The shards' list lengths are summed over the whole corpus.
-3. *Search.* Each shard is searched on its own. A phrase starts from the list of its rarest term, moved back by the term's
-   offset, and is intersected with the offset-adjusted lists of its other terms, rarest first, until it is empty or holds
-   exact matches only. No shuffle, no pairs of documents and items.
+   A shard lays its documents out in one token space, with a gap after each, and holds for every word (as a 64-bit hash) the
+   sorted list of its positions. The index knows nothing of the benchmark: the corpus is read once, whatever is searched for.
+2. *Counts.* How often the benchmark's words occur in the whole corpus is summed from the shards' list lengths.
+3. *Search.* Each shard is searched on its own. Phrases are dropped from their rarest word on as soon as the shard lacks one of
+   their words. A phrase's starting points are the list of its rarest word, moved back by the word's offset; they are
+   intersected with the offset-adjusted lists of its other words, rarest first, for all phrases at once. No shuffle, no pairs of
+   documents and items.
 
-The benchmark is handled in blocks of at most BLOCK_CHARS characters by item hash (an item is never cut), so what a task
-holds of it is bounded. A block's results are merged by document row.
+The benchmark is handled in blocks of about BLOCK_CHARS characters by item hash (an item is never cut), one on the driver at a
+time and each a pass over the index; a block's results are merged by document row.
 
 Defined results: a null or wordless text has no words and is never contaminated; items without words match nothing; equal
-items share their windows and all of their ids count; items with a null id are left out; an empty benchmark contaminates
-nothing; repeated document rows give a row each; a null doc_id stays null; extra columns are ignored.
+items share their windows and all of their ids count; the windows of items with a null id count as hits, but such items are
+not named or counted; an empty benchmark contaminates nothing; repeated document rows give a row each; a null doc_id stays
+null; extra columns are ignored. Two words that share a 64-bit hash would be taken for one.
 """
 
 from __future__ import annotations
 
-import hashlib
-from itertools import repeat
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,88 +33,85 @@ from shadowset.llm.common import arrow_map, bound_batches, keyed, stored
 
 WINDOW = 13
 BLOCK_CHARS = 4 << 20
+#: Words remembered in a worker, and starting points compared at a time, at most.
+WORDS, POINTS = 400_000, 1 << 20
 #: A-Z in lower case, word characters as they are, everything else a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-INDEX = "shard long, doc_ids array<long>, starts array<int>, n_words array<int>, terms array<int>, counts array<int>, positions binary"
+INDEX = "shard long, doc_ids array<long>, starts array<int>, n_words array<int>, terms binary, counts binary, positions binary"
 
 
 def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
 
 
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < WORDS:
+            self[word] = value
+        return value
+
+
+_HASHES = _Hashes()
+
+
+def hashed(text: str | None) -> np.ndarray:
+    w = words(text)
+    return np.fromiter(map(_HASHES.__getitem__, w), np.uint64, len(w))
+
+
 class Phrases:
     """The windows of a block of items: distinct word sequences, and the items that each stands for."""
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
-        seen: dict[tuple, set] = {}
+        seen: dict[bytes, set] = {}
         for item, text in items:
-            w = words(text)
-            if item is not None and w:
-                for i in range(max(1, len(w) - window + 1)):
-                    seen.setdefault(tuple(w[i : i + window]), set()).add(item)
-        self.vocabulary = {w: i for i, w in enumerate(sorted({w for p in seen for w in p}))}
+            h = hashed(text)
+            for i in range(max(1, len(h) - window + 1) if len(h) else 0):
+                seen.setdefault(h[i : i + window].tobytes(), set()).update(() if item is None else (str(item),))
+        rows = [np.frombuffer(p, np.uint64) for p in seen]
+        self.vocabulary = np.unique(np.concatenate(rows)) if rows else np.empty(0, np.uint64)
         self.window = window
         self.items = list(seen.values())
-        self.lengths = np.array([len(p) for p in seen], np.int32)
-        self.terms = np.full((len(seen), window), -1, np.int32)
-        for row, p in zip(self.terms, seen, strict=True):
-            row[: len(p)] = [self.vocabulary[w] for w in p]
-        self.long_term, self.short_term = (np.zeros(len(self.vocabulary) + 1, bool) for _ in range(2))
-        whole = self.lengths == window
-        for mask, rows in ((self.long_term, self.terms[whole]), (self.short_term, self.terms[~whole])):
-            mask[rows[rows >= 0]] = True
-        self.least = int(self.lengths[~whole].min()) if (~whole).any() else window
-
-    def kept(self, ids: np.ndarray) -> np.ndarray:
-        """Which positions can lie in a phrase: those in long enough runs of the terms of whole windows, or of short items."""
-        return long_runs(self.long_term[ids], self.window) | long_runs(self.short_term[ids], self.least)
-
-
-def long_runs(mask: np.ndarray, least: int) -> np.ndarray:
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
-    start, end = edges[::2], edges[1::2]
-    good = end - start >= least
-    step = np.zeros(len(mask) + 1, np.int32)
-    step[start[good]] += 1
-    step[end[good]] -= 1
-    return np.cumsum(step[:-1]) > 0
-
-
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int], phrases: Phrases | None = None, gap: int = 64) -> tuple[DataFrame, str]:
-    """Store the positional index of docs (doc_id, text) for the terms of vocabulary. With phrases: only positions that can lie in one."""
+        self.lengths = np.array([len(p) for p in rows], np.int32)
+        self.terms = np.full((len(rows), window), -1, np.int32)
+        for row, p in zip(self.terms, rows, strict=True):
+            row[: len(p)] = np.searchsorted(self.vocabulary, p)
+
+
+def build_index(docs: DataFrame, gap: int = 64) -> tuple[DataFrame, str]:
+    """Store the positional index of docs (doc_id, text): the positions of all words."""
 
     def make():
         count = iter(range(1 << 33))
         part = TaskContext.get().partitionId() << 33
-        get = vocabulary.get
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, starts, lengths, at = [], [], [], 0
-            pause = np.full(gap, -1, np.int32)
+            ids, where, starts, lengths, at = [], [], [], [], 0
             for text in batch.column("text"):
-                w = words(text.as_py())
-                ids += [np.fromiter(map(get, w, repeat(-1)), np.int32, len(w)), pause]
+                h = hashed(text.as_py())
+                ids.append(h)
+                where.append(np.arange(at, at + len(h), dtype=np.int32))
                 starts.append(at)
-                lengths.append(len(w))
-                at += len(w) + gap
-            ids = np.concatenate(ids)
-            keep = ids >= 0 if phrases is None else phrases.kept(ids)
-            where = np.flatnonzero(keep).astype(np.int32)
-            by = np.argsort(ids[where], kind="stable")
-            terms, counts = np.unique(ids[where], return_counts=True)
-            one = lambda values, kind: pa.array([values], pa.list_(kind))
+                lengths.append(len(h))
+                at += len(h) + gap
+            ids, where = np.concatenate(ids), np.concatenate(where)
+            by = np.argsort(ids, kind="stable")
+            ids, where = ids[by], where[by]
+            first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.empty(0, np.int64)
+            counts = np.diff(np.append(first, len(ids))).astype(np.int32)
+            steps = np.diff(where, prepend=np.int32(0)).astype(np.int32)  # small numbers compress well
+            one = lambda values: pa.array([np.array(values, np.int32)], pa.list_(pa.int32()))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part + next(count)], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), batch.column("doc_id").cast(pa.int64())),
-                    one(np.array(starts, np.int32), pa.int32()),
-                    one(np.array(lengths, np.int32), pa.int32()),
-                    one(terms.astype(np.int32), pa.int32()),
-                    one(counts.astype(np.int32), pa.int32()),
-                    pa.array([where[by].tobytes()], pa.binary()),
+                    one(starts),
+                    one(lengths),
+                    *(pa.array([x.tobytes()], pa.binary()) for x in (ids[first], counts, steps)),
                 ],
-                names=["shard", "doc_ids", "starts", "n_words", "terms", "counts", "positions"],
+                names=[c.split()[0] for c in INDEX.split(", ")],
             )
 
         return each
@@ -121,76 +119,113 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], phrases: Phrases
     return stored(arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, INDEX), "postings")
 
 
-def term_counts(index: DataFrame) -> dict[int, int]:
-    """How often each term occurs in the index. At most as many as the vocabulary it was built with."""
-    pairs = index.select(F.inline(F.arrays_zip("terms", "counts")))
-    return {r[0]: r[1] for r in pairs.groupBy("terms").agg(F.sum("counts")).collect()}
-
-
 class Shard:
-    def __init__(self, row: dict):
-        self.terms = np.asarray(row["terms"], np.int32)
-        self.edge = np.concatenate(([0], np.cumsum(row["counts"], dtype=np.int64))).astype(np.int64)
-        self.positions = np.frombuffer(row["positions"], np.int32)
-        self.starts, self.n_words, self.doc_ids = np.asarray(row["starts"], np.int32), np.asarray(row["n_words"], np.int32), row["doc_ids"]
+    """A row of the index as arrays: the sorted words, where each one's list begins, and the lists."""
 
-    def has(self, terms: np.ndarray) -> np.ndarray:
-        if not len(self.terms):
-            return terms < 0
-        return (terms < 0) | (self.terms[np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)] == terms)
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        data = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)
+        self.number = batch.column("shard")[i].as_py()
+        self.terms = data("terms", np.uint64)
+        self.edge = np.concatenate(([0], np.cumsum(data("counts", np.int32), dtype=np.int64)))
+        self.positions = np.cumsum(data("positions", np.int32), dtype=np.int32)
+        self.starts, self.n_words = (batch.column(c)[i].values.to_numpy() for c in ("starts", "n_words"))
+        self.doc_ids = batch.column("doc_ids")[i].values
 
-    def list(self, term: int) -> np.ndarray:
-        i = int(np.searchsorted(self.terms, term))
-        return self.positions[self.edge[i] : self.edge[i + 1]] if i < len(self.terms) and self.terms[i] == term else self.positions[:0]
+    def lists(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and length of each word's list."""
+        return _found(self.terms, self.edge, terms)
 
-    def phrase(self, terms: np.ndarray, rarest: np.ndarray) -> np.ndarray:
-        """Where the phrase starts; rarest: its offsets, by how rare their terms are."""
-        at = self.list(terms[rarest[0]]) - rarest[0]
-        for o in rarest[1:]:
-            if not len(at):
-                break
-            other = self.list(terms[o])
-            i = np.searchsorted(other, at + o)
-            at = at[(i < len(other)) & (other[np.minimum(i, len(other) - 1)] == at + o)]
-        return at
+    def list(self, term: int) -> np.ndarray:
+        begin, n = self.lists(np.array([term], np.uint64))
+        return self.positions[begin[0] : begin[0] + n[0]]
 
     def documents(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, positions, "right") - 1
 
 
-def _rows(batch: pa.RecordBatch):
-    for i in range(len(batch)):
-        value = {name: batch.column(name)[i] for name in ("terms", "counts", "starts", "n_words")}
-        yield {k: v.values.to_numpy() for k, v in value.items()} | {"positions": batch.column("positions")[i].as_buffer(), "doc_ids": batch.column("doc_ids")[i].values, "shard": batch.column("shard")[i].as_py()}
+def _found(known: np.ndarray, edge: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(known):
+        return np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
+    i = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+    return edge[i], np.where(known[i] == terms, edge[i + 1] - edge[i], 0)
+
+
+def term_counts(index: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """How often each of the (sorted, distinct) terms occurs in the whole index. Every task sends one row for each of them that it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(terms), np.int64)
+        for batch in batches:
+            for a, c in zip(batch.column("terms"), batch.column("counts"), strict=True):
+                edge = np.concatenate(([0], np.cumsum(np.frombuffer(c.as_buffer(), np.int32), dtype=np.int64)))
+                total += _found(np.frombuffer(a.as_buffer(), np.uint64), edge, terms)[1]
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["at", "n"])
+
+    bound_batches(index.sparkSession)
+    out = np.zeros(len(terms), np.int64)
+    for r in index.select("terms", "counts").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out
 
 
-def rarest_first(phrases: Phrases, counts: dict[int, int]) -> np.ndarray:
-    often = np.full(len(phrases.vocabulary) + 1, np.iinfo(np.int64).max)
-    often[:-1] = [counts.get(i, 0) for i in range(len(phrases.vocabulary))]
+def rarest_first(phrases: Phrases, counts: np.ndarray) -> np.ndarray:
+    """For each phrase its offsets, by how rare their words are."""
+    often = np.append(counts, np.iinfo(np.int64).max)
     return np.argsort(often[phrases.terms], axis=1, kind="stable").astype(np.int32)
 
 
+def search(shard: Shard, phrases: Phrases, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which phrases start where in the shard."""
+    begin, n = shard.lists(phrases.vocabulary)
+    alive = np.arange(len(phrases.terms))
+    for k in range(phrases.window):
+        t = phrases.terms[alive, order[alive, k]]
+        alive = alive[(t < 0) | (n[t] > 0)]
+    if not len(alive):
+        return alive, alive
+    # the lists of the block's words, as the word at each position
+    size = int(shard.starts[-1] + shard.n_words[-1]) + phrases.window
+    word_at = np.full(size, -1, np.int32)
+    for t in np.unique(phrases.terms[alive]):
+        if t >= 0:
+            word_at[shard.positions[begin[t] : begin[t] + n[t]]] = t
+    found, where = [], []
+    rarest = phrases.terms[alive, order[alive, 0]]
+    chunk = np.cumsum(n[rarest]) // POINTS
+    for part in np.split(np.arange(len(alive)), np.flatnonzero(np.diff(chunk)) + 1):
+        many = n[rarest[part]]
+        phrase = np.repeat(alive[part], many)
+        inner = np.arange(len(phrase)) - np.repeat(np.cumsum(many) - many, many)
+        at = shard.positions[np.repeat(begin[rarest[part]], many) + inner] - order[phrase, 0]
+        keep = at >= 0
+        phrase, at = phrase[keep], at[keep]
+        for k in range(1, phrases.window):
+            o = order[phrase, k]
+            t = phrases.terms[phrase, o]
+            keep = (t < 0) | (word_at[np.minimum(at + o, size - 1)] == t)
+            phrase, at = phrase[keep], at[keep]
+            if not len(at):
+                break
+        found.append(phrase), where.append(at)
+    return np.concatenate(found), np.concatenate(where)
+
+
 MATCHES = "shard long, row int, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
 
 
 def find_phrases(index: DataFrame, phrases: Phrases, matched_only: bool = False) -> DataFrame:
     """One row per document (matched_only: with a match): the joined stretches that phrases cover, and the ids of the items they are of."""
-    order = rarest_first(phrases, term_counts(index))
+    order = rarest_first(phrases, term_counts(index, phrases.vocabulary))
 
     def make():
-        def search(row: dict) -> pa.RecordBatch:
-            shard = Shard(row)
+        def one(shard: Shard) -> pa.RecordBatch:
+            phrase, at = search(shard, phrases, order)
             size = int(shard.starts[-1] + shard.n_words[-1]) + 1
-            step = np.zeros(size + 1, np.int32)
+            step = np.bincount(at, minlength=size + 1) - np.bincount(at + phrases.lengths[phrase], minlength=size + 1) if len(at) else np.zeros(size + 1, np.int64)
             items: dict[int, set] = {}
-            for p in np.flatnonzero(shard.has(phrases.terms).all(axis=1)):
-                n = int(phrases.lengths[p])
-                at = shard.phrase(phrases.terms[p], order[p][:n])
-                if len(at):
-                    step[at] += 1
-                    step[at + n] -= 1
-                    for d in np.unique(shard.documents(at)).tolist():
-                        items.setdefault(d, set()).update(phrases.items[p])
+            for d, p in np.unique(np.stack([shard.documents(at), phrase], 1), axis=0).tolist() if len(at) else ():
+                items.setdefault(d, set()).update(phrases.items[p])
             covered = np.concatenate(([False], np.cumsum(step[:-1]) > 0, [False]))
             edges = np.flatnonzero(np.diff(covered.astype(np.int8)))
             starts, ends = edges[::2], edges[1::2]
@@ -200,19 +235,19 @@ def find_phrases(index: DataFrame, phrases: Phrases, matched_only: bool = False)
             base = shard.starts
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(took), row["shard"]), pa.int64()),
+                    pa.array(np.full(len(took), shard.number), pa.int64()),
                     pa.array(took.astype(np.int32)),
                     shard.doc_ids.take(pa.array(took)),
                     pa.array(shard.n_words[took].astype(np.int64)),
                     pa.array([(starts[a:b] - base[d]).astype(np.int32) for d, a, b in zip(took, lo, hi, strict=True)], pa.list_(pa.int32())),
                     pa.array([(ends[a:b] - base[d]).astype(np.int32) for d, a, b in zip(took, lo, hi, strict=True)], pa.list_(pa.int32())),
-                    pa.array([sorted(map(str, items.get(int(d), ()))) for d in took], pa.list_(pa.string())),
+                    pa.array([sorted(items.get(int(d), ())) for d in took], pa.list_(pa.string())),
                 ],
-                names=["shard", "row", "doc_id", "n_words", "starts", "ends", "items"],
+                names=[c.split()[0] for c in MATCHES.split(", ")],
             )
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            found = pa.Table.from_batches([search(r) for r in _rows(batch)]).combine_chunks().to_batches()
+            found = pa.Table.from_batches([one(Shard(batch, i)) for i in range(len(batch))]).combine_chunks().to_batches()
             return found[0] if found else None
 
         return each
@@ -220,52 +255,58 @@ def find_phrases(index: DataFrame, phrases: Phrases, matched_only: bool = False)
     return arrow_map(index, make, MATCHES)
 
 
-def find_near(index: DataFrame, queries: list[tuple], vocabulary: dict[bytes, int], slop: int) -> DataFrame:
+def find_near(index: DataFrame, queries: list[tuple], slop: int) -> DataFrame:
     """Proximity: for each query (id, text) the documents that hold all of its distinct words within ``slop`` consecutive words, with the tightest such
-    stretch (the first of equally tight ones). index: of build_index without phrases and with a gap of at least slop."""
-    asked = [(q, sorted({vocabulary.get(w, -1) for w in words(text)})) for q, text in queries]
-    asked = [(q, t) for q, t in asked if t and t[0] >= 0]
-    counts = term_counts(index)
+    stretch (the first of equally tight ones). index: of build_index with a gap of at least slop."""
+    asked = [(q, t) for q, t in ((q, np.unique(hashed(text))) for q, text in queries) if len(t)]
+    every = np.unique(np.concatenate([t for _, t in asked])) if asked else np.empty(0, np.uint64)
+    often = dict(zip(every.tolist(), term_counts(index, every).tolist(), strict=True))
+    asked = [(q, sorted(t.tolist(), key=often.get)) for q, t in asked]
 
     def make():
+        def tightest(shard: Shard, terms: list[int]) -> dict[int, tuple[int, int]]:
+            near = []
+            for i, t in enumerate(terms):  # the rarest first: the others only count near it
+                pos = shard.list(t)
+                if i:
+                    j = np.searchsorted(near[0], pos)
+                    gap = np.minimum(np.abs(near[0][np.minimum(j, len(near[0]) - 1)] - pos), np.abs(near[0][np.maximum(j - 1, 0)] - pos))
+                    pos = pos[gap < slop]
+                if not len(pos):
+                    return {}
+                near.append(pos)
+            best: dict[int, tuple[int, int]] = {}
+            last = [-slop - 1] * len(terms)
+            for p, i in sorted((int(p), i) for i, x in enumerate(near) for p in x):
+                last[i] = p
+                low = min(last)
+                if low >= 0 and p - low < slop:
+                    d = int(shard.documents(np.array([p]))[0])
+                    if low >= shard.starts[d] and (d not in best or p + 1 - low < best[d][1] - best[d][0]):
+                        best[d] = (low, p + 1)
+            return best
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for row in _rows(batch):
-                shard, best = Shard(row), {}
+            for i in range(len(batch)):
+                shard = Shard(batch, i)
                 for q, terms in asked:
-                    anchor = shard.list(min(terms, key=lambda t: counts.get(t, 0)))
-                    near = [np.array([], np.int64)] * len(terms)
-                    for i, t in enumerate(terms if len(anchor) else ()):
-                        pos = shard.list(t)
-                        j = np.searchsorted(anchor, pos)
-                        gap = np.minimum(np.abs(anchor[np.minimum(j, len(anchor) - 1)] - pos), np.abs(anchor[np.maximum(j - 1, 0)] - pos))
-                        near[i] = pos[gap < slop]
-                    if not all(map(len, near)):
-                        continue
-                    event = sorted((int(p), i) for i, x in enumerate(near) for p in x)
-                    last = [-slop - 1] * len(terms)
-                    for p, i in event:
-                        last[i] = p
-                        low = min(last)
-                        if p - low < slop and low >= 0:
-                            d = int(shard.documents(np.array([p]))[0])
-                            if low >= shard.starts[d] and (p - low) < (lambda b: b[1] - b[0] - 1)(best.get((q, d), (0, 1 << 40))):
-                                best[q, d] = (low, p + 1)
-                out += [(q, shard.doc_ids[d].as_py(), int(a - shard.starts[d]), int(b - shard.starts[d])) for (q, d), (a, b) in best.items()]
+                    out += [(str(q), shard.doc_ids[d].as_py(), int(a - shard.starts[d]), int(b - shard.starts[d])) for d, (a, b) in tightest(shard, terms).items()]
             cols = list(zip(*out, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(map(str, cols[0]), pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["query", "doc_id", "start", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["query", "doc_id", "start", "end"])
 
         return each
 
     return arrow_map(index, make, "query string, doc_id long, start long, end long")
 
 
-def blocks_of(benchmark: DataFrame) -> list[list[tuple]]:
-    """The items, in blocks of about BLOCK_CHARS characters."""
-    total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = int(total // BLOCK_CHARS) + 1
+def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple]]:
+    """The items, in blocks of about BLOCK_CHARS characters, one at a time."""
+    items = benchmark.select("item_id", "text")
+    n = int((items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS) + 1
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r[0], r[1]) for r in benchmark.filter(block == i).select("item_id", "text").collect()] for i in range(n)] if n > 1 else [[(r[0], r[1]) for r in benchmark.select("item_id", "text").collect()]]
+    for i in range(n):
+        yield [(r[0], r[1]) for r in (items.filter(block == i) if n > 1 else items).collect()]
 
 
 def _merged(matches: DataFrame) -> DataFrame:
@@ -285,13 +326,12 @@ def _merged(matches: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per row of docs: how many of its words lie inside an occurrence of a window of a benchmark item, and whose."""
     bound_batches(docs.sparkSession)
-    found = None
-    for i, items in enumerate(blocks := blocks_of(benchmark)):
-        phrases = Phrases(items, window)
-        index, _ = build_index(docs, phrases.vocabulary, phrases)
-        some = find_phrases(index, phrases, matched_only=i > 0)
-        found = some if found is None else found.unionByName(some)
-    if len(blocks) > 1:
+    index, _ = build_index(docs)
+    found, blocks = None, blocks_of(benchmark)
+    for i, items in enumerate(blocks):
+        some = find_phrases(index, Phrases(items, window), matched_only=i > 0)
+        found = some if found is None else found.unionByName(stored(some, "matches")[0])
+    if i:
         found = _merged(found)
     hit = F.aggregate(F.zip_with("starts", "ends", lambda s, e: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return (

@@ -18,14 +18,14 @@ def brute(docs, items, window=13):
         hit, who = set(), set()
         for item, t in items:
             q = split(t)
-            if item is None or not q:
+            if not q:
                 continue
             for i in range(max(1, len(q) - window + 1)):
                 p = q[i : i + window]
                 for k in range(len(w) - len(p) + 1):
                     if w[k : k + len(p)] == p:
                         hit |= set(range(k, k + len(p)))
-                        who.add(str(item))
+                        who |= {str(item)} - {"None"}
         sha = hashlib.sha256(",".join(sorted(who)).encode()).hexdigest()
         out.append((doc_id, len(w), len(hit), len(who), sha, len(hit) > 0 and 20 * len(hit) >= len(w)))
     return sorted(out, key=str)
@@ -96,7 +96,24 @@ def test_stage_judges_each_row(spark):
 def test_proximity(spark):
     docs = [(1, "a b c d e"), (2, "a x x x x x c"), (3, "c a"), (4, "a"), (5, "c x a c")]
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    v = {b"a": 0, b"c": 1}
-    index, _ = decontam.build_index(d, v, gap=10)
-    got = {(r.query, r.doc_id): (r.start, r.end) for r in decontam.find_near(index, [("q", "a c"), ("none", "zz a")], v, 4).collect()}
+    index, _ = decontam.build_index(d, gap=10)
+    got = {(r.query, r.doc_id): (r.start, r.end) for r in decontam.find_near(index, [("q", "a c"), ("none", "zz a")], 4).collect()}
     assert got == {("q", 1): (0, 3), ("q", 3): (0, 2), ("q", 5): (2, 4)}
+
+
+def test_one_index_serves_all_blocks(spark, monkeypatch):
+    docs, items = data()
+    built = []
+    plain = decontam.build_index
+    monkeypatch.setattr(decontam, "build_index", lambda *x: built.append(1) or plain(*x))
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 200)
+    monkeypatch.setattr(decontam, "POINTS", 50)
+    got = decontam.contamination(*frames(spark, docs, items)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(docs, items) and len(built) == 1
+
+
+def test_items_without_an_id_count_as_hits(spark):
+    text = " ".join(f"q{i}" for i in range(20))
+    d, b = frames(spark, [(1, text), (2, "a b")], [(None, text)])
+    got = {r.doc_id: r for r in decontam.contamination(d, b).collect()}
+    assert got[1].n_hit == 20 and got[1].contaminated and got[1].n_items == 0 and not got[2].contaminated
