@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+
 from pyarrow import fs
 
 
@@ -10,13 +13,17 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri else fs.FileSystem.from_uri("file://" + uri.removeprefix("file:"))
 
 
-def write_bytes(uri: str, data: bytes) -> None:
-    """Write a file whole: under another name first, so that a retried or doubled task leaves one complete file."""
-    import uuid
-
+@contextlib.contextmanager
+def writing(uri: str):
+    """A stream to a file that appears whole at the end: under another name first, so that a retried or doubled task leaves one complete file."""
     where, path = opened(uri)
     where.create_dir(path.rsplit("/", 1)[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.tmp"
     with where.open_output_stream(part) as f:
-        f.write(data)
+        yield f
     where.move(part, path)
+
+
+def write_bytes(uri: str, data: bytes) -> None:
+    with writing(uri) as f:
+        f.write(data)

@@ -5,17 +5,18 @@ with equal payloads that with the largest page_id is the response and the others
 found by SHA-1 of the UTF-8 bytes before any record is written, and only pages that share theirs get a row in that join.
 
 *Index.* A capture's key is its URL with the host's labels reversed, then the page id. Captures are sorted by key over all
-tasks (ranges of the key, so one host can span many), and each task writes its range as blocks of BLOCK entries, each block
-compressed on its own, plus a sparse directory: first key, offset and length of every block. Above that stands the list of
-the ranges, one entry per task.
+tasks (ranges of the key, so one host can span many; as many ranges as the captures ask for), and each task writes its range
+as blocks of BLOCK entries, each block compressed on its own and written as it is full, plus a sparse directory: first key,
+offset and length of every block. Above that stands the list of the ranges, one entry per task.
 
 *Reading.* A lookup binary-searches the range list, the range's directory and the unpacked block, then reads the record's
-byte range from its archive. Lookups in bulk are sorted by key first, so a task walks few blocks; records it then reads by
-archive and offset.
+byte range from its archive. Lookups in bulk are sorted by key, so a task walks few blocks; the places found are then sorted
+by archive and offset over all tasks, and near ones are read together.
 
-Defined results: null html is an empty payload; null urls are archived under an empty URL; rows with a null page_id have no
-record and no result; rows that repeat a page_id are separate captures, and all of those with the winning id and payload are
-responses; extra columns are ignored; an empty table writes no archive and gives no rows.
+Defined results: null html is an empty payload; null urls are archived under an empty URL; rows with a null page_id are
+archived without one, revisit the largest id with their payload, and are responses where no row of that payload has an id;
+rows that repeat a page_id are separate captures, and all of those with the winning id and payload are responses; extra
+columns are ignored; an empty table writes no archive and gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import base64
 import bisect
 import gzip
 import hashlib
+import itertools
 import json
 import uuid
 import zlib
@@ -34,10 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shadowset.llm.common import arrow_map, bound_batches, scratch, stored
-from shadowset.llm.storage import opened, write_bytes
+from shadowset.llm.common import arrow_map, bound_batches, dropped, scratch, stored
+from shadowset.llm.storage import opened, write_bytes, writing
 
 BLOCK = 1000
+#: Captures of an index range at most, and in a table of few captures.
+RANGE, SMALL_RANGE = 500_000, 5_000
+#: Bytes read at once, and between two records read together, at most.
+READ, NEAR = 8 << 20, 64 << 10
 #: Bytes after which a task begins its next archive file.
 ARCHIVE = 64 << 20
 #: Payloads shorter than this are never revisits.
@@ -45,45 +51,49 @@ LEAST = 0
 DATE = "2024-01-01T00:00:00Z"
 
 
-def sort_key(url: str | None, page_id: int) -> str:
+def sort_key(url: str | None, page_id: int | None) -> str:
     """The reversed host, then port, path and query, then the page id."""
-    url = url or ""
+    url, number = url or "", "" if page_id is None else f"{page_id + 2**63:020d}"
     try:
         parts = urlsplit(url)
         host, port = parts.hostname or "", parts.port
     except ValueError:
-        return f")-{' '.join(url.split())} {page_id + 2**63:020d}"
+        return f")-{'%20'.join(url.split())} {number}"
     rest = parts.path + ("?" + parts.query if parts.query else "") + ("#" + parts.fragment if parts.fragment else "")
     name = ",".join(reversed(host.lower().split("."))) + (f":{port}" if port else "") + ")" + rest
-    return f"{'%20'.join(name.split())} {page_id + 2**63:020d}"
+    return f"{'%20'.join(name.split())} {number}"
 
 
 def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def _record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One WARC record. A revisit has no payload; its headers tell the payload's digest and size and the response."""
-    kind = "response" if refers_to is None else "revisit"
+    kind, digest = "response" if refers_to is None else "revisit", digest32(payload)
     head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     body = head.encode() + (payload if refers_to is None else b"")
     uri = "".join(c if " " < c else "%%%02X" % ord(c) for c in url or "")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>",
+        f"WARC-Record-ID: {_record_id(page_id, digest)}",
         f"WARC-Target-URI: {uri}",
         f"WARC-Date: {DATE}",
-        f"WARC-Payload-Digest: sha1:{digest32(payload)}",
+        f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{digest32(body)}",
-        f"X-Page-Id: {page_id}",
+        f"X-Page-Id: {'' if page_id is None else page_id}",
         f"X-Payload-Length: {len(payload)}",
         "Content-Type: application/http; msgtype=response",
     ]
     if refers_to is not None:
         lines += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>",
+            f"WARC-Refers-To: {_record_id(refers_to, digest)}",
             f"X-Refers-To-Page-Id: {refers_to}",
         ]
     lines.append(f"Content-Length: {len(body)}")
@@ -106,12 +116,18 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, payload
 
 
-def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, refers_to, of: the pages whose payload another page with a larger id has too. ``of`` is the payload's SHA-1."""
+def _with_digest(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, of (the payload's SHA-1), n (its bytes)."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    some = pages.filter("page_id is not null").select("page_id", F.sha1(payload).alias("of"), F.length(payload).alias("n")).filter(F.col("n") >= least)
-    best = some.groupBy("of").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("first")).filter("refers_to > first").drop("first")
-    return some.join(best, "of").filter("page_id < refers_to").select("page_id", "refers_to", "of").distinct()
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(payload).alias("of"), F.length(payload).alias("n"))
+
+
+def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
+    """page_id, refers_to, of: the pages whose payload another page with a larger id has too; a null id is less than all others. ``of`` is the payload's SHA-1."""
+    some = _with_digest(pages).filter(F.col("n") >= least).select("page_id", "of")
+    best = some.groupBy("of").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("first"), F.count(F.lit(1)).alias("k"), F.count("page_id").alias("named"))
+    best = best.filter("refers_to > first or k > named and named > 0").select("of", "refers_to")
+    return some.join(best, "of").filter("page_id is null or page_id < refers_to").select("page_id", "refers_to", "of").distinct()
 
 
 ENTRIES = "key string, page_id long, archive string, offset long, size long"
@@ -119,10 +135,9 @@ ENTRIES = "key string, page_id long, archive string, offset long, size long"
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> tuple[DataFrame, str]:
     """Write the archives; returns the captures: key, page_id, archive, offset, size."""
-    again = revisits(pages, least)
-    pages = pages.filter("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    ready = pages.withColumn("_of", F.sha1(payload)).alias("p").join(again.alias("r"), (F.col("p.page_id") == F.col("r.page_id")) & (F.col("p._of") == F.col("r.of")), "left").select("p.page_id", "p.url", "p.html", "r.refers_to")
+    again = revisits(pages, least).alias("r")
+    same = F.col("p.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("p.of") == F.col("r.of"))
+    ready = _with_digest(pages).alias("p").join(again, same, "left").select("p.page_id", "p.url", "p.html", "r.refers_to")
 
     def run(batches):
         task, serial, room, held, at = TaskContext.get(), 0, bytearray(), [], 0
@@ -152,38 +167,43 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> tuple[D
     return stored(ready.mapInArrow(run, ENTRIES), "captures")
 
 
-def write_index(captures: DataFrame, folder: str) -> DataFrame:
+def _ranges_for(spark, n: int) -> int:
+    """In how many ranges to sort n captures: by their number, and in a small table one for each core that has enough of them."""
+    return max(-(-n // RANGE), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SMALL_RANGE)), 1)
+
+
+def write_index(captures: DataFrame, folder: str) -> tuple[DataFrame, str]:
     """Sort the captures by key and write each range's blocks and directory. Returns the list of ranges: first, last, path, n."""
     spark = captures.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bound_batches(spark)
-    ranged = captures.repartitionByRange(n, "key").sortWithinPartitions("key", "archive", "offset")
+    ranged = captures.repartitionByRange(_ranges_for(spark, captures.count()), "key").sortWithinPartitions("key", "archive", "offset")
 
     def run(batches):
-        task, room, directory, lines, first, last, total = TaskContext.get(), bytearray(), [], [], None, None, 0
-
-        def close():
-            nonlocal lines
-            if lines:
-                data = zlib.compress("\n".join(lines).encode("utf-8", "surrogatepass"), 6)
-                directory.append((lines[0].split("\t", 1)[0], len(room), len(data)))
-                room.extend(data)
-                lines = []
-
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "page_id", "archive", "offset", "size")), strict=True):
+        task, directory, lines, first, last, total = TaskContext.get(), [], [], None, None, 0
+        path = f"{folder}/range-{task.partitionId():06d}-{task.taskAttemptId()}"
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("key", "page_id", "archive", "offset", "size")), strict=True))
+        begun = next(rows, None)
+        if begun is None:
+            return
+        with writing(path + ".blocks") as out:
+
+            def close():
+                if lines:
+                    data = zlib.compress("\n".join(lines).encode("utf-8", "surrogatepass"), 6)
+                    directory.append((lines[0].split("\t", 1)[0], out.tell(), len(data)))
+                    out.write(data)
+                    lines.clear()
+
+            for row in itertools.chain([begun], rows):
                 first, last, total = first if first is not None else row[0], row[0], total + 1
-                lines.append("\t".join(map(str, row)))
+                lines.append("\t".join("" if x is None else str(x) for x in row))
                 if len(lines) == BLOCK:
                     close()
-        close()
-        if total:
-            path = f"{folder}/range-{task.partitionId():06d}-{task.taskAttemptId()}"
-            write_bytes(path + ".blocks", bytes(room))
-            write_bytes(path + ".directory", json.dumps(directory).encode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([last]), pa.array([path]), pa.array([total], pa.int64())], names=["first", "last", "path", "n"])
+            close()
+        write_bytes(path + ".directory", json.dumps(directory).encode("utf-8", "surrogatepass"))
+        yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([last]), pa.array([path]), pa.array([total], pa.int64())], names=["first", "last", "path", "n"])
 
-    return stored(ranged.mapInArrow(run, "first string, last string, path string, n long"), "ranges")[0]
+    return stored(ranged.mapInArrow(run, "first string, last string, path string, n long"), "ranges")
 
 
 class Index:
@@ -240,18 +260,35 @@ class Index:
 
     def read(self, places: list[tuple[str, int, int]]):
         """(headers, payload) of each place, archive by archive."""
-        handle, name = None, None
-        try:
-            for archive, offset, size in places:
-                if archive != name:
-                    if handle:
-                        handle.close()
-                    where, path = opened(f"{self.archives}/{archive}")
-                    handle, name = where.open_input_file(path), archive
-                yield parse(gzip.decompress(handle.read_at(size, offset)))
-        finally:
-            if handle:
-                handle.close()
+        return Archives(self.archives).read(places)
+
+
+class Archives:
+    """Records by archive, offset and size. Places in order are read together where they are near; the last archive stays open."""
+
+    def __init__(self, folder: str):
+        self.folder, self.name, self.handle = folder, None, None
+
+    def _open(self, name: str):
+        if name != self.name:
+            if self.handle:
+                self.handle.close()
+            where, path = opened(f"{self.folder}/{name}")
+            self.name, self.handle = name, where.open_input_file(path)
+        return self.handle
+
+    def read(self, places: list[tuple[str, int, int]]):
+        at = 0
+        while at < len(places):
+            archive, start, size = places[at]
+            stop, end = at + 1, start + size
+            while stop < len(places) and places[stop][0] == archive and 0 <= places[stop][1] - end <= NEAR and places[stop][1] + places[stop][2] - start <= READ:
+                end = places[stop][1] + places[stop][2]
+                stop += 1
+            data = self._open(archive).read_at(end - start, start)
+            for _, offset, size in places[at:stop]:
+                yield parse(gzip.decompress(data[offset - start : offset - start + size]))
+            at = stop
 
 
 def range_list(ranges: DataFrame) -> list[tuple[str, str, str]]:
@@ -259,32 +296,45 @@ def range_list(ranges: DataFrame) -> list[tuple[str, str, str]]:
     return sorted((r["first"], r["last"], r["path"]) for r in ranges.select("first", "last", "path").collect())
 
 
-def read_back(keys: DataFrame, ranges: list[tuple[str, str, str]], archives: str) -> DataFrame:
-    """keys: distinct ``key``. Each capture's record, found through the index and read from its archive."""
-    spark = keys.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def find_all(keys: DataFrame, ranges: list[tuple[str, str, str]], archives: str) -> DataFrame:
+    """archive, offset, size of every capture of the distinct ``key``s, through the index."""
 
     def make():
         index = Index(ranges, archives)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            places = sorted({p for k in batch.column("key").to_pylist() for p in index.find(k)})
+            places = [p for k in batch.column("key").to_pylist() for p in index.find(k)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*places, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["archive", "offset", "size"]) if places else None
+
+        return each
+
+    spark = keys.sparkSession
+    sorted_ = keys.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
+    return arrow_map(sorted_, make, "archive string, offset long, size long")
+
+
+def read_back(keys: DataFrame, ranges: list[tuple[str, str, str]], archives: str) -> DataFrame:
+    """keys: distinct ``key``. Each capture's record, found through the index and read from its archive."""
+
+    def make():
+        files = Archives(archives)
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
-            for fields, payload in index.read(places):
+            for fields, payload in files.read(list(zip(*(batch.column(c).to_pylist() for c in ("archive", "offset", "size")), strict=True))):
                 revisit = fields["WARC-Type"] == "revisit"
                 size = int(fields["X-Payload-Length"]) if revisit else len(payload)
                 digest = fields["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else digest32(payload)
-                rows.append((int(fields["X-Page-Id"]), size, digest, fields["WARC-Type"], int(fields["X-Refers-To-Page-Id"]) if revisit else None))
-            if not rows:
-                return None
+                rows.append((int(fields["X-Page-Id"]) if fields["X-Page-Id"] else None, size, digest, fields["WARC-Type"], int(fields["X-Refers-To-Page-Id"]) if revisit else None))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         return each
 
-    sorted_ = keys.repartitionByRange(n, "key").sortWithinPartitions("key")
-    return arrow_map(sorted_, make, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = find_all(keys, ranges, archives).repartitionByRange(n, "archive", "offset").sortWithinPartitions("archive", "offset")
+    return arrow_map(places, make, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def keys_of(pages: DataFrame) -> DataFrame:
@@ -296,14 +346,17 @@ def keys_of(pages: DataFrame) -> DataFrame:
 
         return each
 
-    return arrow_map(pages.filter("page_id is not null").select("url", F.col("page_id").cast("long").alias("page_id")), make, "key string").distinct()
+    return arrow_map(pages.select("url", F.col("page_id").cast("long").alias("page_id")), make, "key string").distinct()
 
 
 def archive(pages: DataFrame, folder: str | None = None, least: int = LEAST) -> tuple[str, list[tuple[str, str, str]]]:
     """Write archives and index of pages (page_id, url, html) below folder. Returns the folder and the list of index ranges."""
     folder = folder or scratch(pages.sparkSession, "warc")
-    captures, _ = write_archives(pages, f"{folder}/archives", least)
-    return folder, range_list(write_index(captures, f"{folder}/index"))
+    captures, captures_at = write_archives(pages, f"{folder}/archives", least)
+    ranges, ranges_at = write_index(captures, f"{folder}/index")
+    found = range_list(ranges)
+    dropped(pages.sparkSession, captures_at, ranges_at)
+    return folder, found
 
 
 def archived_report(pages: DataFrame, least: int = LEAST) -> DataFrame:
