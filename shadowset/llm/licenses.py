@@ -1,18 +1,22 @@
 """Licence scan (native): a paragraph classifier on sparse word n-grams, with a calibrated unknown class and template comparison.
 
-*Training* happens on the driver, from the fixed notices and counter-examples below: seeded variants (words left out, other
-words around) of each, multinomial logistic regression over the one- and two-word n-grams of the notices with families and
-"unknown" as classes, and a temperature fitted on variants that were held out, so that probabilities are honest.
+*Training* happens on the driver, from the fixed texts of ``licence_texts``: licence paragraphs, the names of licences in the
+sentences that notices are made of, and as "unknown" other licences' names in the same sentences and ordinary sentences with the
+same words, each with seeded variants (words left out, other words around). Multinomial logistic regression over one- and
+two-word n-grams, weights below SMALL cut to nothing. A temperature and how much "unknown" is favoured are set on wordings, and
+on licences of no family, that were not trained on, so that a probability says how often it is right on unseen text.
 
-*Scanning* is SQL expressions on the row at hand. A text's paragraphs are its lines, long ones cut at sentence ends. Those
-with a word that licence notices are made with are scored; all others are unknown for certain, because what else the notices
-have cannot lift a family over "unknown". N-gram weights are summed per class, softmax gives probabilities.
-A family with at least ``least`` probability is confirmed by comparing the paragraph's n-grams with the family's notices: the
-largest share of a notice's (or, for a shorter paragraph, the paragraph's) n-grams must reach ``alike``. What is not
-confirmed is unknown. The word "mit" alone names nothing (it is a common German word), so it is scored but not confirmed.
+*Keys.* N-grams without a key word (``license``, ``gnu``, ``cc``, ...) are trained under the constraint that they never speak more
+for a family than for "unknown". So a paragraph without any key is unknown for certain and need not be scored.
+
+*Scanning* is SQL expressions on the row at hand. Paragraphs are a text's lines, cut at sentence ends, however long they are.
+N-gram weights are summed per class, softmax gives probabilities. A family with at least ``least`` probability is confirmed by
+comparing the paragraph's n-grams with the family's texts: the largest share of a text's (or, for a shorter paragraph, the
+paragraph's) n-grams must reach ``alike``. What is not confirmed is unknown.
 
 Defined results: null, empty and notice-free texts have no findings; every input row gives one row, repeated rows included;
-a null doc_id stays null; extra columns are ignored; long texts are scanned whole; families of equal probability go by name.
+a null doc_id stays null; extra columns are ignored; long texts are scanned whole; paragraphs that repeat are findings of
+their own; families of equal probability go by name.
 """
 
 from __future__ import annotations
@@ -27,52 +31,25 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Short licence notices by family.
-NOTICES = {
-    "agpl": ["This program is free software: you can redistribute it under the terms of the GNU Affero General Public License, version 3.", "Licensed under the AGPL-3.0.", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "apache": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "SPDX-License-Identifier: Apache-2.0", "Released under the Apache 2.0 license."],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD License.", "Use of this source code is governed by a BSD-style license.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "Content is available under CC BY 3.0."],
-    "cc-by-nc": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0.", "Shared under CC BY-NC-SA 4.0, no commercial use."],
-    "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0.", "Text is available under CC BY-SA 3.0."],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "Licensed under the GPL v2.", "Distributed under the GNU General Public License version 2.", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "lgpl": ["This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License.", "Licensed under the LGPL 2.1.", "SPDX-License-Identifier: LGPL-2.1-only"],
-    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Licensed under the MIT license.", "SPDX-License-Identifier: MIT"],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the MPL 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "proprietary": ["All rights reserved.", "Copyright 2020 Example Inc. All rights reserved.", "No part of this publication may be reproduced without prior written permission of the publisher."],
-    "public-domain": ["This is free and unencumbered software released into the public domain.", "To the extent possible under law, the author has waived all copyright under CC0 1.0.", "SPDX-License-Identifier: Unlicense"],
-}
-# Sentences with the words of notices that are none.
-OTHERS = [
-    "He lost his driving license last year.", "The license plate was not found.", "A fishing license costs ten dollars.", "The office issued a new license to the bar.", "They asked for permission to land.",
-    "Permission was granted by the teacher.", "The copyright office opened a new building.", "She wrote a book about copyright law.", "The car is still under warranty.", "A warranty of two years is common here.",
-    "All rights and duties pass to the buyer.", "The hotel has reserved all the rooms.", "Seats are reserved for guests.", "Human rights are for all people.", "The public park is open to all.",
-    "The general public was invited.", "A domain was registered in public.", "Apache helicopters flew over the hills.", "MIT is a university in Cambridge.", "The GNU is an animal of the plains.",
-    "Mozilla released a browser.", "The commons is a field that all villagers may use.", "Creative people work at night.", "Software is sold with a license fee.", "The source of the river is in the north.",
-    "Poetic license is not a crime.", "The redistribution of land was slow.", "Version 3 of the plan was better.", "No commercial use was found for the plant.", "The terms of the treaty were published.",
-]
-
-CLASSES = (*sorted(NOTICES), "unknown")
-# The notices' words but common ones. Without any of these no n-grams can lift a family over "unknown" (tested).
-LIFTING = """1.0 2 2.0 2.1 2020 3 3.0 4.0 affero agpl all any apache associated attribution author available binary bsd can cc cc0 charge
-clause code commercial commons compliance conditions content copy copyright creative distributed documentation domain example except
-extent file files following form forms foundation free general gnu governed gpl granted has hereby identifier inc international into
-later law lesser lgpl library license licensed may met mit modification modify mozilla mpl nc noncommercial not obtaining or part
-permission permitted person possible prior program provided public publication published publisher redistribute redistribution released
-reproduced reserved rights sa sharealike shared software source spdx style subject terms text this under unencumbered unlicense use v v2
-version waived without work written you""".split()
-
-
-def _any(words: list[str]) -> str:
-    """A pattern for one of the words, by first characters."""
+from shadowset.llm.licence_texts import FRAMES, HELD, KEY_PAIRS, KEYS, NAMES, OTHER_NAMES, OTHERS, PARAGRAPHS
+
+CLASSES = (*sorted(PARAGRAPHS), "unknown")
+WORD = r"[A-Za-z0-9][A-Za-z0-9.+]*[A-Za-z0-9]|[A-Za-z0-9]"
+SENTENCE = r"(?<=[.!?])\s+"
+SMALL = 0.02
+
+
+def _keys() -> str:
+    """A pattern that a paragraph with a key has: key words by first characters, and key pairs with whatever parts words."""
+    words = {k for k in KEYS if "-" not in k}
     heads = sorted({w[0] for w in words})
-    return "|".join(f"{h}(?:{'|'.join(re.escape(w[1:]) for w in words if w[0] == h)})" for h in heads)
+    single = "|".join(f"{h}(?:{'|'.join(sorted(re.escape(w[1:]) for w in words if w[0] == h))})" for h in heads)
+    pairs = "|".join("[^A-Za-z0-9]+".join(p.split()) for p in KEY_PAIRS)
+    return rf"(?i)(?<![a-z0-9])(?:{single}|{pairs})(?![a-z0-9])"
 
 
-#: A paragraph is scored if it has one of these.
-GATE = r"(?i)licen[cs]e|copyright|all rights|rights reserved|permission|redistribut|public domain|creative commons|spdx|waived|\bcc[ -]by|no part of" + rf"|(?<![a-z0-9])(?:{_any(LIFTING)})(?![a-z0-9])"
-WORD = r"[A-Za-z0-9][A-Za-z0-9.+]*[A-Za-z0-9]|[A-Za-z0-9]"
-LONG = 600
+#: A paragraph is scored if it has this.
+GATE = _keys()
 
 
 def grams(text: str) -> list[str]:
@@ -80,6 +57,15 @@ def grams(text: str) -> list[str]:
     return w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
 
 
+def templates() -> dict[str, list[str]]:
+    """The texts of each family that paragraphs are compared with."""
+    return {k: [*PARAGRAPHS[k], *(f.format(n) for n in NAMES.get(k, ()) for f in FRAMES)] for k in PARAGRAPHS}
+
+
+def _has_key(gram: str) -> bool:
+    return bool(re.search(GATE, gram))
+
+
 def _variants(text: str, n: int, rnd: random.Random) -> list[str]:
     out = [text]
     for _ in range(n - 1):
@@ -89,42 +75,48 @@ def _variants(text: str, n: int, rnd: random.Random) -> list[str]:
     return out
 
 
+def _soft(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
 @lru_cache
 def model(seed: int = 1) -> tuple[dict[str, list[float]], list[float]]:
     """Weights of each n-gram per class, and the biases, both divided by the temperature."""
     rnd = random.Random(seed)
-    vocabulary = {g: i for i, g in enumerate(sorted({g for texts in NOTICES.values() for t in texts for g in grams(t)}))}
-
-    def rows(n: int) -> tuple[np.ndarray, np.ndarray]:
-        x, y = [], []
-        for k, name in enumerate(CLASSES):
-            for t in NOTICES.get(name, OTHERS):
-                for v in _variants(t, n, rnd):
-                    row = np.zeros(len(vocabulary))
-                    for g in set(grams(v)) & vocabulary.keys():
-                        row[vocabulary[g]] = 1
-                    x.append(row), y.append(k)
-        return np.array(x), np.eye(len(CLASSES))[y]
-
-    def soft(z: np.ndarray) -> np.ndarray:
-        e = np.exp(z - z.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
-
-    x, y = rows(12)
-    w, b = np.zeros((len(vocabulary), len(CLASSES))), np.zeros(len(CLASSES))
+    texts = templates() | {"unknown": [*OTHERS, *OTHERS, *OTHERS, *(f.format(n) for n in OTHER_NAMES for f in FRAMES)]}
+    vocabulary = {g: i for i, g in enumerate(sorted({g for name in CLASSES for t in texts[name] for g in grams(t)}))}
+    free = np.array([_has_key(g) for g in vocabulary])[:, None]
+
+    def row(text: str) -> np.ndarray:
+        x = np.zeros(len(vocabulary), np.float32)
+        x[[vocabulary[g] for g in set(grams(text)) & vocabulary.keys()]] = 1
+        return x
+
+    rows = [(row(v), k, len(texts[name])) for k, name in enumerate(CLASSES) for t in texts[name] for v in _variants(t, 4, rnd)]
+    x, y = np.array([r[0] for r in rows]), np.eye(len(CLASSES), dtype=np.float32)[[r[1] for r in rows]]
+    share = np.array([1 / r[2] for r in rows], np.float32)
+    share[y[:, -1] > 0] *= len(CLASSES) - 1
+    share = (share / share.sum())[:, None]  # every family counts alike, and "unknown" as much as all of them
+    w, b = np.zeros((len(vocabulary), len(CLASSES)), np.float32), np.zeros(len(CLASSES), np.float32)
     mw, mb = np.zeros_like(w), np.zeros_like(b)
-    for _ in range(400):
-        d = (soft(x @ w + b) - y) / len(x)
-        mw, mb = 0.9 * mw + x.T @ d + 2e-4 * w, 0.9 * mb + d.sum(axis=0)
-        w, b = w - 1.5 * mw, b - 1.5 * mb
-    held_x, held_y = rows(6)
-    heat = min(np.geomspace(0.3, 3, 40), key=lambda t: -float(np.log((soft((held_x @ w + b) / t) * held_y).sum(axis=1) + 1e-12).mean()))
-    w, b = w / heat, b / heat
-    return {g: [round(float(v), 4) for v in w[i]] for g, i in vocabulary.items()}, [round(float(v), 4) for v in b]
+    for _ in range(300):
+        d = (_soft(x @ w + b) - y) * share
+        mw, mb = 0.9 * mw + x.T @ d + 2e-5 * w, 0.9 * mb + d.sum(axis=0)
+        w, b = w - 2.0 * mw, b - 2.0 * mb
+        w[:, :-1] = np.where(free, w[:, :-1], np.minimum(w[:, :-1], w[:, -1:]))
+        b[:-1] = np.minimum(b[:-1], b[-1] - 0.1)
+    w[np.abs(w - w[:, -1:]).max(axis=1) < SMALL] = 0
+    held_x, held_y = np.array([row(t) for _, t in HELD]), np.eye(len(CLASSES))[[CLASSES.index(k) for k, _ in HELD]]
+    lean = np.eye(len(CLASSES))[-1]
+    loss = lambda heat, more: -float(np.log((_soft((held_x @ w + b + more * lean) / heat) * held_y).sum(axis=1) + 1e-12).mean())
+    heat, more = min(((t, m) for t in np.geomspace(0.2, 5, 40) for m in np.linspace(0, 3, 13)), key=lambda c: loss(*c))
+    w, b = w / heat, (b + more * lean) / heat
+    return {g: [round(float(v), 4) for v in w[i]] for g, i in vocabulary.items() if w[i].any()}, [round(float(v), 4) for v in b]
 
 
 def classify(text: str) -> tuple[str, float]:
-    """The plain form of a paragraph's classification, for tests and single texts."""
+    """The plain form of a paragraph's classification, for single texts."""
     weights, z = model()[0], list(model()[1])
     for g in sorted(set(grams(text)) & weights.keys()):
         z = [a + b for a, b in zip(z, weights[g], strict=True)]
@@ -141,15 +133,14 @@ def _grams(text: Column) -> Column:
 
 def _paragraphs(text: Column) -> Column:
     lines = F.filter(F.split(text, r"[\r\n]+"), lambda x: x.rlike(GATE))
-    cut = F.transform(lines, lambda x: F.when(F.length(x) <= LONG, F.array(x)).otherwise(F.split(x, r"(?<=[.;!?])\s+")))
-    return F.filter(F.flatten(cut), lambda x: x.rlike(GATE))
+    return F.filter(F.flatten(F.transform(lines, lambda x: F.split(x, SENTENCE))), lambda x: x.rlike(GATE))
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", least: float = 0.5, alike: float = 0.6) -> DataFrame:
     """docs with ``findings``: array<struct<family, probability, similarity, confirmed, paragraph>>, one for each scored paragraph, in order."""
     weights, bias = model()
     table = F.from_json(F.lit(json.dumps(weights)), "map<string,array<double>>")
-    notices = F.from_json(F.lit(json.dumps({k: [sorted(set(grams(t))) for t in v] for k, v in NOTICES.items()})), "map<string,array<array<string>>>")
+    notices = F.from_json(F.lit(json.dumps({k: [sorted(set(grams(t))) for t in v] for k, v in templates().items()})), "map<string,array<array<string>>>")
     names = F.array(*map(F.lit, CLASSES))
 
     def scores(g: Column) -> Column:
@@ -168,8 +159,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", least: float = 0.5, alike
         family = F.element_at(names, F.array_position(z, top).cast("int"))
         probability = 1 / F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
         share = lambda n: F.size(F.array_intersect(n, x["grams"])) / F.greatest(F.least(F.size(n), F.size(x["grams"])), F.lit(1))
-        similar = F.coalesce(F.array_max(F.transform(F.try_element_at(notices, family), share)), F.lit(0.0))
-        return F.struct(family.alias("family"), probability.alias("probability"), similar.alias("similarity"), ((family != "unknown") & (probability >= least) & (similar >= alike) & (x["grams"] != F.array(F.lit("mit")))).alias("confirmed"), x["paragraph"].alias("paragraph"))
+        similar = F.when((family != "unknown") & (probability >= least), F.array_max(F.transform(F.try_element_at(notices, family), share))).otherwise(0.0)
+        return F.struct(family.alias("family"), probability.alias("probability"), similar.alias("similarity"), ((family != "unknown") & (probability >= least) & (similar >= alike)).alias("confirmed"), x["paragraph"].alias("paragraph"))
 
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     none = F.expr("array()").cast("array<struct<family:string,probability:double,similarity:double,confirmed:boolean,paragraph:string>>")

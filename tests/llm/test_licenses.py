@@ -1,87 +1,138 @@
+import math
 import random
 import re
 
-from shadowset.llm import licenses
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from shadowset.llm import licence_texts, licenses
+
+
+def split_words(text):
+    """Runs of letters, digits, dots and pluses that begin and end with a letter or digit, in lower case."""
+    out, now = [], ""
+    for c in text + " ":
+        if c.isascii() and c.isalnum() or now and c in ".+":
+            now += c
+            continue
+        while now and now[-1] in ".+":
+            now = now[:-1]
+        if now:
+            out.append(now.lower())
+        now = ""
+    return out
+
+
+def features(text):
+    w = split_words(text)
+    return set(w) | {w[i] + " " + w[i + 1] for i in range(len(w) - 1)}
+
+
+def chances(text):
+    """Probabilities by class: the sum of the learned weights of all n-grams, through softmax."""
+    weights, bias = licenses.model()
+    z = np.array(bias) + sum((np.array(weights[g]) for g in features(text) if g in weights), np.zeros(len(bias)))
+    e = np.exp(z - z.max())
+    return dict(zip(licenses.CLASSES, e / e.sum(), strict=True))
 
 
 def plain(text, least=0.5, alike=0.6):
-    """The scan again, in plain Python."""
+    """All findings of a family, over every sentence of every line, with nothing left out beforehand."""
     out = []
-    for line in re.split(r"[\r\n]+", text or ""):
-        if not re.search(licenses.GATE, line):
-            continue
-        for p in [line] if len(line) <= licenses.LONG else re.split(r"(?<=[.;!?])\s+", line):
-            if re.search(licenses.GATE, p):
-                family, probability = licenses.classify(p)
-                g = set(licenses.grams(p))
-                similar = max((len(g & (n := set(licenses.grams(t)))) / max(1, min(len(n), len(g))) for t in licenses.NOTICES.get(family, ())), default=0.0)
-                out.append((family, round(probability, 9), round(similar, 9), family != "unknown" and probability >= least and similar >= alike))
+    for line in re.split("[\r\n]+", text or ""):
+        for sentence in re.split(r"(?<=[.!?])\s+", line):
+            p = chances(sentence)
+            family = max(sorted(p), key=p.get)
+            if family == "unknown":
+                continue
+            own = features(sentence)
+            texts = [*licence_texts.PARAGRAPHS[family], *(f.replace("{}", n) for n in licence_texts.NAMES.get(family, ()) for f in licence_texts.FRAMES)]
+            alikes = [len(own & features(t)) / min(len(own), len(features(t))) for t in texts]
+            out.append((family, round(p[family], 6), bool(p[family] >= least and max(alikes) >= alike)))
     return out
 
 
 def texts():
     rnd = random.Random(3)
     filler = lambda n: " ".join(rnd.choices("the and attion to thanedble anea Eriner of".split(), k=n))
-    out = [None, "", filler(50), "\n\n", "license " * 3000, filler(30) + "\nAll rights reserved.\n" + filler(9) + "\nReleased under the MIT License."]
-    for family in licenses.NOTICES.values():
+    out = [None, "", filler(50), "\n\n", "license " * 3000, filler(30) + "\nAll rights reserved.\n" + filler(9) + "\nReleased under the MIT License.\nReleased under the MIT License."]
+    for family in licence_texts.PARAGRAPHS.values():
         for t in family:
             out += [filler(20) + "\n" + t, t, filler(200) + ". " + t + " " + filler(200), t.upper(), t + " " + filler(4)]
-    return out + list(licenses.OTHERS) + ["É license é", "a\r\nLicensed under CC BY-NC 4.0.\r\nb"]
+    known = sorted(licenses.model()[0])
+    out += [" ".join(rnd.choices(known, k=rnd.randint(1, 6))) for _ in range(300)]
+    return out + list(licence_texts.OTHERS) + [t for _, t in licence_texts.HELD] + ["É license é", "a\r\nLicensed under CC BY-NC 4.0.\r\nb", "Mit dem Zug.", "Mit.", "MIT!!", "GNU GPL v2", "x" * 100_000 + " GPL v2"]
 
 
 def test_same_as_plain_version(spark):
     rows = list(enumerate(texts()))
     d = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, findings int")
-    got = {r.doc_id: [(f.family, round(f.probability, 9), round(f.similarity, 9), f.confirmed) for f in r.findings] for r in licenses.scan_licenses(d).collect()}
+    got = {r.doc_id: [(f.family, round(f.probability, 6), f.confirmed) for f in r.findings if f.family != "unknown"] for r in licenses.scan_licenses(d).collect()}
     for i, t in rows:
-        assert got[i] == plain(t), t
+        want = plain(t)
+        assert len(got[i]) == len(want) and all(a[0] == b[0] and math.isclose(a[1], b[1], abs_tol=2e-6) and a[2] == b[2] for a, b in zip(got[i], want, strict=True)), t
+
+
+def test_paragraphs_without_a_key_are_unknown_for_certain():
+    weights, bias = licenses.model()
+    for k in range(len(bias) - 1):
+        assert bias[k] < bias[-1]
+        assert all(v[k] <= v[-1] + 1e-4 for g, v in weights.items() if not re.search(licenses.GATE, g))
+
+
+@pytest.mark.parametrize("length", [10, 590, 600, 601, 5000])
+def test_length_changes_nothing(spark, length):
+    text = "a" * length + ". Released under the MIT License. " + "b" * length
+    (r,) = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(f.family, f.confirmed, f.paragraph) for f in r.findings] == [("mit", True, "Released under the MIT License.")]
 
 
 def test_families_and_unknown(spark):
     rows, want = [], {}
-    for family, notices in licenses.NOTICES.items():
-        for t in notices:
+    for family in licence_texts.NAMES:
+        for name in licence_texts.NAMES[family]:
             want[len(rows)] = family
-            rows.append((len(rows), "Some text before.\n" + t))
-    for t in licenses.OTHERS:
+            rows.append((len(rows), f"Some text before.\nThis work is licensed under the {name}."))
+    for t in (*licence_texts.OTHERS, *(f"Released under the {n}." for n in licence_texts.OTHER_NAMES)):
         want[len(rows)] = "unknown"
         rows.append((len(rows), t))
     got = {r.doc_id: r.family for r in licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {i: got[i] for i in want if got[i] != want[i]} == {}
+    assert sum(got[i] != want[i] for i in want) <= 0.03 * len(want), {rows[i][1]: got[i] for i in want if got[i] != want[i]}
+
+
+#: Seen neither in training nor in the setting of the temperature.
+UNSEEN = [
+    ("unknown", "Licensed under the zlib license."), ("unknown", "Licensed under the Artistic License 2.0."), ("unknown", "All rights reserved to the king."), ("unknown", "ISC License"), ("unknown", "Distributed under the Boost Software License, Version 1.0."),
+    ("unknown", "SPDX-License-Identifier: Zlib"), ("unknown", "SPDX-License-Identifier: BSL-1.0"), ("unknown", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("unknown", "This software is provided 'as-is', without any express or implied warranty."), ("unknown", "a marriage license was issued"), ("unknown", "he copied the apache without permission"), ("unknown", "the licence fee went up"),
+    ("gpl", "GNU GPL version 3 or later"), ("gpl", "Distributed under the GPL v2."), ("apache", "Available under Apache-2.0"), ("apache", "Code licensed under Apache License 2.0"), ("bsd", "Released under BSD-3-Clause"), ("mit", "Released under the MIT license by the authors"),
+    ("cc-by-nc", "Pictures: CC BY-NC 4.0"), ("cc-by-sa", "Content is available under CC BY-SA 3.0"), ("cc-by", "shared as CC BY 4.0"), ("mpl", "This file is under the Mozilla Public License 2.0"), ("proprietary", "Copyright 2011 Big Corp. All rights reserved."),
+    ("public-domain", "CC0 1.0"), ("public-domain", "free and unencumbered software in the public domain"), ("lgpl", "GNU Lesser General Public License, version 3"), ("agpl", "You can redistribute it under the AGPLv3"), ("gpl", "it comes with the GNU General Public License"),
+]
+
+
+def test_unseen_wordings_and_licences(spark):
+    rows = [(i, t) for i, (_, t) in enumerate(UNSEEN)]
+    got = {r.doc_id: r.family for r in licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {t: got[i] for i, (k, t) in enumerate(UNSEEN) if k == "unknown" and got[i] != k} == {}
+    assert sum(got[i] == k for i, (k, _) in enumerate(UNSEEN)) >= 0.9 * len(UNSEEN)
 
 
-def test_unseen_wordings():
-    for text, family in (("This file is distributed under the MIT license", "mit"), ("Code licensed under Apache License 2.0", "apache"), ("covered by the GNU General Public License version 2", "gpl"), ("photo under CC BY-NC 3.0", "cc-by-nc"), ("her license to drive a truck", "unknown"), ("we had no permission", "unknown")):
-        assert licenses.classify(text)[0] == family
+def test_calibration_on_unseen_texts():
+    """Expected calibration error of the most probable class, in four bins."""
+    sure = [max(chances(t).items(), key=lambda c: c[1]) for _, t in UNSEEN]
+    error = 0.0
+    for lo in (0, 0.25, 0.5, 0.75):
+        some = [(p, k == want) for (k, p), (want, _) in zip(sure, UNSEEN, strict=True) if lo < p <= lo + 0.25]
+        error += abs(sum(p for p, _ in some) - sum(good for _, good in some)) / len(sure)
+    assert error < 0.12
 
 
 def test_rows_and_empty(spark):
     d = spark.createDataFrame([(None, "All rights reserved."), (1, None), (1, None)], "doc_id long, text string")
+    for name in ("paragraph", "grams", "z", "family"):
+        d = d.withColumn(name, F.lit("x"))
     rows = sorted(map(tuple, licenses.license_report(d).collect()), key=str)
     assert len(rows) == 3 and rows[2][4] == "proprietary" and rows[0] == (1, 0, 0, "", "unknown", None)
     assert licenses.license_report(d.limit(0)).count() == 0
-
-
-def test_the_gate_loses_nothing():
-    weights, bias = licenses.model()
-    rest = [v for g, v in weights.items() if not set(g.split()) & set(licenses.LIFTING)]
-    for k in range(len(bias) - 1):
-        assert bias[k] - bias[-1] + sum(max(0, v[k] - v[-1]) for v in rest) < 0
-    for w in licenses.LIFTING:
-        assert re.search(licenses.GATE, f"a {w.upper()}, b") and re.search(licenses.GATE, w)
-
-
-def test_same_as_plain_version_without_gate(spark):
-    rnd = random.Random(4)
-    known = sorted(licenses.model()[0])
-    rows = ["Distributed under the GPL v2.", "Code: GPLv3 or later", "Available under Apache-2.0", "Released under BSD-3-Clause", "CC0 1.0", "the of and in", "Mit dem Zug.", "Mit.", "MIT!!", "GNU GPL v2", "MPL 2.0"]
-    rows += [" ".join(rnd.choices(known, k=rnd.randint(1, 6))) for _ in range(300)]
-    got = {r.doc_id: [(f.family, round(f.probability, 9), f.confirmed) for f in r.findings] for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
-    for i, t in enumerate(rows):
-        family, probability = licenses.classify(t)
-        g = set(licenses.grams(t))
-        similar = max((len(g & (n := set(licenses.grams(x)))) / max(1, min(len(n), len(g))) for x in licenses.NOTICES.get(family, ())), default=0.0)
-        want = (family, round(probability, 9), family != "unknown" and probability >= 0.5 and similar >= 0.6 and g != {"mit"})
-        assert got[i] == [want] or (family == "unknown" and got[i] == []), t
-    assert [got[i][0][0] for i in (0, 2, 3)] == ["gpl", "apache", "bsd"] and got[0][0][2]
-    assert not got[7][0][2] and not got[8][0][2]
