@@ -27,8 +27,9 @@ def _digest(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """links: columns a, b (long, not null). Returns node, component: the least node that each one reaches, for every node of a link with a != b.
+def components(links: DataFrame, name: str = "components") -> tuple[DataFrame, str]:
+    """links: columns a, b (long, not null). Returns node, component: the least node that each one reaches, for every node of a link with a != b;
+    and the scratch table that this reads.
 
     Each round is two small shuffles, written to the shared folder; the rounds end when the table no longer changes, after
     about the logarithm of the longest chain. Hot nodes are pre-aggregated; the join on them is one that AQE can split.
@@ -44,4 +45,4 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         if state == last:
             break
     stars = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
-    return stars.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    return stars.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()), path

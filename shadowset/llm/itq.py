@@ -244,7 +244,7 @@ def near_vectors(rows: DataFrame, least: float = 0.93, sample: int = SAMPLE) ->
         .unionByName(whole.select(F.col("repa").alias("a"), F.col("repb").alias("b")))
         .unionByName(some.select("a", F.col("repb").alias("b")))
         .unionByName(links)
-    )
+    )[0]
     dropped(spark, coded_at, asked_at)
     of_ball = whole.select(F.col("a").alias("center"), F.col("weightb").alias("w")).unionByName(whole.select(F.col("b").alias("center"), F.col("weighta").alias("w"))).unionByName(some.select(F.col("b").alias("center"), F.col("na").alias("w")))
     weight = lambda x: member.select(F.col("node").alias(x), F.col("n").alias("w"))

@@ -16,8 +16,9 @@
 5. Components come from large-star and small-star.
 
 Defined results: texts that are null or without words have an empty set and link with nothing; fewer words than a shingle
-give one shingle of all of them; equal sets link; rows with a null doc_id are left out (they cannot be named); every
-row is a document of its own, also where rows repeat an id, with the same text or another; extra columns are ignored.
+give one shingle of all of them; equal sets link; every row is a document of its own, also where its id is null or rows
+repeat an id, with the same text or another; a component is named by its least id that is not null (null if it has none);
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,11 +89,17 @@ class Minima:
         return least
 
 
-SIGNED = "doc_id long, n_shingles long, same binary, bands array<long>, low binary"
+SIGNED = "doc_id long, m0 long, m1 long, n_shingles long, same binary, bands array<long>, low binary"
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text and two hashes of both, by which a row is found again."""
+    doc = F.col("doc_id").cast("long")
+    return docs.select(doc.alias("doc_id"), "text", F.xxhash64(doc, "text").alias("m0"), F.xxhash64(F.lit(1), "text", doc).alias("m1"))
 
 
 def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """For each row with an id: the size and a digest of its shingle set, a value for each band, and the low byte of each minimum."""
+    """For each row: the size and a digest of its shingle set, a value for each band, and the low byte of each minimum."""
 
     def make():
         minima = Minima(bands * rows)
@@ -111,18 +118,20 @@ def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS
                 key = _mixed((m.reshape(bands, rows).astype(np.uint64) * weight).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
                 keys.append(key.view(np.int64))
                 low.append((m & np.uint32(255)).astype(np.uint8).tobytes())
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())], names=["doc_id", "n_shingles", "same", "bands", "low"])
+            made = [pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())]
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "m0", "m1")), *made], names=[c.split()[0] for c in SIGNED.split(", ")])
 
         return each
 
-    return arrow_map(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, SIGNED)
+    return arrow_map(_marked(docs), make, SIGNED)
 
 
 def _mixed_buckets(buckets: DataFrame, part: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components: band, doc, n, part, others (members outside the bucket's largest component), major (whether in it)."""
-    now = buckets.join(part, buckets.doc == part.node, "left").select(*(buckets[c] for c in buckets.columns if c not in ("part", "major", "others")), F.coalesce("component", "doc").alias("part"))
-    sizes = now.groupBy("band", "part").agg(F.count(F.lit(1)).alias("c"))
-    mixed = sizes.groupBy("band").agg(F.max_by("part", "c").alias("most"), (F.sum("c") - F.max("c")).alias("others")).filter("others > 0")
+    """Members of buckets that hold several components: band, doc, size, n, part, major (whether in the bucket's largest component),
+    others and others_size (members outside it and their shingles), all_size."""
+    now = buckets.join(part, buckets.doc == part.node, "left").select(*(buckets[c] for c in ("band", "doc", "size", "n", "alone") if c in buckets.columns), F.coalesce("component", "doc").alias("part"))
+    sizes = now.groupBy("band", "part").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"))
+    mixed = sizes.groupBy("band").agg(F.max_by("part", "c").alias("most"), (F.sum("c") - F.max("c")).alias("others"), (F.sum("s") - F.max_by("s", "c")).alias("others_size"), F.sum("s").alias("all_size")).filter("others > 0")
     return now.join(mixed, "band").withColumn("major", F.col("part") == F.col("most")).drop("most")
 
 
@@ -139,8 +148,8 @@ def _across(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("dx", "dy").alias("a"), F.greatest("dx", "dy").alias("b"))
 
 
-#: Members of a block: of those outside a bucket's largest component, and of all.
-FEW, MANY = 256, 1024
+#: Members of a block, of those outside a bucket's largest component and of all, and their shingles, about.
+FEW, MANY, SHINGLES = 256, 1024, 1 << 20
 
 
 def _blocks(now: DataFrame, payload: DataFrame, words: int, percent: int) -> DataFrame:
@@ -149,7 +158,7 @@ def _blocks(now: DataFrame, payload: DataFrame, words: int, percent: int) -> Dat
     now: of _mixed_buckets, with alone. payload: doc, size, bands, text. A task has one block of either kind, finds the links
     on whole shingle sets and gives nothing but links; a pair that shares several buckets is compared in the first of them.
     """
-    few, many = (F.greatest(F.ceil(F.col(c) / n), F.lit(1)).cast("int") for c, n in (("others", FEW), ("n", MANY)))
+    few, many = (F.greatest(F.ceil(F.col(c) / n), F.ceil(F.col(s) / SHINGLES), F.lit(1)).cast("int") for c, n, s in (("others", FEW, "others_size"), ("n", MANY, "all_size")))
     own = lambda k: F.pmod(F.xxhash64("doc"), k).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
     columns = ("band", "doc", "part", "major", "alone")
@@ -258,42 +267,25 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) ->
     return arrow_map(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb"), make, "a long, b long")
 
 
-def _texts(docs: DataFrame, classes: DataFrame, repeated: bool, words: int) -> DataFrame:
+def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """doc (a class) and a text of it."""
-    found = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("of"), "text").join(classes.select("doc", "of", "same"), "of")
-    if repeated:  # an id that stands for several texts: take the right one
-
-        def make():
-            def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-                digest = [xxhash.xxh3_128_digest(shingles(t.as_py(), words).tobytes()) for t in batch.column("text")]
-                good = [x == y for x, y in zip(digest, batch.column("same").to_pylist(), strict=True)]
-                return batch.select(["doc", "text"]).filter(pa.array(good, pa.bool_()))
-
-            return each
-
-        found = arrow_map(found.select("doc", "text", "same"), make, "doc long, text string")
-    return found.select("doc", "text").dropDuplicates(["doc"])
+    return _marked(docs).join(classes.select("doc", "m0", "m1"), ["m0", "m1"]).select("doc", "text").dropDuplicates(["doc"])
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """One row per row of docs with an id: doc_id, n_shingles, component_id, kept."""
+    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     signed, _ = stored(signatures(docs, words), "signed")
-    reps = signed.filter("same is not null").groupBy("same").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "low")).alias("x"))
-    classes, classes_at = stored(reps.select("same", F.col("x.doc_id").alias("of"), F.col("x.doc_id").alias("doc"), "x.n_shingles", "x.bands", "x.low"), "classes")
-    twice = classes.groupBy("of").agg(F.count(F.lit(1)).alias("n"), F.min("same").alias("first")).filter("n > 1")
-    repeated = twice.limit(1).count() > 0
-    if repeated:  # ids with several texts: all but one of their classes get numbers of their own
-        number = F.when(F.col("first").isNotNull() & (F.col("first") != F.col("same")), F.xxhash64("same", "of")).otherwise(F.col("of"))
-        classes, classes_at = stored(classes.join(twice.select("of", "first"), "of", "left").withColumn("doc", number).drop("first"), "classes")
+    reps = signed.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("of"), F.min(F.struct("m0", "m1", "n_shingles", "bands", "low")).alias("x"))
+    classes, _ = stored(reps.select(F.monotonically_increasing_id().alias("doc"), "same", "of", "x.*"), "classes")
     banded = classes.select("doc", F.explode("bands").alias("band"))
     counted = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("hub")).filter("n > 1")
     buckets, buckets_at = stored(banded.join(counted, "band"), "buckets")
     percent = round(100 * threshold)
-    part = spark.createDataFrame([], "node long, component long")
+    part, part_at = spark.createDataFrame([], "node long, component long"), []
 
     def text_of(some: DataFrame) -> DataFrame:
-        return _texts(docs, classes.join(some, "doc", "left_semi"), repeated, words)
+        return _texts(docs, classes.join(some, "doc", "left_semi"))
 
     def compared(pairs: DataFrame, part: DataFrame) -> DataFrame:
         """The components after comparing pairs."""
@@ -308,27 +300,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
 
     def joined(links: DataFrame, part: DataFrame) -> DataFrame:
         """The components with links added."""
-        links, _ = stored(links, "links")
+        nonlocal part_at
+        links, links_at = stored(links, "links")
         if not links.limit(1).count():
+            dropped(spark, links_at)
             return part
         for x in ("a", "b"):
             links = links.join(part.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(x, F.coalesce(f"c{x}", x)).select("a", "b")
-        new = components(links)
+        new, new_at = components(links)
         moved = part.join(new.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        return stored(moved.unionByName(new.join(part, "node", "left_anti")), "parts")[0]
+        after, after_at = stored(moved.unionByName(new.join(part, "node", "left_anti")), "parts")
+        dropped(spark, links_at, new_at, *part_at)
+        part_at = [after_at]
+        return after
 
     # every bucket's members meet its least one: a large group of near copies becomes few components
     part = compared(buckets.filter("doc != hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")), part)
     sized = classes.select("doc", F.col("n_shingles").alias("size"))
-    open_, _ = stored(_mixed_buckets(buckets.drop("hub"), part).join(sized, "doc"), "open")
+    open_, open_at = stored(_mixed_buckets(buckets.drop("hub").join(sized, "doc"), part), "open")
     small = open_.filter(F.col("n") <= SMALL).withColumn("alone", F.lit(0).cast("long"))
     pairs = _across(small, small, percent)
     large = open_.filter(F.col("n") > SMALL)
     members = large.select("doc", "size").distinct().agg(F.count(F.lit(1)), F.sum("size")).first()
     if members[0]:
         # the rest of a large one meets the member that has least of its own, and pairs that what each has of its own rules out are not asked
-        alone, _ = stored(_alone(text_of(large.select("doc").distinct()), members[1], words), "alone")
-        large, _ = stored(large.join(alone, "doc"), "large")
+        alone, alone_at = stored(_alone(text_of(large.select("doc").distinct()), members[1], words), "alone")
+        large, large_at = stored(large.join(alone, "doc"), "large")
         center = large.groupBy("band").agg(F.min(F.struct("alone", "doc")).alias("c")).select("band", F.col("c.doc").alias("doc"))
         pairs = pairs.unionByName(_across(large, large.join(center, ["band", "doc"], "left_semi"), percent))
     part = compared(pairs, part)
@@ -337,14 +334,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
         if now.limit(1).count():
             payload = text_of(now.select("doc").distinct()).join(classes.select("doc", F.col("n_shingles").alias("size"), "bands"), "doc")
             part = joined(_blocks(now.drop("size"), payload, words, percent), part)
-        dropped(spark, now_at)
-    dropped(spark, buckets_at)
+        dropped(spark, now_at, alone_at, large_at)
+    dropped(spark, buckets_at, open_at)
     parts = classes.select("same", "of", "doc").join(part, F.col("doc") == F.col("node"), "left").select("same", "of", F.coalesce("component", "doc").alias("part"))
     least = parts.groupBy("part").agg(F.min("of").alias("component"))
     named = parts.join(least, "part").select("same", "component")
     out = signed.select("doc_id", "n_shingles", "same").join(named, "same", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    component = F.when(F.col("same").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
