@@ -35,6 +35,7 @@ from shadowset.llm.packing import encoder, tokenizer_path
 
 #: Conversations of a group, about.
 GROUP = 128
+SALTS = 16
 ASSISTANT = "assistant"
 _TURN = re.compile(r"<turn ((?:[^\\<>]|\\.)*)>\n((?:[^\\<]|\\.)*)</turn>\n", re.S)
 
@@ -161,11 +162,13 @@ def gathered(rows: DataFrame) -> DataFrame:
 def grouped(talks: DataFrame, size: int = GROUP) -> DataFrame:
     """talk, conv_id, turns (those below the trunk), trunk (the prefixes above them), part. talks: of gathered."""
     seen = talks.select(F.explode("prefixes").alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
-    large = seen.filter(F.col("n") > size)
+    # a turn that very many begin with is asked for in SALTS places
+    large = seen.filter(F.col("n") > size).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("talk"), F.lit(SALTS)).cast("int").alias("salt")
     # how deep a conversation's large prefixes go
     depth = (
-        talks.select("talk", F.posexplode("prefixes").alias("at", "prefix"))
-        .join(large, "prefix")
+        talks.select("talk", salt, F.posexplode("prefixes").alias("at", "prefix"))
+        .join(large, ["prefix", "salt"])
         .groupBy("talk")
         .agg((F.max("at") + 1).alias("large"), F.max_by("n", "at").alias("n"))
     )
