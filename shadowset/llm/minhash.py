@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
     counted = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("hub")).filter("n > 1")
     buckets, buckets_at = stored(banded.join(counted, "band"), "buckets")
     percent = round(100 * threshold)
-    part, part_at = spark.createDataFrame([], "node long, component long"), []
+    part, part_at = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("component")), []  # without Python workers of its own
 
     def text_of(some: DataFrame) -> DataFrame:
         return _texts(docs, classes.join(some, "doc", "left_semi"))
