@@ -8,9 +8,9 @@ sum of both lengths gives code-point positions.
 *Entropy.* A candidate is a maximal run of ``[A-Za-z0-9+/_=-]`` of at least ``window`` characters. Its character class is
 hex, alphanumeric or base64. A window slides over it; counts per character are kept incrementally: the entering character's
 count goes up, the leaving one's down, and the sum of c*log2(c) is corrected by those two terms alone. Windows whose entropy
-reaches the class's threshold are joined to spans. The allow-list suppresses candidates that are no secrets: no digit or no
-letter, all words joined by separators, a placeholder word, a repeated character, UUID-like dashes. It only touches spans of
-the entropy method; pattern spans stay.
+reaches the class's threshold are joined to spans. The allow-list suppresses candidates that are no secrets (no digit or no
+letter, all words joined by separators, UUIDs) and windows with a placeholder word or a repeated character in them. It only
+touches spans of the entropy method; pattern spans stay.
 
 Defined results: a null or empty text has no spans; every input row gives one row, repeated rows included; extra columns
 are ignored; a null doc_id stays null.
@@ -31,6 +31,8 @@ KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_alnum", "entropy_bas
 CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}"
 #: Lengths are summed in blocks, so that a text of many matches costs little more than its length.
 BLOCK = 128
+#: Characters of a stretch that masked texts are cut from.
+PIECE = 1024
 
 
 @dataclass(frozen=True)
@@ -72,38 +74,43 @@ def _located(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.flatten(F.aggregate(blocks, start, join)["a"])).otherwise(none)
 
 
-def _windows(word: Column, window: int, least: Column) -> Column:
-    """array<struct<s, e>>: joined windows of word whose entropy is at least ``least`` bits, by incremental counts."""
-    chars = F.split(word, "")
-    kinds = F.array_distinct(chars)
+def _windows(word: Column, window: int, least: Column, quiet: str) -> Column:
+    """array<struct<s, e>>: joined windows of word whose entropy is at least ``least`` bits, by incremental counts, but those that have ``quiet`` in them."""
 
     def flog(c: Column) -> Column:
         return F.when(c > 0, c * F.log2(F.greatest(c, F.lit(1)))).otherwise(F.lit(0.0))
 
-    state = F.struct(
-        F.transform(kinds, lambda k: F.lit(0)).alias("n"),
-        F.lit(0.0).alias("t"),
-        F.expr("array()").cast("array<struct<s:int,e:int>>").alias("a"),
-    )
-
-    def step(acc: Column, i: Column) -> Column:
-        came = F.array_position(kinds, F.element_at(chars, i)).cast("int")
-        went = F.when(i > window, F.array_position(kinds, F.element_at(chars, F.greatest(i - window, F.lit(1)))).cast("int")).otherwise(F.lit(0))
-        up = F.element_at(acc["n"], came)
-        down = F.when(went > 0, F.element_at(acc["n"], F.greatest(went, F.lit(1)))).otherwise(F.lit(0))
-        total = F.when(came == went, acc["t"]).otherwise(acc["t"] + flog(up + 1) - flog(up) + F.when(went > 0, flog(down - 1) - flog(down)).otherwise(F.lit(0.0)))
-        counts = F.when(came == went, acc["n"]).otherwise(F.transform(acc["n"], lambda c, j: c + F.when(j + 1 == came, 1).otherwise(0) - F.when(j + 1 == went, 1).otherwise(0)))
-        bits = F.lit(float(window)) 
-        entropy = F.log2(bits) - total / bits
-        span = F.struct((i - window).cast("int").alias("s"), i.cast("int").alias("e"))
-        last = F.element_at(acc["a"], -1)
-        joined = F.when(
-            (F.size(acc["a"]) > 0) & (last["e"] >= span["s"]),
-            F.concat(F.slice(acc["a"], 1, F.greatest(F.size(acc["a"]) - 1, F.lit(0))), F.array(F.struct(last["s"].alias("s"), span["e"].alias("e")))),
-        ).otherwise(F.concat(acc["a"], F.array(span)))
-        return F.struct(counts.alias("n"), total.alias("t"), F.when((i >= window) & (entropy >= least), joined).otherwise(acc["a"]).alias("a"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.size(chars)), state, step)["a"]
+    def slid(x: Column) -> Column:
+        # what the whole word says comes as a variable: an expression in here would be made anew at every step
+        chars, which, enough = x["chars"], x["which"], x["least"]
+        state = F.struct(
+            F.array_repeat(F.lit(0), F.array_max(which).cast("int")).alias("n"),
+            F.lit(0.0).alias("t"),
+            F.expr("array()").cast("array<struct<s:int,e:int>>").alias("a"),
+        )
+
+        def step(acc: Column, i: Column) -> Column:
+            came = F.element_at(which, i)
+            went = F.when(i > window, F.element_at(which, F.greatest(i - window, F.lit(1)))).otherwise(F.lit(0))
+            up = F.element_at(acc["n"], came)
+            down = F.when(went > 0, F.element_at(acc["n"], F.greatest(went, F.lit(1)))).otherwise(F.lit(0))
+            total = F.when(came == went, acc["t"]).otherwise(acc["t"] + flog(up + 1) - flog(up) + F.when(went > 0, flog(down - 1) - flog(down)).otherwise(F.lit(0.0)))
+            counts = F.when(came == went, acc["n"]).otherwise(F.transform(acc["n"], lambda c, j: c + F.when(j + 1 == came, 1).otherwise(0) - F.when(j + 1 == went, 1).otherwise(0)))
+            entropy = F.log2(F.lit(float(window))) - total / window
+            span = F.struct((i - window).cast("int").alias("s"), i.cast("int").alias("e"))
+            last = F.element_at(acc["a"], -1)
+            joined = F.when(
+                (F.size(acc["a"]) > 0) & (last["e"] >= span["s"]),
+                F.concat(F.slice(acc["a"], 1, F.greatest(F.size(acc["a"]) - 1, F.lit(0))), F.array(F.struct(last["s"].alias("s"), span["e"].alias("e")))),
+            ).otherwise(F.concat(acc["a"], F.array(span)))
+            said = F.array_join(F.slice(chars, F.greatest(i - window + 1, F.lit(1)), F.lit(window)), "")
+            return F.struct(counts.alias("n"), total.alias("t"), F.when((i >= window) & (entropy >= enough), F.when(~said.rlike(quiet), joined).otherwise(acc["a"])).otherwise(acc["a"]).alias("a"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), state, step)["a"]
+
+    known = F.transform(F.array(F.split(word, "")), lambda c: F.struct(c.alias("chars"), F.array_distinct(c).alias("kinds")))
+    numbered = F.transform(known, lambda x: F.struct(x["chars"].alias("chars"), F.transform(x["chars"], lambda c: F.array_position(x["kinds"], c).cast("int")).alias("which"), least.alias("least")))
+    return F.flatten(F.transform(numbered, slid))
 
 
 def _entropy_spans(text: Column, rule: EntropyRule) -> Column:
@@ -111,11 +118,11 @@ def _entropy_spans(text: Column, rule: EntropyRule) -> Column:
         word = c["m"]
         kind = F.when(word.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "entropy_hex").when(word.rlike("^[A-Za-z0-9]+$"), "entropy_alnum").otherwise("entropy_base64")
         least = F.when(kind == "entropy_hex", rule.hex).when(kind == "entropy_alnum", rule.alnum).otherwise(rule.base64)
-        return F.transform(_windows(word, rule.window, least), lambda w: F.struct(kind.alias("kind"), (c["s"] + w["s"]).alias("s"), (c["s"] + w["e"]).alias("e")))
+        return F.transform(_windows(word, rule.window, least, rule.placeholder), lambda w: F.struct(kind.alias("kind"), (c["s"] + w["s"]).alias("s"), (c["s"] + w["e"]).alias("e")))
 
     def suspect(c: Column) -> Column:
         word = c["m"]
-        return word.rlike("[0-9]") & word.rlike("[A-Za-z]") & ~word.rlike(rule.words) & ~word.rlike(rule.placeholder) & ~word.rlike(rule.uuid)
+        return word.rlike("[0-9]") & word.rlike("[A-Za-z]") & ~word.rlike(rule.words) & ~word.rlike(rule.uuid)
 
     pattern = CANDIDATE % rule.window
     none = F.expr("array()").cast("array<struct<kind:string,s:int,e:int>>")
@@ -160,20 +167,30 @@ def secret_report(docs: DataFrame, rule: EntropyRule = EntropyRule()) -> DataFra
 
 
 def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", rule: EntropyRule = EntropyRule()) -> DataFrame:
-    """docs with every found span (overlapping ones joined) replaced by mask; n_chars, where there is such a column, follows. Texts without a span stay as they are."""
+    """docs with every found span (overlapping ones joined) replaced by mask; n_chars, where there is such a column, follows.
+
+    Texts without a span stay as they are, null and empty ones too; every row gives one row, repeated ones and those with a null id included.
+    """
     found = scan_secrets(docs, "text", rule, "_base_spans", "_found_spans")
     spans = F.array_sort(F.transform("_found_spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
     start = F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<string>").alias("a"))
 
-    def step(acc: Column, x: Column) -> Column:
-        cut = F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"])
-        piece = F.when(x["s"] >= acc["at"], F.array(cut, F.lit(mask))).otherwise(F.expr("array()").cast("array<string>"))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["a"], piece).alias("a"))
+    def masked(pieces: Column) -> Column:
+        """pieces: the text in stretches of PIECE characters, so that a cut costs its own length and not its place."""
+
+        def cut(at: Column, to: Column) -> Column:
+            first = F.floor(at / PIECE).cast("int")
+            some = F.array_join(F.slice(pieces, first + 1, F.floor(to / PIECE).cast("int") - first + 1), "")
+            return F.substring(some, at - first * PIECE + 1, F.greatest(to - at, F.lit(0)))
+
+        def step(acc: Column, x: Column) -> Column:
+            piece = F.when(x["s"] >= acc["at"], F.array(cut(acc["at"], x["s"]), F.lit(mask))).otherwise(F.expr("array()").cast("array<string>"))
+            return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["a"], piece).alias("a"))
 
-    def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["a"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
+        return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["a"], ""), cut(acc["at"], F.size(pieces) * PIECE)))
 
-    text = F.when(F.size("_found_spans") > 0, F.aggregate(spans, start, step, finish)).otherwise(F.col("text"))
+    pieces = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{PIECE}}}"), 0)
+    text = F.when(F.size("_found_spans") > 0, F.element_at(F.transform(F.array(pieces), masked), 1)).otherwise(F.col("text"))
     out = found.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("_found_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

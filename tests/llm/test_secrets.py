@@ -59,14 +59,30 @@ def test_windows_match_recount(spark):
     word = "aaaaaaaaaaaaaaaaaaaaaaaa1kJ8x2Lq9Zv4Tn7Wb3Rm6Yp1Hs5Dg0Fcbbbbbbbbbbbbbbbbbbbbbbbbbbbb"
     from pyspark.sql import functions as F
 
-    got = spark.createDataFrame([(word,)], "w string").select(secrets._windows(F.col("w"), 20, F.lit(3.6)).alias("a")).first().a
+    got = spark.createDataFrame([(word,)], "w string").select(secrets._windows(F.col("w"), 20, F.lit(3.6), secrets.EntropyRule().placeholder).alias("a")).first().a
     hot = set()
     for i in range(len(word) - 19):
-        if entropy(word[i : i + 20]) >= 3.6 - 1e-9:
+        if entropy(word[i : i + 20]) >= 3.6 - 1e-9 and not re.search(r"(?i)example|(.)\1{7,}", word[i : i + 20]):
             hot |= set(range(i, i + 20))
     assert hot == {i for x in got for i in range(x.s, x.e)}
 
 
+def test_a_placeholder_hides_its_own_windows_only(spark):
+    key = "kJ8x2Lq9Zv4Tn7Wb3Rm6Yp1Hs5Dg0Fc"
+    rows = [(1, f"/sample/{key}"), (2, "AAAAAAAAAAAA" + key), (3, "your-example-key-123456"), (4, key + "x" * 60_000 + key)]
+    spans = {r.doc_id: r.spans for r in secrets.secret_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert spans[1] and spans[2] and not spans[3] and len(spans[4].split(",")) == 2
+
+
+def test_repeated_rows_null_ids_and_clashing_names(spark):
+    rows = [(None, "token=abcdefghi", "a", "b")] * 2 + [(3, None, "a", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _base_spans string, _found_spans string")
+    got = secrets.redact_secrets(docs)
+    assert got.columns == docs.columns or set(got.columns) == set(docs.columns)
+    assert sorted(str(r.text) for r in got.collect()) == ["None", "[SECRET]", "[SECRET]"]
+    assert secrets.redact_secrets(docs.limit(0)).count() == 0
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, 'a token = "abcdefgh12" b', 25, "x"), (2, "plain", 5, "y"), (3, None, None, None)], "doc_id long, text string, n_chars long, found string")
     assert secrets.redact_secrets(docs).dtypes == docs.dtypes
@@ -75,5 +91,24 @@ def test_redaction(spark):
     assert got[1].found == "x" and got[2].text == "plain" and got[3].text is None and got[3].n_chars is None
 
 
+def test_redaction_of_long_texts(spark):
+    import random
+
+    rnd = random.Random(6)
+    rows = []
+    for i in range(12):
+        parts = [rnd.choice(["é" * rnd.randint(0, 3000), "plain words 😀 here ", 'token="abcdefghij" ', "f" * 40 + " "]) for _ in range(rnd.choice((3, 30, 400)))]
+        rows.append((i, "".join(parts)))
+    rows.append((99, "token=abcdefghij " * 5000))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secrets.secret_report(docs).collect()}
+    got = {r.doc_id: r.text for r in secrets.redact_secrets(docs).collect()}
+    for i, text in rows:
+        want, end = "", 0
+        for s, e in sorted(tuple(map(int, x.split(":")[1:])) for x in spans[i].split(",") if x):
+            want, end = (want + text[end:s] + "[SECRET]" if s >= end else want), max(e, end)
+        assert got[i] == want + text[end:]
+
+
 def test_empty_table(spark):
     assert secrets.secret_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
