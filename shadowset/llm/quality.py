@@ -167,15 +167,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     return fit(np.array([r.x for r in rows]).reshape(-1, len(NAMES)), np.array([r.y for r in rows], float))
 
 
-def scored(docs: DataFrame, model: Trees) -> DataFrame:
-    """docs (whatever columns) with ``score``."""
-    columns = [c for c in docs.columns if c != "score"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(f"`{c}`" for c in columns)).schema) + ", score double"
+def scored(docs: DataFrame, model: Trees, name: str = "score") -> DataFrame:
+    """docs (whatever columns) with the score, in place of a column that has its name."""
+    columns = [c for c in docs.columns if c != name]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(f"`{c}`" for c in columns)).schema) + f", `{name}` double"
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             x = np.array([statistics(t.as_py()) for t in batch.column("text")]).reshape(-1, len(NAMES))
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], names=[*columns, "score"])
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], names=[*columns, name])
 
         return each
 
@@ -189,6 +189,8 @@ def quality_report(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """docs without those that the classifier rejects."""
-    out = scored(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, train(docs, labels, sample)).filter(F.col("score") >= threshold).drop("score")
-    return out.withColumnRenamed("_score", "score") if "score" in docs.columns else out
+    """docs without those that the classifier rejects: every row by itself, repeated ones and those with a null id or text included."""
+    name = "score"
+    while name in docs.columns:
+        name = "_" + name
+    return scored(docs, train(docs, labels, sample), name).filter(F.col(name) >= threshold).drop(name)

@@ -57,6 +57,54 @@ def test_against_plain_version(spark, tmp_path):
     assert got == want
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score string, _row string, part string, ids string"
+
+
+def written(spark, where, docs, items, labels):
+    for name, rows, schema in (("documents", docs, ODD), ("benchmark", items, "item_id long, text string"), ("labels", labels, "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{where}/{name}.parquet")
+    return str(where)
+
+
+def test_odd_rows_in_every_stage(spark, tmp_path):
+    """Null and empty texts, null and repeated ids, repeated rows, a very long text, ties, and columns with the operators' names."""
+    docs, items, labels = fixture()
+    more = [(None, docs[0][1]), (None, None), (7, None), (8, ""), (8, ""), (9, "  \n"), (5, docs[5][1]), (5, docs[5][1]), (None, items[0][1]), (5000, " ".join(WORDS) + " word" * 200_000 + ' token="abcdefghij"')]
+    odd = [(*d, "a", "b", "c", "d") for d in docs] + [(i, t, None, None, None if t is None else len(t), None, "b", None, "d") for i, t in more]
+    where = written(spark, tmp_path, odd, [*items, (None, "null id but words of an item"), (99, None)], [*labels, (None, 1, 0), (3, None, None)])
+    d = spark.read.parquet(f"{where}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, where)
+        assert out.dtypes == d.dtypes
+        key = lambda r: (r.doc_id, r.score, r._row, r.part, r.ids)
+        assert {key(r) for r in out.collect()} <= {key(r) for r in d.collect()}
+    kept = corpus_pipeline.drop_near_duplicates(spark, d, where)
+    texts = [r.text for r in kept.collect()]
+    assert texts.count(docs[0][1]) + texts.count(docs[0][1] + " end.") <= 1 and texts.count(None) == 2 and texts.count("") == 2 and texts.count(docs[5][1]) <= 1
+    clean = [r.text for r in corpus_pipeline.drop_contaminated(spark, d, where).collect()]
+    assert items[0][1] not in clean and None in clean and "" in clean
+    assert any(t and t.endswith(' [SECRET]"') and len(t) > 1_000_000 for t in (r.text for r in corpus_pipeline.mask_secrets(spark, d, where).collect()))
+    rows = corpus_pipeline.run(spark, where).collect()
+    by = {}
+    for r in rows:
+        by.setdefault((r.sequence_id), []).append((r.offset, r.length))
+        assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
+    for pieces in by.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 1024
+
+
+def test_empty_tables(spark, tmp_path):
+    docs, items, labels = fixture()
+    where = written(spark, tmp_path / "a", [], items, labels)
+    assert corpus_pipeline.run(spark, where).count() == 0
+    where = written(spark, tmp_path / "b", [(*d, "a", "b", "c", "d") for d in docs], [], [])
+    assert 0 < len({r.doc_id for r in corpus_pipeline.run(spark, where).collect()}) <= len(docs)
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     docs, items, labels = fixture()
     columns = "doc_id long, text string, lang string, source string, n_chars long"

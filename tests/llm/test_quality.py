@@ -74,3 +74,34 @@ def test_flat_trees_equal_a_walk():
                 at = m.left[t, at] if row[m.feature[t, at]] <= m.threshold[t, at] else m.right[t, at]
             total += m.value[t, at]
         assert abs(1 / (1 + np.exp(-total)) - m.score(row[None])[0]) < 1e-12
+
+
+def test_the_first_split_is_the_best_of_all():
+    """Every split between two values of every column is tried by adding up its halves."""
+    rng = np.random.default_rng(8)
+    for _ in range(10):
+        x = rng.integers(0, 12, (60, 4)).astype(float)
+        y = ((x[:, 2] > 6) ^ (rng.random(60) < 0.2)).astype(float)
+        m = quality.fit(x, y, trees=1, depth=1, bins=200, rate=1.0, penalty=2.0)
+        p = y.mean()
+        g, h = p - y, np.full(60, p * (1 - p))
+        part = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + 2.0)
+        gain = {(f, v): part(x[:, f] <= v) + part(x[:, f] > v) for f in range(4) for v in np.unique(x[:, f])[:-1]}
+        f, cut = int(m.feature[0, 0]), m.threshold[0, 0]
+        went = x[:, f] <= cut
+        assert abs(part(went) + part(~went) - max(gain.values())) < 1e-9
+        for rows, leaf in ((went, m.left[0, 0]), (~went, m.right[0, 0])):
+            assert abs(m.value[0, leaf] + g[rows].sum() / (h[rows].sum() + 2.0)) < 1e-9
+
+
+def test_statistics_against_plain_counts():
+    for text in ("", "Some words, some MORE words!!\nA line ; A line ; b\n\n a a a 42 é", "x" * 5000, "word " * 300_000):
+        got = dict(zip(quality.NAMES, quality.statistics(text), strict=True))
+        raw, words = text.encode(), text.encode().split()
+        n = len(words)
+        lines = [x for x in raw.split(b"\n") if x.strip()]
+        share = [raw.count(bytes([b])) / len(raw) for b in set(raw)] if raw else []
+        want = {"log_bytes": np.log1p(len(raw)), "entropy": -sum(s * np.log2(s) for s in share), "log_words": np.log1p(n), "word_length": len(raw) / (n + 1) if raw else 0, "distinct_words": len(set(words)) / (n + 1)}
+        want |= {"distinct_pairs": len({(a, b) for a, b in zip(words, words[1:])}) / max(1, n - 1), "stutter": sum(a == b for a, b in zip(words, words[1:])) / max(1, n - 1)}
+        want |= {"log_lines": np.log1p(len(lines)), "distinct_lines": len(set(lines)) / max(1, len(lines)), "shouted": sum(len(w) > 1 and w.isupper() for w in words) / (n + 1), "top_word": max((words.count(w) for w in set(words)), default=0) / (n + 1)}
+        assert all(abs(got[k] - v) < 1e-9 for k, v in want.items()), text[:20]
