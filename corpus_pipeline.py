@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the columns
 of ``documents``. Rejected, duplicate and contaminated documents go, secrets are masked in place.
+
+Defined results: every row is judged by itself, also where ids repeat or are null. A null or empty text has a score like any
+other, is no duplicate of anything and never contaminated, has no secrets, and becomes the end mark alone; of equal or near
+texts one row stays, the one with the least id (null ids come last); benchmark items without an id or text do no harm. Columns
+beyond those of ``documents`` are kept by all stages but the last, whatever their names. Without labels all scores are 0.5 and
+all rows pass; without a benchmark nothing is contaminated; an empty table gives no rows. Long texts are handled whole.
 """
 
 from __future__ import annotations
