@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bounds of one Arrow batch handed to Python, so that long texts cannot fill a worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Words remembered in a worker, at most.
+WORDS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +41,47 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+class _Hashes(dict):
+    """The XXH3 hash of a word; operators share one memory of it in each worker."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < WORDS:
+            self[word] = value
+        return value
+
+
+HASHES = _Hashes()
+_MADE: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/shadowset/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/shadowset/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    for made in _MADE:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Scratch tables that are made in here are deleted at its end."""
+    _MADE.append(made := [])
+    try:
+        yield
+    finally:
+        _MADE.pop()
+        dropped(spark, *made)
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, stored; all scratch tables that it made on the way are deleted."""
+    path = scratch(spark, name)
+    with temporary(spark):
+        df = make()
+        df.write.option("compression", "zstd").parquet(path)
+        kind = df.schema
+    return spark.read.schema(kind).parquet(path)
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:

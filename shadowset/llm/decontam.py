@@ -24,17 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shadowset.llm.common import arrow_map, bound_batches, keyed, stored
+from shadowset.llm.common import HASHES, arrow_map, bound_batches, keyed, settled, stored
 
 WINDOW = 13
 BLOCK_CHARS = 4 << 20
-#: Words remembered in a worker, and starting points compared at a time, at most.
-WORDS, POINTS = 400_000, 1 << 20
+#: Starting points compared at a time, at most.
+POINTS = 1 << 20
 #: A-Z in lower case, word characters as they are, everything else a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -45,20 +44,9 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < WORDS:
-            self[word] = value
-        return value
-
-
-_HASHES = _Hashes()
-
-
 def hashed(text: str | None) -> np.ndarray:
     w = words(text)
-    return np.fromiter(map(_HASHES.__getitem__, w), np.uint64, len(w))
+    return np.fromiter(map(HASHES.__getitem__, w), np.uint64, len(w))
 
 
 class Phrases:
@@ -351,5 +339,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, null_ids: bool = False
     """docs without the contaminated rows; of a repeated doc_id only those go. Rows with a null doc_id stay, unless null_ids: then they are judged as all others."""
     rows, key = keyed(docs, "rows")
     asked = rows if null_ids else rows.filter("doc_id is not null")
-    bad = contamination(asked.select(F.col(key).alias("doc_id"), "text"), benchmark).filter("contaminated").select(F.col("doc_id").alias(key))
+    judged = lambda: contamination(asked.select(F.col(key).alias("doc_id"), "text"), benchmark)
+    bad = settled(docs.sparkSession, "contaminated", lambda: judged().filter("contaminated").select(F.col("doc_id").alias(key)))
     return rows.join(bad, key, "left_anti").select(*(f"`{c}`" for c in docs.columns))

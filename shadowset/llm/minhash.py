@@ -29,24 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shadowset.llm.common import arrow_map, dropped, keyed, stored
+from shadowset.llm.common import HASHES, arrow_map, dropped, keyed, settled, stored
 from shadowset.llm.components import components
 
 BANDS, ROWS = 40, 6
 SMALL = 24
-#: Words remembered in a worker, at most.
-WORDS = 400_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < WORDS:
-            self[word] = value
-        return value
-
-
-_HASHES = _Hashes()
 _ODD = np.random.default_rng(20).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -61,7 +48,7 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
     n = min(n, len(h))
     total = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):
@@ -350,7 +337,11 @@ def deduplicated(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> Dat
     Every row is a document of its own, also where ids repeat or are null. Texts that are null or without words stay.
     """
     rows, key = keyed(docs, "rows")
-    near = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), words, threshold)
-    named = near.select(F.col("doc_id").alias(key), "component_id").join(rows.select(key, F.col("doc_id").cast("long").alias("id")), key)
-    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", F.col(key).alias("row"))).alias("x")).select(F.col("x.row").alias(key))
+
+    def chosen() -> DataFrame:
+        near = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), words, threshold)
+        named = near.select(F.col("doc_id").alias(key), "component_id").join(rows.select(key, F.col("doc_id").cast("long").alias("id")), key)
+        return named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", F.col(key).alias("row"))).alias("x")).select(F.col("x.row").alias(key))
+
+    kept = settled(docs.sparkSession, "kept", chosen)
     return rows.join(kept, key, "left_semi").select(*(f"`{c}`" for c in docs.columns))

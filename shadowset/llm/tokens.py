@@ -16,7 +16,7 @@ import re
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Stretches remembered in a worker, at most.
-STRETCHES = 400_000
+STRETCHES = 250_000
 _ODD_SPACE = re.compile(r"\s \s*|^\s| \s|\s$")
 
 
