@@ -11,14 +11,15 @@ from shadowset.models import SDTYPES, Analysis, DateOrder, DimensionGroup, Relat
 from shadowset.operators.validate import Report, is_missing
 
 
-def overview(columns: DataFrame) -> DataFrame:
-    """Per table: columns, references, dimensions and the key. columns: of Analysis.to_dataframes."""
-    return columns.groupBy("table_name").agg(
+def overview(columns: DataFrame, tables: DataFrame) -> DataFrame:
+    """Per table: rows, columns, references, dimensions and the key. columns, tables: of Analysis.to_dataframes."""
+    counted = columns.groupBy("table_name").agg(
         F.count(F.lit(1)).alias("n_columns"),
         F.count_if(F.col("role") == "foreign_key").alias("n_foreign_keys"),
         F.count_if(F.col("role") == "dimension").alias("n_dimensions"),
         F.max(F.when(F.col("is_primary_key"), F.col("column_name"))).alias("primary_key"),
     )
+    return counted.join(tables.select("table_name", F.col("row_count").alias("n_rows")), "table_name")
 
 
 def data_profile(df: DataFrame) -> DataFrame:

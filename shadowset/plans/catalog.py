@@ -189,15 +189,43 @@ def sensitivity(spark, sf_dir):
     return spark.createDataFrame([(n,) for n in _LABELS], "name string").withColumn("sensitivity", N.sensitivity_column(F.col("name")))
 
 
-@query()
+def _roles_sql() -> str:
+    """cols: every column of the views with its role, by the rules that the analysis goes by."""
+    one = "SELECT '{v}' AS table_name, {t} AS place, '{c}' AS column_name, CAST({i} AS INTEGER) AS ordinal, count(*) AS n, count(*) - count({c}) AS z, count(DISTINCT {c}) + CAST(count(*) > count({c}) AS BIGINT) AS d, any_value(typeof({c})) AS kind, avg(length(CAST({c} AS VARCHAR))) AS len FROM v_{v}"
+    rows = " UNION ALL ".join(one.format(v=v, t=t, c=c, i=i) for t, v in enumerate(VIEWS) for i, c in enumerate(columns_of(v)))
+    return (
+        renamed_sql()
+        + f""", prof AS (SELECT *, d / n AS ratio FROM ({rows})),
+    named AS (SELECT *, ratio >= 0.95 AND {_SUFFIX} AS by_name FROM prof WHERE n > 0 AND z = 0 AND (ratio >= 0.95 AND {_SUFFIX} OR d = n)),
+    keys AS (SELECT table_name, column_name AS k FROM named QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY by_name DESC, ratio DESC, ordinal) = 1),
+    edges AS (SELECT parent_table, parent_column, child_table, child_column FROM ({_overlap_sql(False)} UNION ALL {_overlap_sql(True)}) GROUP BY ALL HAVING max(n_hit / n_values) >= 0.8),
+    cols AS (SELECT p.table_name, place, ordinal, column_name, n, CASE WHEN column_name = k THEN 'primary_key' WHEN child_column IS NOT NULL THEN 'foreign_key'
+      WHEN kind = 'VARCHAR' AND ratio < CASE WHEN n < 50 THEN 0.5 WHEN n < 200 THEN 0.15 ELSE 0.05 END THEN 'dimension' WHEN kind LIKE 'TIMESTAMP%' OR kind = 'DATE' THEN 'date' WHEN kind = 'VARCHAR' AND ratio >= 0.05 AND len > 3 THEN 'text'
+      WHEN kind IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE') THEN 'measure' ELSE 'other' END AS role, kind, CASE WHEN column_name = k THEN NULL ELSE parent_table || '.' || parent_column END AS target
+      FROM prof p LEFT JOIN keys USING (table_name) LEFT JOIN edges ON child_table = p.table_name AND child_column = column_name)"""
+    )
+
+
+_SENSITIVITY = f"""CASE WHEN regexp_matches({_LOW}, '{'|'.join(N.HIGH)}') THEN 'high' WHEN {_LOW} IN ('name', 'email') OR regexp_matches({_LOW}, '{'|'.join(N.LOW_ANYWHERE)}') OR list_has_any(string_split({_LOW}, '_'), {N.LOW_SEGMENT!r}) THEN 'low' ELSE 'none' END""".replace("lower(name)", "lower(column_name)")
+
+
+@query(
+    _roles_sql()
+    + f""" SELECT table_name, ordinal, column_name, CASE role WHEN 'primary_key' THEN 'id' WHEN 'foreign_key' THEN 'id' WHEN 'dimension' THEN 'categorical' WHEN 'date' THEN 'datetime' WHEN 'text' THEN 'unknown' WHEN 'measure' THEN 'numerical'
+    ELSE CASE WHEN kind = 'BOOLEAN' THEN 'boolean' ELSE 'categorical' END END AS sdtype, role, role = 'primary_key' AS is_primary_key, target AS foreign_key_target, {_SENSITIVITY} AS sensitivity FROM cols"""
+)
 def column_roles(spark, sf_dir):
     columns = discover.analyze(renamed(spark, sf_dir)).to_dataframes(spark)["columns"]
     return columns.select("table_name", "ordinal", "column_name", "sdtype", "role", "is_primary_key", "foreign_key_target", "sensitivity")
 
 
-@query()
+@query(
+    _roles_sql()
+    + """ SELECT table_name, count(*) AS n_columns, count(*) FILTER (role = 'foreign_key') AS n_foreign_keys, count(*) FILTER (role = 'dimension') AS n_dimensions, max(CASE WHEN role = 'primary_key' THEN column_name END) AS primary_key, max(n) AS n_rows FROM cols GROUP BY 1"""
+)
 def table_overview(spark, sf_dir):
-    return review.overview(discover.analyze(renamed(spark, sf_dir)).to_dataframes(spark)["columns"])
+    frames = discover.analyze(renamed(spark, sf_dir)).to_dataframes(spark)
+    return review.overview(frames["columns"], frames["tables"])
 
 
 # ---- integrity
@@ -369,6 +397,19 @@ def _synthesis(spark, sf_dir):
     return views, discover.analyze(views)
 
 
+@query("SELECT (SELECT count(*) FROM orders) AS n_rows, (SELECT count(*) FROM orders) AS n_references, 0::BIGINT AS n_orphans, true AS hot_first, true AS as_often")
+def fk_stitch_properties(spark, sf_dir):
+    """What assigned references must have: every row one, of a parent that exists, the most frequent parent as often as the original's most frequent value (within six deviations)."""
+    made = fk_stitch(spark, sf_dir)
+    parents = raw(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"))
+    often = made.groupBy("customer_id").count()
+    most = raw(spark, sf_dir, "orders").groupBy("o_custkey").count().agg(F.max("count")).scalar()
+    first = often.filter("customer_id = 1").agg(F.coalesce(F.max("count"), F.lit(0))).scalar()
+    lost = made.join(parents, "customer_id", "left_anti").agg(F.count(F.lit(1))).scalar()
+    one = spark.range(1).select(made.agg(F.count(F.lit(1))).scalar().alias("n_rows"), made.agg(F.count("customer_id")).scalar().alias("n_references"), lost.alias("n_orphans"), most.alias("m"), first.alias("first"), often.agg(F.max("count")).scalar().alias("top"))
+    return one.select("n_rows", "n_references", "n_orphans", (F.col("first") >= F.col("m") - 6 * F.sqrt("m")).alias("hot_first"), (F.col("top") <= F.col("m") + 6 * F.sqrt("m") + 6).alias("as_often"))
+
+
 @query()
 def fk_stitch(spark, sf_dir):
     views, _ = _synthesis(spark, sf_dir)
@@ -390,6 +431,20 @@ def preview_rows(spark, sf_dir):
     return preview.preview("orders", analysis, views, 50, seed=7)
 
 
+@query("SELECT 50::BIGINT AS n_rows, 50::BIGINT AS n_keys, 0::BIGINT AS n_orphans, 0::BIGINT AS n_other_statuses, 0::BIGINT AS n_out_of_range")
+def preview_properties(spark, sf_dir):
+    """What a preview must have: row numbers as keys, references, categories and numbers of the source."""
+    made = preview_rows(spark, sf_dir)
+    orders = raw(spark, sf_dir, "orders")
+    lost = made.join(raw(spark, sf_dir, "customer"), F.col("customer_id") == F.col("c_custkey"), "left_anti")
+    other = made.join(orders.select(F.col("o_orderstatus").alias("s")).distinct(), F.col("o_orderstatus") == F.col("s"), "left_anti")
+    low, high = (orders.agg(f("o_totalprice")).scalar() for f in (F.min, F.max))
+    count = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    keys = made.agg(F.count_distinct(F.when(F.col("order_id").between(1, 50), F.col("order_id")))).scalar()
+    out = made.filter((F.col("o_totalprice") < low - 0.01) | (F.col("o_totalprice") > high + 0.01))
+    return spark.range(1).select(count(made).alias("n_rows"), keys.alias("n_keys"), count(lost).alias("n_orphans"), count(other).alias("n_other_statuses"), count(out).alias("n_out_of_range"))
+
+
 @query()
 def copula_sample(spark, sf_dir):
     views = renamed(spark, sf_dir, "part")
@@ -417,6 +472,13 @@ def validation_report(spark, sf_dir):
     return spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "line_no long, line string")
 
 
-@query()
+@query(
+    _roles_sql()
+    + """, place AS (SELECT DISTINCT table_name, place FROM cols), line AS (SELECT 0 AS a, 0 AS b, 0 AS c, 'erDiagram' AS line
+      UNION ALL SELECT 1, p.place * 100 + k.place, c.ordinal, '    ' || parent_table || ' ||--o{ ' || child_table || ' : "' || parent_column || ' to ' || child_column || '"' FROM edges JOIN place p ON p.table_name = child_table JOIN place k ON k.table_name = parent_table
+      JOIN cols c ON c.table_name = child_table AND c.column_name = child_column
+      UNION ALL SELECT 2, row_number() OVER (ORDER BY table_name), 0, '    ' || table_name FROM place WHERE table_name NOT IN (SELECT parent_table FROM edges UNION SELECT child_table FROM edges))
+    SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS line_no, line FROM line"""
+)
 def er_diagram(spark, sf_dir):
     return spark.createDataFrame([(i, x) for i, x in enumerate(review.er_diagram(discover.analyze(renamed(spark, sf_dir))).split("\n"))], "line_no long, line string")
