@@ -8,6 +8,7 @@ from enum import StrEnum
 from pyspark.sql import DataFrame, SparkSession
 
 
+# The names that saved analyses use for roles, sensitivities, semantic types and methods, and the records' fields.
 class Role(StrEnum):
     PRIMARY_KEY = "primary_key"
     FOREIGN_KEY = "foreign_key"

@@ -127,12 +127,12 @@ def dimensions(df: DataFrame | None, exclude: Iterable[str] = (), threshold: flo
 
 def dimension_profiles(df: DataFrame, threshold: float = DIMENSION_THRESHOLD) -> dict[str, ColumnProfile]:
     """Exact profiles of the string columns that may be dimensions."""
-    return profile(df, lambda p: isinstance(p.type, T.StringType) and p.ratio * (1 - SLACK) <= dimension_limit(p.rows, threshold))
+    return profile(df, lambda p: p.ratio * (1 - SLACK) <= dimension_limit(p.rows, threshold), T.StringType)
 
 
 def text_profiles(df: DataFrame, threshold: float = DIMENSION_THRESHOLD) -> dict[str, ColumnProfile]:
     """Exact profiles of the string columns that may be free text."""
-    return profile(df, lambda p: isinstance(p.type, T.StringType) and p.ratio * (1 + SLACK) >= threshold and (p.mean_length or 0) > 3)
+    return profile(df, lambda p: p.ratio * (1 + SLACK) >= threshold and (p.mean_length or 0) > 3, T.StringType)
 
 
 def _distinct(columns: Iterable[str]) -> Expr:

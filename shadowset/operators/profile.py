@@ -52,13 +52,14 @@ def _comparable(c: str, kind: T.DataType) -> Column:
     return F.when(col.isNotNull(), F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit(1), value).alias("b")))
 
 
-def profile(df: DataFrame, needed: Callable[[ColumnProfile], bool] | None = None) -> dict[str, ColumnProfile]:
-    """All columns, exactly. needed: only the columns whose estimated profile it accepts are counted and given."""
-    fields = list(enumerate(df.schema.fields))
-    if needed is not None:
+def profile(df: DataFrame, needed: Callable[[ColumnProfile], bool] | None = None, kind: type[T.DataType] = T.DataType) -> dict[str, ColumnProfile]:
+    """All columns of a kind, exactly. needed: only the columns whose estimated profile it accepts are counted and given."""
+    fields = [(i, f) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, kind)]
+    if needed is not None and fields:
         asked = [F.count(F.lit(1)).alias("rows")]
         for i, f in fields:
-            asked += [*_simple(i, f), F.approx_count_distinct(_comparable(f.name, f.dataType), DEVIATION).alias(f"d{i}")]
+            value = _comparable(f.name, f.dataType) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`")
+            asked += [*_simple(i, f), F.approx_count_distinct(value, DEVIATION).alias(f"d{i}")]
         row = df.agg(*asked).first().asDict()
         fields = [(i, f) for i, f in fields if needed(_of(i, f, row))]
     out: dict[str, ColumnProfile] = {}
