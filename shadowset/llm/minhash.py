@@ -113,13 +113,41 @@ def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS
     return arrow_map(_marked(docs), make, SIGNED)
 
 
+#: Rows of one bucket that a join deals to one place, about; and the share of all rows beyond which a bucket counts as hot.
+SPREAD, HOT = 128, 1000
+
+
+def _places(n):
+    return F.greatest(F.ceil(n / SPREAD), F.lit(1)).cast("int")
+
+
+def _dealt(rows: DataFrame, doc: str = "doc") -> DataFrame:
+    """rows (band, n, ...) with one of their bucket's places, so that a large bucket's rows meet its facts in many tasks."""
+    return rows.withColumn("place", F.pmod(F.xxhash64(doc), _places(F.col("n"))).cast("int"))
+
+
+def _everywhere(facts: DataFrame) -> DataFrame:
+    """facts on buckets (band, n, ...) at each of their bucket's places: one row for about SPREAD of the bucket."""
+    return facts.withColumn("place", F.explode(F.sequence(F.lit(0), _places(F.col("n")) - 1)))
+
+
+def _buckets(banded: DataFrame, counted: DataFrame) -> DataFrame:
+    """Members of the buckets in counted (band, n, hub). Buckets with a share of 1 / HOT of all members, of which there are at
+    most HOT, are made known to every task, which deals their members to many places."""
+    least = max(SPREAD, (counted.agg(F.sum("n")).first()[0] or 0) / HOT)
+    hot = F.broadcast(counted.filter(F.col("n") >= least).select("band", "n"))
+    known = _dealt(banded.join(hot, "band", "left")).drop("n")  # place 0 where the bucket is not hot
+    facts = _everywhere(counted.filter(F.col("n") >= least)).unionByName(counted.filter(F.col("n") < least).withColumn("place", F.lit(0)))
+    return known.join(facts, ["band", "place"]).drop("place")
+
+
 def _mixed_buckets(buckets: DataFrame, part: DataFrame) -> DataFrame:
     """Members of buckets that hold several components: band, doc, size, n, part, major (whether in the bucket's largest component),
     others and others_size (members outside it and their shingles), all_size."""
     now = buckets.join(part, buckets.doc == part.node, "left").select(*(buckets[c] for c in ("band", "doc", "size", "n", "alone") if c in buckets.columns), F.coalesce("component", "doc").alias("part"))
     sizes = now.groupBy("band", "part").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"))
-    mixed = sizes.groupBy("band").agg(F.max_by("part", "c").alias("most"), (F.sum("c") - F.max("c")).alias("others"), (F.sum("s") - F.max_by("s", "c")).alias("others_size"), F.sum("s").alias("all_size")).filter("others > 0")
-    return now.join(mixed, "band").withColumn("major", F.col("part") == F.col("most")).drop("most")
+    mixed = sizes.groupBy("band").agg(F.max_by("part", "c").alias("most"), (F.sum("c") - F.max("c")).alias("others"), (F.sum("s") - F.max_by("s", "c")).alias("others_size"), F.sum("s").alias("all_size"), F.sum("c").alias("n")).filter("others > 0")
+    return _dealt(now).join(_everywhere(mixed).drop("n"), ["band", "place"]).drop("place").withColumn("major", F.col("part") == F.col("most")).drop("most")
 
 
 def _possible(x: str, y: str, percent: int):
@@ -129,9 +157,9 @@ def _possible(x: str, y: str, percent: int):
 
 
 def _across(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a hub and a member of its bucket in another component. Both: band, doc, part, major, size, alone."""
-    side = lambda d, x: d.select("band", *(F.col(c).alias(f"{k}{x}") for c, k in (("doc", "d"), ("part", "p"), ("major", "m"), ("size", "n"), ("alone", "u"))))
-    pairs = side(members, "x").join(side(hubs, "y"), "band").filter((F.col("px") != F.col("py")) & _possible("x", "y", percent))
+    """Pairs of a hub and a member of its bucket in another component. Both: band, n, doc, part, major, size, alone."""
+    side = lambda d, x: d.select("band", "place", *(F.col(c).alias(f"{k}{x}") for c, k in (("doc", "d"), ("part", "p"), ("major", "m"), ("size", "n"), ("alone", "u"))))
+    pairs = side(_dealt(members), "x").join(side(_everywhere(hubs), "y"), ["band", "place"]).filter((F.col("px") != F.col("py")) & _possible("x", "y", percent))
     return pairs.select(F.least("dx", "dy").alias("a"), F.greatest("dx", "dy").alias("b"))
 
 
@@ -267,7 +295,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
     classes, _ = stored(reps.select(F.monotonically_increasing_id().alias("doc"), "same", "of", "x.*"), "classes")
     banded = classes.select("doc", F.explode("bands").alias("band"))
     counted = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("hub")).filter("n > 1")
-    buckets, buckets_at = stored(banded.join(counted, "band"), "buckets")
+    counted, counted_at = stored(counted, "counted")
+    buckets, buckets_at = stored(_buckets(banded, counted), "buckets")
+    dropped(spark, counted_at)
     percent = round(100 * threshold)
     part, part_at = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("component")), []  # without Python workers of its own
 

@@ -57,6 +57,7 @@ def corpus(n, seed, group=30):
 @pytest.mark.parametrize("small", [24, 3])
 def test_against_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(minhash, "SHINGLES", 300 if small == 3 else 1 << 20)
+    monkeypatch.setattr(minhash, "SPREAD", 2 if small == 3 else 128)
     monkeypatch.setattr(minhash, "SMALL", small)
     monkeypatch.setattr(minhash, "FEW", 2 if small == 3 else 256)
     monkeypatch.setattr(minhash, "MANY", 5 if small == 3 else 1024)
