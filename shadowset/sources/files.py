@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shadowset.functions.names import distinct_columns, distinct_table, table_name
@@ -70,11 +71,20 @@ def _renamed(df: DataFrame) -> DataFrame:
     return df.toDF(*distinct_columns(df.columns))
 
 
+def _one_row_a_line(spark: SparkSession, uri: str) -> bool:
+    """Whether no row goes on in the next line: a line that opens a quoted value and does not close it has an odd number of quotes."""
+    lines = spark.read.text(uri)
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    blank = F.col("value").rlike(r"^[\x00-\x20]+$")  # a row, which reading by lines would pass over
+    return lines.filter(odd | blank).isEmpty()
+
+
 def load_csv(spark: SparkSession, path: str | Path) -> dict[str, DataFrame]:
     """A CSV or TSV file as one table; numbers and booleans are inferred, dates stay text. None if it has no rows."""
     path = Path(path)
-    read = spark.read.option("header", True).option("sep", "\t" if path.suffix.lower() == ".tsv" else ",").option("multiLine", True).option("escape", '"')
+    read = spark.read.option("header", True).option("sep", "\t" if path.suffix.lower() == ".tsv" else ",").option("escape", '"')
     uri = path.resolve().as_uri()
+    read = read.option("multiLine", not _one_row_a_line(spark, uri))  # by lines many tasks share a file
     inferred = read.option("inferSchema", True).option("samplingRatio", 1.0).csv(uri)
     plain = {T.DateType, T.TimestampType, T.TimestampNTZType}
     schema = T.StructType([T.StructField(f.name, T.StringType() if type(f.dataType) in plain else T.LongType() if isinstance(f.dataType, T.IntegerType) else f.dataType) for f in inferred.schema.fields])

@@ -32,6 +32,18 @@ def test_load_all(spark, tmp_path):
     assert (rows[0].k, rows[0].v, rows[0]["at"], rows[0].b) == (1, 1.5, dt.datetime(2024, 1, 2, 3, 4, 5), True) and rows[1].v is None
 
 
+@pytest.mark.parametrize("text, by_lines, rows", [
+    ('id,t\n1,"a ""b"", c"\n\n2,d\n', True, [(1, 'a "b", c'), (2, "d")]),
+    ('id,t\n1,"a\n\nb, c"\n2,d\n', False, [(1, "a\n\nb, c"), (2, "d")]),
+    ('id,t\n1,5" pipe\n2,d\n', False, [(1, '5" pipe'), (2, "d")]),
+])
+def test_rows_over_several_lines(spark, tmp_path, text, by_lines, rows):
+    path = tmp_path / "t.csv"
+    path.write_text(text)
+    assert files._one_row_a_line(spark, path.as_uri()) == by_lines
+    assert sorted(map(tuple, files.load_csv(spark, path)["t"].collect())) == rows
+
+
 def test_discovery_limits(tmp_path):
     with pytest.raises(FileNotFoundError):
         files.discover(tmp_path / "none")
