@@ -40,6 +40,10 @@ PEOPLE = {
     "de": ("Anja Bernd Claudia Dieter Elke Frank Gisela Hans Heike Ingrid Jens Jutta Karin Klaus Lars Monika Nina Petra Ralf Sabine Sven Tanja Ulrich Uwe Werner Wolfgang", "Bauer Becker Braun Fischer Hoffmann Huber Klein Koch Lange Maier Meyer Neumann Richter Schmidt Schneider Schulz Schwarz Wagner Weber Wolf Zimmermann", "Altdorf Bergheim Eichstadt Grünau Hohenfels Lindental Neuburg Rosenheim Steinbach Waldkirch", "Straße Weg Allee Gasse", "GmbH AG KG"),
     "fr": ("Alain Anne Antoine Camille Catherine Claire Denis Élise François Gérard Hélène Henri Isabelle Jacques Jean Julie Louis Luc Marie Michel Nathalie Nicole Paul Pierre Sophie Thérèse", "Bernard Blanc Bonnet Chevalier David Dubois Dupont Durand Fontaine Fournier Garnier Girard Lambert Laurent Lefebvre Leroy Martin Mercier Moreau Petit Robert Rousseau Roux Simon Vincent", "Beaumont Belleville Clairval Fontenay Grandpré Montclair Rivière Saint-Clair Valmont Vernay", "rue avenue boulevard chemin", "SA SARL SAS"),
     "es": ("Alberto Ana Antonio Beatriz Carlos Carmen Cristina Diego Elena Fernando Inés Javier Jorge José Juan Laura Lucía Luis Manuel María Marta Miguel Pablo Pedro Pilar Rosa Sofía Teresa", "Alonso Álvarez Blanco Castro Díaz Fernández García Gil Gómez González Hernández Jiménez López Martín Martínez Moreno Muñoz Navarro Ortega Pérez Ramírez Ramos Ruiz Sánchez Serrano Torres", "Alameda Buenavista Casablanca Fuentealta Montealegre Riosol Santa-Clara Valverde Villanueva", "calle avenida plaza paseo", "SA SL"),
+    "it": ("Alessandro Andrea Anna Antonio Carla Chiara Davide Elena Federica Francesco Giulia Giuseppe Laura Lorenzo Luca Marco Maria Matteo Paola Paolo Roberto Sara Silvia Stefano", "Barbieri Bianchi Bruno Colombo Conti Costa Esposito Ferrari Fontana Galli Greco Lombardi Mancini Marino Moretti Ricci Rinaldi Romano Rossi Russo", "Acquaviva Borgonuovo Castelfiore Collalto Fontanabella Montesereno Pontevecchio Roccaverde Vallechiara Villafranca", "via viale piazza corso", "SpA Srl"),
+    "pt": ("Ana André António Beatriz Bruno Carlos Catarina Daniel Eduardo Fernanda Gabriel Helena Inês João José Luís Mariana Marta Miguel Paula Pedro Rafael Rita Sofia Tiago", "Almeida Alves Carvalho Costa Dias Fernandes Ferreira Gomes Lopes Marques Martins Oliveira Pereira Pinto Ribeiro Rocha Rodrigues Santos Silva Sousa", "Aldeia-Nova Campo-Verde Boavista Fonte-Clara Monte-Alegre Pedra-Branca Ribeira-Alta Rio-Claro Serra-Azul Vila-Flor", "rua avenida praça travessa", "Lda SA"),
+    "nl": ("Anke Bram Daan Eva Femke Hanna Hendrik Jan Jeroen Johan Joke Karin Koen Lotte Maaike Maarten Marijke Pieter Ruben Sanne Sander Thijs Tom Wim", "Bakker Bos Brouwer Dekker Dijkstra Hendriks Jacobs Jansen Kok Kuiper Meijer Mulder Peeters Postma Prins Smit Visser Vos Willems Wouters", "Beekdorp Groenveld Heuvelrode Kerkwijk Molenbeek Nieuwland Oosterhout Rietveld Waterdam Zandvoorde", "straat laan weg plein", "BV NV"),
+    "sv": ("Anders Anna Astrid Björn Elin Emma Erik Eva Gustav Ingrid Johan Karin Lars Lena Linnea Magnus Maja Mats Nils Olle Oskar Per Sara Sven", "Andersson Berg Bergström Carlsson Eriksson Forsberg Gustafsson Hansson Holm Jansson Johansson Karlsson Larsson Lind Lindberg Nilsson Nyström Olsson Persson Svensson", "Björkvik Ekby Fagerås Granholm Lindsund Norrtorp Sjöhamn Skogsby Stenkulla Västerlund", "gatan vägen gränd torget", "AB HB"),
 }
 DIGITS = 10
 

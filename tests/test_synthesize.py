@@ -138,8 +138,9 @@ def test_preview(spark, shop, redact):
     assert all(r.region.startswith("Category_") if redact else r.region in "NS" for r in people)
 
 
-def test_providers(spark):
-    fakes = Fakes(3, "de_DE")
+@pytest.mark.parametrize("locale", ["de_DE", "it_IT", "pt_BR", "nl_BE", "sv_SE"])
+def test_providers(spark, locale):
+    fakes = Fakes(3, locale)
     row = spark.range(5).select("id", *(getattr(fakes, p)(F.col("id"), p).alias(p) for p in (*PROVIDERS, "short_sentence"))).collect()
     assert all(v for r in row for k, v in r.asDict().items() if k != "id")
     assert len(row[0].sentence.split()) == 10 and len(row[0].short_sentence.split()) == 6 and "@" in row[0].email
