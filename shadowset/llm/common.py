@@ -33,12 +33,12 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a folder in the warehouse, or for a local master in the temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-        found = f"file://{tempfile.gettempdir()}/shadowset-{os.getpid()}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-    return found.rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master may go without; it gets one in the temporary folder."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/shadowset-{os.getpid()}"
 
 
 class _Hashes(dict):
@@ -91,11 +91,17 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, st
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keyed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df, stored with a key of its own for each row, and the name of the key's column."""
-    key = "_row"
-    while key.lower() in {c.lower() for c in df.columns}:
-        key += "_"
+    key = unused(df, "_row")
     return stored(df.withColumn(key, F.monotonically_increasing_id()), name)[0], key
 
 

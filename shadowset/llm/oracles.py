@@ -29,7 +29,7 @@ def _secrets() -> str:
     base AS (SELECT rn, kind, s, s + length(m) AS e FROM ({_spans('assign', secrets.ASSIGN)}) WHERE length(regexp_extract(m, $p${secrets.ASSIGN}$p$, 2)) >= 8
       UNION ALL SELECT rn, kind, s, s + length(m) FROM ({_spans('access', secrets.ACCESS)}) UNION ALL SELECT rn, kind, s, s + length(m) FROM ({_spans('hex', secrets.HEX)})),
     run AS (SELECT rn, s, m, CASE WHEN regexp_full_match(m, '[0-9a-f]+|[0-9A-F]+') THEN 'entropy_hex' WHEN regexp_full_match(m, '[A-Za-z0-9]+') THEN 'entropy_alnum' ELSE 'entropy_base64' END AS kind
-      FROM ({_spans('run', secrets.CANDIDATE % w)}) WHERE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT regexp_matches(m, $p${rule.words}$p$) AND NOT regexp_matches(m, $p${rule.uuid}$p$)),
+      FROM ({_spans('run', secrets.CANDIDATE % w)}) WHERE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT regexp_matches(m, $p$^({rule.word})({rule.joint}({rule.word}))*({rule.joint})?$$p$) AND NOT regexp_matches(m, $p${rule.uuid}$p$)),
     win AS (SELECT rn, s, kind, i, substr(m, i + 1, {w}) AS x FROM (SELECT *, unnest(range(0, length(m) - {w} + 1)) AS i FROM run)),
     good AS (SELECT rn, kind, s AS run, s + i AS s, s + i + {w} AS e FROM win
       WHERE log2({w}) - list_sum(list_transform(map_values(list_aggregate(string_split(x, ''), 'histogram')), lambda c: c * log2(c))) / {w} >= CASE kind WHEN 'entropy_hex' THEN {rule.hex} WHEN 'entropy_alnum' THEN {rule.alnum} ELSE {rule.base64} END

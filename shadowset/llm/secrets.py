@@ -13,31 +13,35 @@ letter, all words joined by separators, UUIDs) and windows with a placeholder wo
 touches spans of the entropy method; pattern spans stay.
 
 Defined results: a null or empty text has no spans; every input row gives one row, repeated rows included; extra columns
-are ignored; a null doc_id stays null.
+are ignored; a null doc_id stays null; an empty table gives no rows. Texts and runs of any length are handled whole, in time that
+grows with the length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shadowset.llm.common import unused
+
 #: Fixed patterns, in the order of their kinds.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_alnum", "entropy_base64")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}"
-#: Lengths are summed in blocks, so that a text of many matches costs little more than its length.
-BLOCK = 128
+#: Items of a text that are handled together, so that a text of many matches costs little more than its length.
+BLOCK = 512
 #: Characters of a stretch that masked texts are cut from.
 PIECE = 1024
 
 
 @dataclass(frozen=True)
 class EntropyRule:
-    """window: characters in a window; hex, alnum, base64: bits per character from which a window of that class is a secret."""
+    """window: characters in a window; hex, alnum, base64: bits per character from which a window of that class is a secret; runs of words (or numbers like years) with joints between them are none."""
 
     window: int = 20
     hex: float = 3.0
@@ -45,33 +49,49 @@ class EntropyRule:
     base64: float = 3.8
     placeholder: str = r"(?i)example|sample|dummy|placeholder|changeme|x{6,}|(.)\1{7,}"
     uuid: str = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-    words: str = r"^([A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4})([-_/=+]+([A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[-_/=+]*$"
+    word: str = r"[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4}"
+    joint: str = "[-_/=+]+"
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, m>> of the leftmost non-overlapping matches of pattern, by start."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    zipped = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once: in lambdas an expression from outside would be computed anew at every step."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
-    def block(i: Column) -> Column:
-        start = F.struct(F.lit(0).alias("n"), F.expr("array()").cast("array<struct<s:int,e:int,m:string>>").alias("a"))
+def _gathered(items: Column, zero: Column, step: Callable[[Column, Column], Column], last: Callable[[Column], Column], kind: str) -> Column:
+    """array<kind>: what the steps over items add, in order. step(state, item) gives a struct of the next state v and an array a to add, last(state) the array at the end.
 
-        def step(acc: Column, x: Column) -> Column:
-            s = acc["n"] + x["g"]
-            e = s + F.length(x["m"])
-            return F.struct(e.alias("n"), F.concat(acc["a"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("a"))
+    Arrays grow within a block of BLOCK items and blocks are put together at the end, so that time grows with the number of items.
+    """
+    none = F.expr("array()").cast(f"array<{kind}>")
+
+    def next_(acc: Column, x: Column) -> Column:
+        return _bound(step(acc["v"], x), lambda y: F.struct(y["v"].alias("v"), F.when(F.size(y["a"]) > 0, F.concat(acc["a"], y["a"])).otherwise(acc["a"]).alias("a")))
 
-        return F.aggregate(F.slice(zipped, i * BLOCK + 1, BLOCK), start, step)
+    def block(acc: Column, i: Column) -> Column:
+        own = F.aggregate(F.slice(items, i * BLOCK + 1, BLOCK), F.struct(acc["v"].alias("v"), none.alias("a")), next_)
+        return _bound(own, lambda x: F.struct(x["v"].alias("v"), F.when(F.size(x["a"]) > 0, F.concat(acc["a"], F.array(x["a"]))).otherwise(acc["a"]).alias("a")))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(found) / BLOCK).cast("int") - 1, F.lit(0))), block)
-    start = F.struct(F.lit(0).alias("n"), F.expr("array()").cast("array<array<struct<s:int,e:int,m:string>>>").alias("a"))
+    count = F.greatest(F.ceil(F.size(items) / BLOCK).cast("int"), F.lit(1))
+    start = F.struct(zero.alias("v"), F.expr("array()").cast(f"array<array<{kind}>>").alias("a"))
+    return F.aggregate(F.sequence(F.lit(0), count - 1), start, block, lambda acc: F.flatten(F.concat(acc["a"], F.array(last(acc["v"])))))
 
-    def join(acc: Column, b: Column) -> Column:
-        moved = F.transform(b["a"], lambda x: F.struct((x["s"] + acc["n"]).alias("s"), (x["e"] + acc["n"]).alias("e"), x["m"].alias("m")))
-        return F.struct((acc["n"] + b["n"]).alias("n"), F.concat(acc["a"], F.array(moved)).alias("a"))
 
-    none = F.expr("array()").cast("array<struct<s:int,e:int,m:string>>")
-    return F.when(text.rlike(pattern), F.flatten(F.aggregate(blocks, start, join)["a"])).otherwise(none)
+def _located(text: Column, pattern: str) -> Column:
+    """array<struct<s, e, m>> of the leftmost non-overlapping matches of pattern, by start."""
+    kind = "struct<s:int,e:int,m:string>"
+    none = F.expr("array()").cast(f"array<{kind}>")
+
+    def step(at: Column, x: Column) -> Column:
+        s, e = at + x["g"], at + x["g"] + x["n"]
+        return F.struct(e.alias("v"), F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"))).alias("a"))
+
+    def places(pair: Column) -> Column:
+        zipped = F.zip_with(F.slice(pair["gaps"], 1, F.size(pair["found"])), pair["found"], lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), m.alias("m")))
+        return _bound(zipped, lambda z: _gathered(z, F.lit(0), step, lambda at: none, kind))
+
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"))
+    return F.when(text.rlike(pattern), _bound(both, places)).otherwise(none)
 
 
 def _windows(word: Column, window: int, least: Column, quiet: str) -> Column:
@@ -81,32 +101,35 @@ def _windows(word: Column, window: int, least: Column, quiet: str) -> Column:
         return F.when(c > 0, c * F.log2(F.greatest(c, F.lit(1)))).otherwise(F.lit(0.0))
 
     def slid(x: Column) -> Column:
-        # what the whole word says comes as a variable: an expression in here would be made anew at every step
         chars, which, enough = x["chars"], x["which"], x["least"]
-        state = F.struct(
-            F.array_repeat(F.lit(0), F.array_max(which).cast("int")).alias("n"),
-            F.lit(0.0).alias("t"),
-            F.expr("array()").cast("array<struct<s:int,e:int>>").alias("a"),
-        )
+        none = F.expr("array()").cast("array<struct<s:int,e:int>>")
+        #: counts, the sum of c * log2(c), and the span that may still grow; s is -1 where there is none
+        zero = F.struct(F.array_repeat(F.lit(0), F.array_max(which).cast("int")).alias("n"), F.lit(0.0).alias("t"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))
 
-        def step(acc: Column, i: Column) -> Column:
+        def step(v: Column, i: Column) -> Column:
             came = F.element_at(which, i)
             went = F.when(i > window, F.element_at(which, F.greatest(i - window, F.lit(1)))).otherwise(F.lit(0))
-            up = F.element_at(acc["n"], came)
-            down = F.when(went > 0, F.element_at(acc["n"], F.greatest(went, F.lit(1)))).otherwise(F.lit(0))
-            total = F.when(came == went, acc["t"]).otherwise(acc["t"] + flog(up + 1) - flog(up) + F.when(went > 0, flog(down - 1) - flog(down)).otherwise(F.lit(0.0)))
-            counts = F.when(came == went, acc["n"]).otherwise(F.transform(acc["n"], lambda c, j: c + F.when(j + 1 == came, 1).otherwise(0) - F.when(j + 1 == went, 1).otherwise(0)))
-            entropy = F.log2(F.lit(float(window))) - total / window
-            span = F.struct((i - window).cast("int").alias("s"), i.cast("int").alias("e"))
-            last = F.element_at(acc["a"], -1)
-            joined = F.when(
-                (F.size(acc["a"]) > 0) & (last["e"] >= span["s"]),
-                F.concat(F.slice(acc["a"], 1, F.greatest(F.size(acc["a"]) - 1, F.lit(0))), F.array(F.struct(last["s"].alias("s"), span["e"].alias("e")))),
-            ).otherwise(F.concat(acc["a"], F.array(span)))
+            up = F.element_at(v["n"], came)
+            down = F.when(went > 0, F.element_at(v["n"], F.greatest(went, F.lit(1)))).otherwise(F.lit(0))
+            total = F.when(came == went, v["t"]).otherwise(v["t"] + flog(up + 1) - flog(up) + F.when(went > 0, flog(down - 1) - flog(down)).otherwise(F.lit(0.0)))
+            counts = F.when(came == went, v["n"]).otherwise(F.transform(v["n"], lambda c, j: c + F.when(j + 1 == came, 1).otherwise(0) - F.when(j + 1 == went, 1).otherwise(0)))
             said = F.array_join(F.slice(chars, F.greatest(i - window + 1, F.lit(1)), F.lit(window)), "")
-            return F.struct(counts.alias("n"), total.alias("t"), F.when((i >= window) & (entropy >= enough), F.when(~said.rlike(quiet), joined).otherwise(acc["a"])).otherwise(acc["a"]).alias("a"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), state, step)["a"]
+            def judged(y: Column) -> Column:
+                hot = F.when((i >= window) & (F.log2(F.lit(float(window))) - y["t"] / window >= enough), ~said.rlike(quiet)).otherwise(F.lit(False))
+                return F.struct(y["n"].alias("n"), y["t"].alias("t"), hot.alias("hot"))
+
+            def grown(y: Column) -> Column:
+                opens = y["hot"] & (v["e"] < i - window)
+                own = F.struct(y["n"].alias("n"), y["t"].alias("t"), F.when(opens, (i - window).cast("int")).otherwise(v["s"]).alias("s"), F.when(y["hot"], i.cast("int")).otherwise(v["e"]).alias("e"))
+                return F.struct(own.alias("v"), F.when(opens & (v["s"] >= 0), F.array(F.struct(v["s"].alias("s"), v["e"].alias("e")))).otherwise(none).alias("a"))
+
+            return _bound(F.struct(counts.alias("n"), total.alias("t")), lambda y: _bound(judged(y), grown))
+
+        def last(v: Column) -> Column:
+            return F.when(v["s"] >= 0, F.array(F.struct(v["s"].alias("s"), v["e"].alias("e")))).otherwise(none)
+
+        return _bound(F.sequence(F.lit(1), F.size(chars)), lambda places: _gathered(places, zero, step, last, "struct<s:int,e:int>"))
 
     known = F.transform(F.array(F.split(word, "")), lambda c: F.struct(c.alias("chars"), F.array_distinct(c).alias("kinds")))
     numbered = F.transform(known, lambda x: F.struct(x["chars"].alias("chars"), F.transform(x["chars"], lambda c: F.array_position(x["kinds"], c).cast("int")).alias("which"), least.alias("least")))
@@ -122,11 +145,13 @@ def _entropy_spans(text: Column, rule: EntropyRule) -> Column:
 
     def suspect(c: Column) -> Column:
         word = c["m"]
-        return word.rlike("[0-9]") & word.rlike("[A-Za-z]") & ~word.rlike(rule.words) & ~word.rlike(rule.uuid)
+        # by parts: Java's regular expressions walk a repeated group by recursion, which a long run takes beyond the stack
+        joined = _bound(F.split(word, rule.joint, -1), lambda parts: F.forall(parts, lambda x: x.rlike(f"^({rule.word})$") | (x == "")) & (F.element_at(parts, 1) != ""))
+        return word.rlike("[0-9]") & word.rlike("[A-Za-z]") & ~joined & ~word.rlike(rule.uuid)
 
     pattern = CANDIDATE % rule.window
     none = F.expr("array()").cast("array<struct<kind:string,s:int,e:int>>")
-    return F.when(text.rlike(r"(?=[A-Za-z+/_=-]*[0-9])" + pattern), F.flatten(F.transform(F.filter(_located(text, pattern), suspect), spans))).otherwise(none)
+    return F.when(text.rlike(pattern), F.flatten(F.transform(F.filter(_located(text, pattern), suspect), spans))).otherwise(none)
 
 
 def _base_spans(text: Column) -> Column:
@@ -169,11 +194,12 @@ def secret_report(docs: DataFrame, rule: EntropyRule = EntropyRule()) -> DataFra
 def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", rule: EntropyRule = EntropyRule()) -> DataFrame:
     """docs with every found span (overlapping ones joined) replaced by mask; n_chars, where there is such a column, follows.
 
-    Texts without a span stay as they are, null and empty ones too; every row gives one row, repeated ones and those with a null id included.
+    Texts without a span stay as they are, null and empty ones too; every row gives one row, repeated ones and those with a null id
+    included; an empty table gives no rows. Columns with the names of helpers are kept.
     """
-    found = scan_secrets(docs, "text", rule, "_base_spans", "_found_spans")
-    spans = F.array_sort(F.transform("_found_spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
-    start = F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<string>").alias("a"))
+    base, all_ = unused(docs, "_base_spans"), unused(docs, "_found_spans")
+    found = scan_secrets(docs, "text", rule, base, all_)
+    spans = F.array_sort(F.transform(all_, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
 
     def masked(pieces: Column) -> Column:
         """pieces: the text in stretches of PIECE characters, so that a cut costs its own length and not its place."""
@@ -183,15 +209,15 @@ def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", rule: EntropyRule =
             some = F.array_join(F.slice(pieces, first + 1, F.floor(to / PIECE).cast("int") - first + 1), "")
             return F.substring(some, at - first * PIECE + 1, F.greatest(to - at, F.lit(0)))
 
-        def step(acc: Column, x: Column) -> Column:
-            piece = F.when(x["s"] >= acc["at"], F.array(cut(acc["at"], x["s"]), F.lit(mask))).otherwise(F.expr("array()").cast("array<string>"))
-            return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["a"], piece).alias("a"))
+        def step(at: Column, x: Column) -> Column:
+            piece = F.when(x["s"] >= at, F.array(cut(at, x["s"]), F.lit(mask))).otherwise(F.expr("array()").cast("array<string>"))
+            return F.struct(F.greatest(at, x["e"]).alias("v"), piece.alias("a"))
 
-        return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["a"], ""), cut(acc["at"], F.size(pieces) * PIECE)))
+        return F.array_join(_bound(spans, lambda each: _gathered(each, F.lit(0), step, lambda at: F.array(cut(at, F.size(pieces) * PIECE)), "string")), "")
 
     pieces = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{PIECE}}}"), 0)
-    text = F.when(F.size("_found_spans") > 0, F.element_at(F.transform(F.array(pieces), masked), 1)).otherwise(F.col("text"))
+    text = F.when(F.size(all_) > 0, F.element_at(F.transform(F.array(pieces), masked), 1)).otherwise(F.col("text"))
     out = found.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_found_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(all_) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*(f"`{c}`" for c in docs.columns))
