@@ -79,6 +79,27 @@ _MINHASH = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id AS
     {_closure('d', 'link')}
     SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, id = component_id AS kept FROM d JOIN component USING (k) LEFT JOIN n USING (k)"""
 
+
+def _resampling() -> str:
+    """CRC-32 by half bytes: the low half of each byte comes first."""
+    table = [i for i in range(16)]
+    for _ in range(4):
+        table = [(v >> 1) ^ 0xEDB88320 if v & 1 else v >> 1 for v in table]
+    one = f"xor([{', '.join(map(str, table))}][1 + (xor(a, d) & 15)], a >> 4)"
+    return f"""WITH words AS (SELECT true AS doc, row_number() OVER () AS k, doc_id, regexp_extract_all({_LOWER}, $p${_WORDS}$p$) AS w FROM documents
+  UNION ALL SELECT false, row_number() OVER (), NULL, regexp_extract_all({_LOWER}, $p${_WORDS}$p$) FROM benchmark),
+gram AS MATERIALIZED (SELECT doc, k, array_to_string(w[i : i + n - 1], ' ') AS g, count(*) AS c FROM (SELECT doc, k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, (VALUES (1), (2), (3)) s(n) WHERE len(w) >= n) GROUP BY ALL),
+hashed AS MATERIALIZED (SELECT g, xor(list_reduce(list_transform(range(0, 2 * octet_length(encode(g))), lambda i: CAST(strpos('0123456789ABCDEF', substr(hex(encode(g)), xor(i, 1) + 1, 1)) - 1 AS BIGINT)), lambda a, d: {one}, 4294967295), 4294967295) % 10000 AS b FROM (SELECT DISTINCT g FROM gram)),
+count_ AS MATERIALIZED (SELECT doc, k, b, sum(c) AS c FROM gram JOIN hashed USING (g) GROUP BY ALL),
+total AS (SELECT coalesce(sum(c) FILTER (doc), 0) AS s, coalesce(sum(c) FILTER (NOT doc), 0) AS t FROM count_),
+gain AS (SELECT b, CAST(floor(1000 * ln((max(y) + 1)::DOUBLE * (any_value(s) + 10000)::DOUBLE / ((max(x) + 1)::DOUBLE * (any_value(t) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM (SELECT b, coalesce(sum(c) FILTER (doc), 0) AS x, coalesce(sum(c) FILTER (NOT doc), 0) AS y FROM count_ GROUP BY b), total GROUP BY b),
+weight AS (SELECT k, sum(c * gain) AS weight FROM count_ JOIN gain USING (b) WHERE doc GROUP BY k),
+score AS (SELECT k, doc_id, CAST(len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, len(w) >= 20 AS fit,
+  CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM words LEFT JOIN weight USING (k) WHERE doc),
+place AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS r, count(*) FILTER (fit) OVER () AS n FROM score)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND r <= 5 * n // 100 THEN r END AS rank FROM place"""
+
+
 ORACLES = {
     "op1_secret_scans": _secrets(),
     "op3_warc_index": _WARC,
@@ -86,4 +107,5 @@ ORACLES = {
     "op5_benchmark_decontamination": _DECONTAM,
     "op7_chat_formatting": _CHAT,
     "op9_minhash_near_dedup": _MINHASH,
+    "op12_importance_resampling": _resampling(),
 }
