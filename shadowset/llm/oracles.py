@@ -79,6 +79,15 @@ _MINHASH = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id AS
     {_closure('d', 'link')}
     SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, id = component_id AS kept FROM d JOIN component USING (k) LEFT JOIN n USING (k)"""
 
+_NEGATIVES = """WITH v AS (SELECT row_number() OVER () AS k, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda c: floor(256 * c)) AS x FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    pair AS MATERIALIZED (SELECT a.k AS a, b.k AS b, a.id AS anchor_id, b.id AS id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score FROM v a JOIN v b ON a.id % 100 = 0 AND a.k <> b.k AND len(a.x) = len(b.x)),
+    pos AS (SELECT * FROM pair WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id) <= 5),
+    neg AS (SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.id) AS rank
+      FROM pos p JOIN pair n ON p.a = n.a AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 5"""
+
+
 
 def _resampling() -> str:
     """CRC-32 by half bytes: the low half of each byte comes first."""
@@ -108,4 +117,5 @@ ORACLES = {
     "op7_chat_formatting": _CHAT,
     "op9_minhash_near_dedup": _MINHASH,
     "op12_importance_resampling": _resampling(),
+    "op13_hard_negatives": _NEGATIVES,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shadowset.llm import chat, decontam, htmltext, itq, licenses, minhash, packing, quality, resample, secrets, warc
+from shadowset.llm import chat, decontam, hardneg, htmltext, itq, licenses, minhash, packing, quality, resample, secrets, warc
 from shadowset.llm.common import table
 from shadowset.llm.oracles import ORACLES
 
@@ -53,6 +53,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.importance_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.negatives_report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
 
