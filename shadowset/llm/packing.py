@@ -19,6 +19,7 @@ a null doc_id stays null; an empty table gives no pieces; extra columns are igno
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shadowset.llm.common import arrow_map, stored
-from shadowset.llm.tokens import Encoder
+from shadowset.llm.tokens import Encoder, WordEncoder, encoder_of
 
 WINDOW = 1024
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, chunk long, rank long"
@@ -39,13 +40,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder | WordEncoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str) -> Encoder | WordEncoder:
     """One encoder for each worker process."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = encoder_of(path)
     return _ENCODERS[path]
 
 
@@ -61,8 +62,8 @@ def pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None,
             row: list[int] = []
             out: list[tuple] = []
             ids: list[bytes] = []
-            for i, text in enumerate(batch.column("text")):
-                data = enc.ids(text.as_py() or "") + tail
+            for i, data in enumerate(enc.ids_many(batch.column("text").to_pylist())):
+                data += tail
                 total = len(data) // 4
                 for start in range(0, total, window):
                     part = data[4 * start : 4 * (start + window)]
@@ -202,27 +203,32 @@ def slots(sequences: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...
     return (table[:, 0] << 44) + table[:, 1], table[:, 2] - table[:, 1], table[:, 3]
 
 
-def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, end: int = 0, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (with_ids: and ids). Sequences of ``window`` tokens at most."""
-    cut, _ = stored(pieces(docs, window, tokenizer, end, with_ids), "pieces")
+def placed(cut: DataFrame, window: int, planned: Callable[[np.ndarray, int], list[tuple[tuple[int, ...], int]]], kept: list[str]) -> DataFrame:
+    """The columns kept of stored pieces, with sequence_id and offset: planned(histogram, window) says which lengths go together, and how often."""
     counts = cut.groupBy("chunk", "length").agg(F.count(F.lit(1)).alias("n"))
     hist = np.zeros(window + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
         hist[r["length"]] = r["n"]
-    key, sequence, offset = slots(plan(hist, window))
+    key, sequence, offset = slots(planned(hist, window))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     base = counts.select("chunk", "length", F.coalesce(before, F.lit(0)).alias("base"))
     ranked = cut.join(base, ["chunk", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
-    kept = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             rank = batch.column("rank").to_numpy()
             row = np.searchsorted(key, (batch.column("length").to_numpy() << 44) + rank, "right") - 1
-            placed = {"sequence_id": pa.array(sequence[row] + rank), "offset": pa.array(offset[row])}
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *placed.values()], names=[*kept, *placed])
+            where = {"sequence_id": pa.array(sequence[row] + rank), "offset": pa.array(offset[row])}
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *where.values()], names=[*kept, *where])
 
         return each
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, " + "ids binary, " * with_ids + "sequence_id long, offset long"
+    kinds = dict(cut.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in kept) + ", sequence_id long, offset long"
     return arrow_map(ranked.select(*kept, "rank"), make, schema)
+
+
+def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, end: int = 0, with_ids: bool = False) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (with_ids: and ids). Sequences of ``window`` tokens at most."""
+    cut, _ = stored(pieces(docs, window, tokenizer, end, with_ids), "pieces")
+    return placed(cut, window, plan, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shadowset.llm import chat, decontam, hardneg, htmltext, itq, licenses, minhash, packing, quality, resample, secrets, warc
+from shadowset.llm import bestfit, chat, decontam, hardneg, htmltext, itq, licenses, minhash, packing, quality, resample, secrets, warc
 from shadowset.llm.common import table
 from shadowset.llm.oracles import ORACLES
 
@@ -49,6 +49,10 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack(table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.importance_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -62,5 +66,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Subword ids, trees, models and text density are not expressible in SQL: operators 2, 6, 8 and 10 have brute-force versions in tests/llm."""
+    """Subword ids, trees, models and text density are not expressible in SQL: operators 2, 6, 8, 10 and 11 have brute-force versions in tests/llm."""
     return dict(ORACLES)

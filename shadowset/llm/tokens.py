@@ -1,9 +1,14 @@
-"""Byte-level BPE ids, with a memory of the stretches between single spaces.
+"""Subword ids in bulk: byte-level BPE, and BPE with word ends.
+
+Byte-level BPE has a memory of the stretches between single spaces.
 
 The vocabulary's split pattern never joins what a single space between two visible characters separates (the space goes with
 what follows), so a text can be cut there and each stretch's ids remembered. A stretch that is not known yet is encoded by
 the rank encoder where its ids provably equal the tokenizer file's (the file's merges are in id order), else by the file's
 own tokenizer. Texts with other white space next to a space, or with the special token's string, go to the file's tokenizer whole.
+
+A vocabulary with word ends drops white space and never joins what it separates, so texts are cut at all of it. The stretches of
+a batch that are not known go to the file's tokenizer together, with a mark between them.
 """
 
 from __future__ import annotations
@@ -13,6 +18,8 @@ import json
 import os
 import re
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Stretches remembered in a worker, at most.
@@ -81,6 +88,9 @@ class Encoder:
             self.ends[mark] = self._encode(mark)
         return self.ends[mark]
 
+    def ids_many(self, texts: list[str | None]) -> list[bytes]:
+        return [self.ids(t or "") for t in texts]
+
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
@@ -89,3 +99,56 @@ class Encoder:
         first, *rest = text.split(" ")
         get, stretch = self.known.get, self._stretch
         return self._encode(first) + b"".join([get(w) or stretch(w) for w in rest])
+
+
+class WordEncoder:
+    """ids_many(texts), for a vocabulary whose words end in a suffix and whose file drops white space."""
+
+    #: Stands between stretches; its byte is in no other character, so its id tells where one ends.
+    MARK = "\x01"
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens", ())]
+        self.mark = self.whole.encode(self.MARK, add_special_tokens=False).ids
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _encode(self, text: str) -> bytes:
+        return array.array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of stretches that are not known. Those that can be told apart by the mark are encoded as one text."""
+        plain = [w for w in new if self.MARK not in w] if len(self.mark) == 1 else []
+        found = {}
+        if plain:
+            ids = np.array(self.whole.encode_batch_fast([f" {self.MARK} ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(ids == self.mark[0])
+            data, start = ids.tobytes(), 0
+            for w, end in zip(plain, [*at.tolist(), len(ids)], strict=True):
+                found[w] = data[4 * start : 4 * end]
+                start = end + 1
+        for w in new:
+            if w not in found:
+                found[w] = self._encode(w)
+        for w, data in found.items():
+            if len(self.known) >= STRETCHES:
+                break
+            self.known[w] = data
+        return found
+
+    def ids_many(self, texts: list[str | None]) -> list[bytes]:
+        cut = [None if any(s in t for s in self.special) else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in (t or "" for t in texts)]
+        new = list(dict.fromkeys(w for c in cut if c for w in c if w not in self.known))
+        found, known = self._learn(new) if new else {}, self.known
+        return [self._encode(t) if c is None else b"".join([known[w] if w in known else found[w] for w in c]) for t, c in zip(texts, cut, strict=True)]
+
+    def ids(self, text: str) -> bytes:
+        return self.ids_many([text])[0]
+
+
+def encoder_of(path: str) -> Encoder | WordEncoder:
+    with open(path, encoding="utf-8") as f:
+        return WordEncoder(path) if json.load(f)["model"].get("end_of_word_suffix") else Encoder(path)
