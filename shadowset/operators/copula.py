@@ -53,13 +53,14 @@ def normal_quantile(p: Column) -> Column:
 
 @dataclass
 class Marginal:
-    """nulls: share of NULL. Numbers have quantiles; other columns have spans, a table of all their n known values: v, lo, hi."""
+    """nulls: share of NULL. Numbers have quantiles; other columns have spans, a table of all their n known values: v, lo, hi; few: the same as a list, of at most VALUES."""
 
     type: T.DataType
     nulls: float = 0.0
     quantiles: list[float] = field(default_factory=list)
     decimals: int | None = None
     spans: DataFrame | None = None
+    few: list[tuple] | None = None
     n: int = 0
     exact: bool = False
 
@@ -141,21 +142,22 @@ def fit(df: DataFrame, orders: list[DateOrder] = (), groups: list[DimensionGroup
             m.quantiles = [float(x) for x in row[f"q{i}"] or ()]
             m.decimals = next((d for d in (0, 2) if row.get(f"d{d}_{i}")), None)
         elif known:
-            m.spans, m.n = _spans(work, c, known, m.exact)
+            m.spans, m.few, m.n = _spans(work, c, known, m.exact)
     return Model(columns, marginals, _factor(work, columns, marginals), orders, composites, schema)
 
 
-def _spans(work: DataFrame, c: str, total: int, by_value: bool) -> tuple[DataFrame, int]:
-    """v, lo, hi: the part of [0, 1) of each known value, as wide as its share, the most frequent first or by value; and how many there are."""
+def _spans(work: DataFrame, c: str, total: int, by_value: bool) -> tuple[DataFrame, list[tuple] | None, int]:
+    """v, lo, hi: the part of [0, 1) of each known value, as wide as its share, the most frequent first or by value; the same as a list, if short; and how many there are."""
     counts = work.filter(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     order = [F.col("v")] if by_value else [F.desc("n"), F.col("v").cast("string")]
     few = counts.orderBy(*order).limit(VALUES + 1).collect()
     if len(few) <= VALUES:
         ends = list(itertools.accumulate(r["n"] for r in few))
         kind = T.StructType([T.StructField("v", counts.schema["v"].dataType), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
-        return work.sparkSession.createDataFrame([(r["v"], (e - r["n"]) / total, e / total) for r, e in zip(few, ends, strict=True)], kind), len(few)
+        rows = [(r["v"], (e - r["n"]) / total, e / total) for r, e in zip(few, ends, strict=True)]
+        return work.sparkSession.createDataFrame(rows, kind), rows, len(few)
     sums = cut(with_prefix(with_rank(counts, order, "i"), "i", "n", "lo").select("v", (F.col("lo") / total).alias("lo"), ((F.col("lo") + F.col("n")) / total).alias("hi")))
-    return sums, sums.count()
+    return sums, None, sums.count()
 
 
 def _before(q: Column, holds) -> Column:
@@ -228,8 +230,9 @@ def sample(rows: DataFrame, row: str, model: Model, seed: int, stream: str) -> D
     mixed = [sum((F.col(f"_z{j}") * float(model.factor[i, j]) for j in range(i + 1) if abs(model.factor[i, j]) > 1e-12), F.lit(0.0)) for i in range(k)]
     out = z.select(*(f"`{c}`" for c in rows.columns), *(normal_cdf(m).alias(f"_u{i}") for i, m in enumerate(mixed)))
     for i, c in enumerate(model.columns):
-        if (spans := model.marginals[c].spans) is not None:
-            out = drawn_values(out, f"_u{i}", spans, model.marginals[c].n, f"_value{i}")
+        m = model.marginals[c]
+        if m.spans is not None:
+            out = drawn_values(out, f"_u{i}", m.spans if m.few is None else m.few, m.n, f"_value{i}", m.type)
     drawn = []
     for i, c in enumerate(model.columns):
         m = model.marginals[c]

@@ -32,10 +32,9 @@ def _resampled(out: DataFrame, name: str, source: DataFrame, column: str, seed:
     if not pool:
         return None
     total, ends = sum(r["n"] for r in pool), list(itertools.accumulate(r["n"] for r in pool))
-    kind = T.StructType([T.StructField("v", values.schema["v"].dataType), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
-    spans = source.sparkSession.createDataFrame([(r["v"], (e - r["n"]) / total, e / total) for r, e in zip(pool, ends, strict=True)], kind)
+    spans = [(r["v"], (e - r["n"]) / total, e / total) for r, e in zip(pool, ends, strict=True)]
     asked = out.withColumn("_u", R.uniform(F.col(ROW), seed, stream))
-    return drawn_values(asked, "_u", spans, len(pool), name).drop("_u")
+    return drawn_values(asked, "_u", spans, len(pool), name, values.schema["v"].dataType).drop("_u")
 
 
 def preview(table: str, analysis: Analysis, tables: dict[str, DataFrame], n_rows: int = 10, redact: bool = False, seed: int = 0) -> DataFrame:

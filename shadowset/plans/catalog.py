@@ -195,11 +195,11 @@ def _roles_sql() -> str:
     rows = " UNION ALL ".join(one.format(v=v, t=t, c=c, i=i) for t, v in enumerate(VIEWS) for i, c in enumerate(columns_of(v)))
     return (
         renamed_sql()
-        + f""", prof AS (SELECT *, d / n AS ratio FROM ({rows})),
+        + f""", prof AS MATERIALIZED (SELECT *, d / n AS ratio FROM ({rows})),
     named AS (SELECT *, ratio >= 0.95 AND {_SUFFIX} AS by_name FROM prof WHERE n > 0 AND z = 0 AND (ratio >= 0.95 AND {_SUFFIX} OR d = n)),
-    keys AS (SELECT table_name, column_name AS k FROM named QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY by_name DESC, ratio DESC, ordinal) = 1),
-    edges AS (SELECT parent_table, parent_column, child_table, child_column FROM ({_overlap_sql(False)} UNION ALL {_overlap_sql(True)}) GROUP BY ALL HAVING max(n_hit / n_values) >= 0.8),
-    cols AS (SELECT p.table_name, place, ordinal, column_name, n, CASE WHEN column_name = k THEN 'primary_key' WHEN child_column IS NOT NULL THEN 'foreign_key'
+    keys AS MATERIALIZED (SELECT table_name, column_name AS k FROM named QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY by_name DESC, ratio DESC, ordinal) = 1),
+    edges AS MATERIALIZED (SELECT parent_table, parent_column, child_table, child_column FROM ({_overlap_sql(False)} UNION ALL {_overlap_sql(True)}) GROUP BY ALL HAVING max(n_hit / n_values) >= 0.8),
+    cols AS MATERIALIZED (SELECT p.table_name, place, ordinal, column_name, n, CASE WHEN column_name = k THEN 'primary_key' WHEN child_column IS NOT NULL THEN 'foreign_key'
       WHEN kind = 'VARCHAR' AND ratio < CASE WHEN n < 50 THEN 0.5 WHEN n < 200 THEN 0.15 ELSE 0.05 END THEN 'dimension' WHEN kind LIKE 'TIMESTAMP%' OR kind = 'DATE' THEN 'date' WHEN kind = 'VARCHAR' AND ratio >= 0.05 AND len > 3 THEN 'text'
       WHEN kind IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE') THEN 'measure' ELSE 'other' END AS role, kind, CASE WHEN column_name = k THEN NULL ELSE parent_table || '.' || parent_column END AS target
       FROM prof p LEFT JOIN keys USING (table_name) LEFT JOIN edges ON child_table = p.table_name AND child_column = column_name)"""

@@ -1,11 +1,11 @@
-"""Global ranks and prefix sums without a one-partition window."""
+"""Global ranks, prefix sums and nearest values without a one-partition window."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 16
@@ -46,3 +46,20 @@ def with_prefix(df: DataFrame, index: str, value: str, name: str) -> DataFrame:
     own = F.sum(value).over(Window.partitionBy("_k").orderBy(index).rowsBetween(Window.unboundedPreceding, -1))
     base = sums.select("_k", F.coalesce(before, F.lit(0)).alias("_b"))
     return blocks.join(base, "_k").withColumn(name, F.col("_b") + F.coalesce(own, F.lit(0))).drop("_k", "_b")
+
+
+def with_fills(df: DataFrame, order: list[str], fills: dict[str, tuple[Column, bool]]) -> DataFrame:
+    """df with further columns: the nearest value that is not null in the order of the columns ``order``. fills: name -> (value, whether it
+    comes from the rows after a row and not from it and those before). Ranges are filled on their own; what a range cannot know comes from
+    its neighbours' ends, of which there is a row per range."""
+    kept = df.columns
+    ranged = cut(df.withColumns({f"_f{i}": value for i, (value, _) in enumerate(fills.values())}).repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    place = F.struct(*order)
+    ends = ranged.groupBy("_p").agg(*((F.min_by if after else F.max_by)(F.col(f"_f{i}"), F.when(F.col(f"_f{i}").isNotNull(), place)).alias(f"_e{i}") for i, (_, after) in enumerate(fills.values())))
+    among = Window.orderBy("_p")  # a row per partition
+    over = {False: among.rowsBetween(Window.unboundedPreceding, -1), True: among.rowsBetween(1, Window.unboundedFollowing)}
+    ends = ends.select("_p", *((F.first if after else F.last)(f"_e{i}", ignorenulls=True).over(over[after]).alias(f"_e{i}") for i, (_, after) in enumerate(fills.values())))
+    own = Window.partitionBy("_p").orderBy(*order)
+    within = {False: own.rowsBetween(Window.unboundedPreceding, 0), True: own.rowsBetween(1, Window.unboundedFollowing)}
+    near = ranged.select("*", *((F.first if after else F.last)(f"_f{i}", ignorenulls=True).over(within[after]).alias(f"_o{i}") for i, (_, after) in enumerate(fills.values())))
+    return near.join(ends, "_p").select(*(f"`{c}`" for c in kept), *(F.coalesce(f"_o{i}", f"_e{i}").alias(name) for i, name in enumerate(fills)))

@@ -216,3 +216,48 @@ def test_child_counts_are_those_that_occur(spark):
     mean = out["p"].join(counts.withColumnRenamed("p_id", "q"), F.col("p_id") == F.col("q"), "left").groupBy("size").agg(F.avg((F.coalesce("n", F.lit(0)) > 0).cast("int")).alias("some"))
     by = {r["size"]: r["some"] for r in mean.collect()}
     assert max(by.values()) > 0.8
+
+
+@pytest.mark.parametrize("weights", [[1], [5, 5, 5], [1, 0, 9, 2, 2], [1000] + [1] * 99, [3, 1, 4, 1, 5, 9, 2, 6] * 20, [0, 0, 7], [10**9, 1, 10**9 + 1], [1, 2, 3, 100, 100, 100]])
+def test_alias_cells_hold_each_weight(spark, weights):
+    """What the cells give to a value, own shares and what others lack, is its part of all weights."""
+    df = spark.createDataFrame([(i, w, f"v{i}") for i, w in enumerate(weights)], "i long, w long, v string").repartition(5)
+    cells, n = stitch.alias_cells(df)
+    got, total = dict.fromkeys(range(len(weights)), 0.0), sum(weights)
+    rows = cells.collect()
+    assert sorted(r.cell for r in rows) == list(range(n)) == list(range(len(weights)))
+    for r in rows:
+        assert -1e-12 <= r.share <= 1 + 1e-12 and r.own == f"v{r.cell}"
+        got[r.cell] += r.share
+        got[int(r.other[1:])] += 1 - r.share
+    for i, w in enumerate(weights):
+        assert abs(got[i] / n - w / total) < 1e-9
+    again, _ = stitch.alias_cells(df.repartition(2))
+    assert sorted(map(str, again.collect())) == sorted(map(str, rows))
+
+
+def test_a_value_of_half_the_weight_is_dealt_out(spark):
+    """One of 50,000 parents has half of the weight: it is drawn that often, no partition of the table has far more cells than another, and no key of the join is hot."""
+    n = 50_000
+    df = spark.range(n).select(F.col("id").alias("i"), F.when(F.col("id") == 7, n).otherwise(1).cast("long").alias("w"), F.col("id").alias("v"))
+    cells, _ = stitch.alias_cells(df)
+    assert cells.count() == cells.select("cell").distinct().count() == n
+    sizes = [r["count"] for r in cells.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 3 * n / len(sizes)
+    made = stitch.drawn(spark.range(40_000).withColumnRenamed("id", "_row"), "_row", df, 5, "half")
+    hot = made.filter("_v = 7").count()
+    assert made.count() == 40_000 and abs(hot - 20_000) < 6 * 100
+    assert "Generate" not in made._jdf.queryExecution().toString()
+
+
+def test_spans_of_a_table_and_of_a_list_draw_alike(spark):
+    spans = [("a", 0.0, 0.5), ("b", 0.5, 0.5), ("c", 0.5, 0.5004), ("d", 0.5004, 0.75), *((f"e{i}", 0.75 + i / 8192, 0.75 + (i + 1) / 8192) for i in range(2048))]
+    rows = spark.range(5000).select(F.col("id").alias("_row"), (F.col("id") / 5000).alias("_u"))
+    table = spark.createDataFrame(spans, "v string, lo double, hi double").repartition(6)
+    from pyspark.sql import types as T
+
+    one = stitch.drawn_values(rows, "_u", table, len(spans), "got")
+    two = stitch.drawn_values(rows, "_u", spans, len(spans), "got", T.StringType())
+    want = {(i, next(v for v, lo, hi in spans if lo <= i / 5000 < hi)) for i in range(5000)}
+    assert {(r._row, r.got) for r in one.collect()} == want == {(r._row, r.got) for r in two.collect()}
+    assert one.count() == two.count() == 5000
