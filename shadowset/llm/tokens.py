@@ -24,6 +24,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Stretches remembered in a worker, at most.
 STRETCHES = 250_000
+#: The same where the file's tokenizer is all there is for a stretch that is not known.
+WORDS = 600_000
 _ODD_SPACE = re.compile(r"\s \s*|^\s| \s|\s$")
 
 
@@ -119,31 +121,29 @@ class WordEncoder:
     def _encode(self, text: str) -> bytes:
         return array.array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of stretches that are not known. Those that can be told apart by the mark are encoded as one text."""
+    def _learn(self, new: list[str]) -> None:
+        """Take up the ids of stretches that are not known. Those that can be told apart by the mark are encoded as one text."""
         plain = [w for w in new if self.MARK not in w] if len(self.mark) == 1 else []
-        found = {}
         if plain:
             ids = np.array(self.whole.encode_batch_fast([f" {self.MARK} ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
             at = np.flatnonzero(ids == self.mark[0])
             data, start = ids.tobytes(), 0
             for w, end in zip(plain, [*at.tolist(), len(ids)], strict=True):
-                found[w] = data[4 * start : 4 * end]
+                self.known[w] = data[4 * start : 4 * end]
                 start = end + 1
         for w in new:
-            if w not in found:
-                found[w] = self._encode(w)
-        for w, data in found.items():
-            if len(self.known) >= STRETCHES:
-                break
-            self.known[w] = data
-        return found
+            if w not in self.known:
+                self.known[w] = self._encode(w)
 
     def ids_many(self, texts: list[str | None]) -> list[bytes]:
         cut = [None if any(s in t for s in self.special) else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in (t or "" for t in texts)]
-        new = list(dict.fromkeys(w for c in cut if c for w in c if w not in self.known))
-        found, known = self._learn(new) if new else {}, self.known
-        return [self._encode(t) if c is None else b"".join([known[w] if w in known else found[w] for w in c]) for t, c in zip(texts, cut, strict=True)]
+        known = self.known
+        new = [w for w in set().union(*(c for c in cut if c)) if w not in known]
+        self._learn(new)
+        out = [self._encode(t) if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
+        for w in new[max(0, WORDS - len(known) + len(new)) :]:  # beyond the memory's bound
+            del known[w]
+        return out
 
     def ids(self, text: str) -> bytes:
         return self.ids_many([text])[0]
