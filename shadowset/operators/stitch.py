@@ -42,8 +42,9 @@ def weights(ranked: DataFrame, parents: int) -> DataFrame:
     return every.join(ranked.select("j", F.col("n").alias("w")), "j").select("i", "w")
 
 
-def drawn_values(df: DataFrame, u: str, spans: DataFrame | list[tuple], n: int, name: str, kind: T.DataType | None = None) -> DataFrame:
+def drawn_values(df: DataFrame, u: str, spans: DataFrame | list[tuple], n: int, name: str, kind: T.DataType | None = None, middle: str | None = None) -> DataFrame:
     """df with column name: the v of the span [lo, hi) that holds the number u. The spans follow each other and fill [0, 1); n: how many there are.
+    middle: the name of a further column for the span's middle.
 
     Each cell of [0, 1) knows the spans that begin in it and the one that it begins in, so a row meets few spans whatever their
     number. A list of spans (with the type of v) becomes cells on the driver. In a table the span in force is carried on from cell to
@@ -62,7 +63,8 @@ def drawn_values(df: DataFrame, u: str, spans: DataFrame | list[tuple], n: int,
         filled = with_fills(begun.unionByName(edges).withColumn("_e", F.col("_s").isNull()), ["_b", "_at", "_e"], {"_in": (F.col("_s"), False)})
         values = filled.select("_b", F.col("_in.v").alias(name), F.col("_in.lo").alias("_lo"), F.col("_in.hi").alias("_hi")).filter("_lo is not null").dropDuplicates(["_b", "_lo"])
     asked = df.withColumn(u, F.greatest(F.least(F.col(u), F.lit(1 - 2.0**-53)), F.lit(0.0))).withColumn("_b", cell(F.col(u)))
-    return asked.join(values, "_b").filter(f"{u} >= _lo and {u} < _hi").drop("_b", "_lo", "_hi")
+    met = asked.join(values, "_b").filter(f"{u} >= _lo and {u} < _hi")
+    return (met.withColumn(middle, (F.col("_lo") + F.col("_hi")) / 2) if middle else met).drop("_b", "_lo", "_hi")
 
 
 def alias_cells(weighted: DataFrame) -> tuple[DataFrame, int]:
@@ -116,11 +118,22 @@ def stitch(child: DataFrame, column: str, parent: DataFrame, key: str, row: str,
     return out.withColumn(column, value).select(*(f"`{c}`" for c in child.columns))
 
 
-def stitch_all(tables: dict[str, DataFrame], analysis: Analysis, row: str, seed: int, originals: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Every relationship in order; of two on one column the later one holds."""
+def with_nulls(child: DataFrame, column: str, row: str, seed: int, original: DataFrame | None) -> DataFrame:
+    """child with as large a share of NULL in column as the original has, in place of references that it keeps."""
+    if original is None or column not in original.columns:
+        return child
+    nulls = original.agg(F.avg(F.col(f"`{column}`").isNull().cast("int"))).first()[0] or 0.0
+    return child.withColumn(column, F.when(R.uniform(F.col(row), seed, f"stitch/{column}/null") >= nulls, F.col(f"`{column}`"))) if nulls else child
+
+
+def stitch_all(tables: dict[str, DataFrame], analysis: Analysis, row: str, seed: int, originals: dict[str, DataFrame], kept: set[tuple] = frozenset()) -> dict[str, DataFrame]:
+    """Every relationship in order; of two on one column the later one holds. kept: edges whose references were made with the child's rows and stay."""
     out = dict(tables)
     for r in analysis.relationships:
         child, parent = out.get(r.child_table), out.get(r.parent_table)
         if child is not None and parent is not None and r.child_column in child.columns and r.parent_column in parent.columns:
+            if r.edge in kept:
+                out[r.child_table] = with_nulls(child, r.child_column, row, seed, originals.get(r.child_table))
+                continue
             out[r.child_table] = stitch(child, r.child_column, parent, r.parent_column, row, seed, originals.get(r.child_table))
     return out

@@ -20,7 +20,7 @@ from shadowset.operators.validate import expected_rows
 from shadowset.plans.ranking import cut, with_rank
 
 log = logging.getLogger(__name__)
-ROW = "_row"
+ROW, SCORES, GIVEN = "_row", "_scores", "_given"
 MULTI_TABLE_LIMIT = 10
 MAX_ROWS, WARN_ROWS, SMALL_ROWS = 5_000_000, 1_000_000, 3
 
@@ -64,14 +64,16 @@ def single_tables(analysis: Analysis, clean: dict[str, DataFrame], scale: float,
     return out
 
 
-def one_table(analysis: Analysis, name: str, df: DataFrame, rows: DataFrame, seed: int, skip: list[str] = (), extra: list[str] = ()) -> DataFrame:
-    """rows with the columns of df, modelled. extra: whole numbers of df that are modelled with them but are no columns of the table."""
+def one_table(analysis: Analysis, name: str, df: DataFrame, rows: DataFrame, seed: int) -> DataFrame:
+    """rows with the columns of df, modelled."""
     t = analysis.tables[name]
-    keys = [c for c in (t.primary_key, *skip) if c in df.columns]
-    model = copula.fit(df, *copula.constraints(analysis, name), skip=keys, exact=extra)
-    made = copula.sample(rows, ROW, model, seed, name)
-    key = t.primary_key if t.primary_key in df.columns else None
-    return _key_values(made, key, df.schema[key].dataType if key else None, seed)
+    model = copula.fit(df, *copula.constraints(analysis, name), skip=[c for c in (t.primary_key,) if c in df.columns])
+    return _keyed(analysis, name, df, copula.sample(rows, ROW, model, seed, name), seed)
+
+
+def _keyed(analysis: Analysis, name: str, df: DataFrame, made: DataFrame, seed: int) -> DataFrame:
+    key = analysis.tables[name].primary_key
+    return _key_values(made, key, df.schema[key].dataType, seed) if key in df.columns else made
 
 
 #: Children of one parent row that are made together.
@@ -79,22 +81,27 @@ FAMILY = 1 << 14
 
 
 def _children(parents: DataFrame, key: str, column: str, count: str) -> DataFrame:
-    """A row for each child, numbered from 0 by parent: the row id and the reference. A parent of many is split, so no task makes them all."""
-    blocks = parents.filter(F.col(count) > 0).select(F.col(ROW).alias("_parent"), F.col(f"`{key}`").alias(column), F.col(count).alias("_n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / FAMILY))).alias("_k"))
+    """A row for each child, numbered from 0 by parent: the row id, the reference and the parent's scores. A parent of many is split, so no task makes them all."""
+    blocks = parents.filter(F.col(count) > 0).select(F.col(ROW).alias("_parent"), F.col(f"`{key}`").alias(column), F.col(SCORES).alias(GIVEN), F.col(count).alias("_n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / FAMILY))).alias("_k"))
     dealt = blocks.repartition("_parent", "_k")
     made = dealt.withColumn("_j", F.explode(F.sequence(F.col("_k") * FAMILY, F.least(F.col("_n"), (F.col("_k") + 1) * FAMILY) - 1)))
-    return with_rank(made.select("_parent", "_j", f"`{column}`"), ["_parent", "_j"], ROW).select(ROW, f"`{column}`")
+    return with_rank(made.select("_parent", "_j", f"`{column}`", GIVEN), ["_parent", "_j"], ROW).select(ROW, f"`{column}`", GIVEN)
+
 
+def multi_table(analysis: Analysis, clean: dict[str, DataFrame], scale: float, seed: int, progress: Callable[[float, str], None]) -> tuple[dict[str, DataFrame], set[tuple]]:
+    """The tables, and the edges whose references are made with them. Parents first.
 
-def multi_table(analysis: Analysis, clean: dict[str, DataFrame], scale: float, seed: int, progress: Callable[[float, str], None]) -> dict[str, DataFrame]:
-    """Parents first. How many children a row has, along the child's first relationship, is modelled as a further column of the parent:
-    drawn from the counts that occur, as often as they do, and correlated with the parent's other columns. A child's own columns do
-    not depend on its parent's, as references are assigned anew afterwards."""
+    How many children a row has, along the child's first relationship, is modelled as a further column of the parent: drawn from the
+    counts that occur, as often as they do, and correlated with the parent's other columns. A child's row is made for its parent: its
+    normals are drawn on condition of the parent's scores, so that correlations between the two tables come back.
+    """
     lead: dict[str, Relationship] = {}
     for r in analysis.relationships:
         if r.child_table in clean and r.parent_table in clean:
             lead.setdefault(r.child_table, r)
     out: dict[str, DataFrame] = {}
+    models: dict[str, copula.Model] = {}
+    keys: dict[str, str | None] = {}
     left = list(clean)
     while left:
         ready = [t for t in left if t not in lead or lead[t].parent_table in out]
@@ -104,16 +111,23 @@ def multi_table(analysis: Analysis, clean: dict[str, DataFrame], scale: float, s
             progress(0.2 + 0.5 * len(out) / len(clean), f"modelling {name}")
             df, r = clean[name], lead.get(name)
             rows = df.sparkSession.range(expected_rows(analysis.tables[name].row_count, scale)).withColumnRenamed("id", ROW) if r is None else _children(out[r.parent_table], r.parent_column, r.child_column, f"_n_{name}")
-            counts = []
+            counts, key = [], None
             for child, of in lead.items():
                 if of.parent_table == name:
                     counts.append(f"_n_{child}")
+                    key = of.parent_column
                     often = clean[child].groupBy(F.col(f"`{of.child_column}`").alias("_c")).agg(F.count(F.lit(1)).alias(counts[-1]))
                     df = df.join(often, F.col(f"`{of.parent_column}`") == F.col("_c"), "left").drop("_c").fillna(0, [counts[-1]])
-            made = one_table(analysis, name, df, rows, seed, [r.child_column] if r else [], counts)
+            skip = {c for c in (analysis.tables[name].primary_key, r.child_column if r else None) if c in df.columns}
+            given, on = (models[r.parent_table].scored, r.child_column) if r and keys[r.parent_table] == r.parent_column else (None, None)
+            keys[name] = key
+            models[name] = copula.fit(df, *copula.constraints(analysis, name), skip=list(skip), exact=counts, key=key, given=given, on=on)
+            made = copula.sample(rows, ROW, models[name], seed, name, GIVEN if r else None, SCORES if counts else None)
+            made = _keyed(analysis, name, df, made, seed)
             out[name] = cut(made) if counts else made
         left = [t for t in left if t not in out]
-    return {t: df.drop(*(c for c in df.columns if c.startswith("_n_") and c[3:] in lead)) for t, df in out.items()}
+    bare = {t: df.drop(SCORES, *(c for c in df.columns if c.startswith("_n_") and c[3:] in lead)) for t, df in out.items()}
+    return bare, {r.edge for r in lead.values()}
 
 
 def fill_text(tables: dict[str, DataFrame], analysis: Analysis, seed: int, locale: str | None = None, strict: bool = False) -> dict[str, DataFrame]:
@@ -147,16 +161,17 @@ def synthesize(
     for t in analysis.tables.values():
         if t.row_count <= SMALL_ROWS:
             warn(f"{t.name} has {t.row_count} rows, too few for a distribution")
+    kept: set[tuple] = set()
     if choose_method(analysis, method) == "hma":
         try:
-            made = multi_table(analysis, clean, scale, seed, progress)
+            made, kept = multi_table(analysis, clean, scale, seed, progress)
         except (ArithmeticError, ValueError, PySparkException) as error:  # what a model or its fit can raise
             warn(f"multi-table model failed ({error}); modelling each table on its own")
             made = single_tables(analysis, clean, scale, seed, progress)
     else:
         made = single_tables(analysis, clean, scale, seed, progress)
     progress(0.75, "assigning references")
-    made = stitch_all(made, analysis, ROW, seed, tables)
+    made = stitch_all(made, analysis, ROW, seed, tables, kept)
     made = fill_text(made, analysis, seed, locale)
     if anonymize_dimensions:
         made = repair.relabel_dimensions(made, analysis, ROW)

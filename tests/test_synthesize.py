@@ -208,7 +208,8 @@ def test_child_counts_are_those_that_occur(spark):
     n = F.when(F.col("id") == 300, 900).when(F.col("id") < 200, 0).otherwise(F.lit(9))
     children = spark.range(400).select((F.col("id") + 1).alias("p_id"), F.explode(F.sequence(F.lit(1), F.when(n > 0, n))).alias("amount")).withColumn("c_id", F.monotonically_increasing_id())
     a = Analysis({"p": Table("p", "", 400, {}, "p_id"), "c": Table("c", "", children.count(), {}, "c_id")}, relationships=[Relationship("p", "p_id", "c", "p_id")])
-    out = synthesize.multi_table(a, {"p": parents, "c": children}, 1.0, 4, lambda *x: None)
+    out, kept = synthesize.multi_table(a, {"p": parents, "c": children}, 1.0, 4, lambda *x: None)
+    assert kept == {r.edge for r in a.relationships}
     assert set(out["p"].columns) == {"_row", "p_id", "size"}
     counts = out["c"].groupBy("p_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_row").alias("k"))
     got = counts.collect()
@@ -261,3 +262,58 @@ def test_spans_of_a_table_and_of_a_list_draw_alike(spark):
     want = {(i, next(v for v, lo, hi in spans if lo <= i / 5000 < hi)) for i in range(5000)}
     assert {(r._row, r.got) for r in one.collect()} == want == {(r._row, r.got) for r in two.collect()}
     assert one.count() == two.count() == 5000
+
+
+def family(spark, n=1500, rho=0.8):
+    """Parents with a number and a kind; children whose number goes with the parent's number (rho), and whose label is mostly the parent's kind."""
+    z = lambda c, s: R.normal(F.col(c), 11, s)
+    kind = F.when(R.uniform(F.col("id"), 11, "kind") < 0.6, "a").otherwise("b")
+    parents = spark.range(n).select(F.col("id").alias("p_id"), (50 + 10 * z("id", "p")).alias("size"), kind.alias("kind"), z("id", "p").alias("_z"), F.when(F.col("id") == 3, 40).otherwise(F.col("id") % 4).alias("_n"))
+    own = parents.filter("_n > 0").withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).withColumn("c_id", F.col("p_id") * 1000 + F.col("_j"))
+    value = 7 + rho * F.col("_z") + math.sqrt(1 - rho * rho) * z("c_id", "c")
+    label = F.when(R.uniform(F.col("c_id"), 11, "label") < 0.9, F.col("kind")).otherwise("z")
+    children = own.select("c_id", F.when(F.col("c_id") % 17 != 0, F.col("p_id")).alias("p_id"), value.alias("value"), label.alias("label"), z("c_id", "free").alias("free"))
+    meta = lambda name, key, rows, cols: Table(name, "", rows, {c: Column(c, sdtype=k, role=role, is_primary_key=role == Role.PRIMARY_KEY) for c, k, role in cols}, key)
+    a = Analysis(
+        {
+            "p": meta("p", "p_id", n, [("p_id", "id", Role.PRIMARY_KEY), ("size", "numerical", Role.MEASURE), ("kind", "categorical", Role.DIMENSION)]),
+            "c": meta("c", "c_id", children.count(), [("c_id", "id", Role.PRIMARY_KEY), ("p_id", "id", Role.FOREIGN_KEY), ("value", "numerical", Role.MEASURE), ("label", "categorical", Role.DIMENSION), ("free", "numerical", Role.MEASURE)]),
+        },
+        [Relationship("p", "p_id", "c", "p_id")],
+    )
+    return {"p": parents.select("p_id", "size", "kind"), "c": children}, a
+
+
+def test_children_go_with_their_parents(spark):
+    tables, a = family(spark)
+    made = synthesize.synthesize(a, tables, 1.0, seed=5, method="hma")
+    facts = lambda t: t["c"].join(t["p"], "p_id").agg(F.corr("size", "value").alias("r"), F.corr("size", "free").alias("f"), F.avg((F.col("kind") == F.col("label")).cast("int")).alias("same"), F.stddev("value").alias("sd"), F.avg("value").alias("mean")).first()
+    old, new = facts(tables), facts(made)
+    assert abs(old.r - 0.8) < 0.06 and abs(new.r - old.r) < 0.1 and abs(new.f) < 0.1
+    assert new.same > 0.7 and abs(new.sd - old.sd) < 0.1 and abs(new.mean - old.mean) < 0.15
+    often = lambda t: {r["n"]: r["count"] for r in t["p"].join(t["c"].groupBy("p_id").agg(F.count(F.lit(1)).alias("n")), "p_id", "left").fillna(0).groupBy("n").count().collect()}
+    assert made["c"].join(made["p"], "p_id", "left_anti").filter("p_id is not null").count() == 0
+    share = made["c"].filter("p_id is null").count() / made["c"].count()
+    assert abs(share - tables["c"].filter("p_id is null").count() / tables["c"].count()) < 0.02
+    assert sum(often(made).values()) == 1500 and 0.25 < often(made)[0] / 1500 < 0.45
+
+
+def test_conditional_scores_need_no_partition(spark):
+    tables, a = family(spark, 200)
+    one = synthesize.multi_table(a, tables, 0.5, 4, lambda *x: None)[0]["c"]
+    two = synthesize.multi_table(a, {t: df.repartition(5) for t, df in tables.items()}, 0.5, 4, lambda *x: None)[0]["c"]
+    close = lambda df: sorted((r.c_id, r.p_id, round(r.value, 4), r.label) for r in df.collect())
+    assert close(one) == close(two)
+
+
+def test_moments_are_those_of_numpy(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0.2], [0, 0, 1]])
+    x[::7, 1] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], "s0 double, s1 double, s2 double").repartition(4)
+    got = copula.correlations(*copula._moments(df, 3))
+    for i in range(3):
+        for j in range(3):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            assert abs(got[i, j] - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 1e-8
+    assert (copula.correlations(*copula._moments(df.limit(1), 3)) == np.eye(3)).all()
