@@ -9,7 +9,8 @@ from __future__ import annotations
 import itertools
 import logging
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Collection, Iterable
+from functools import reduce
 
 from pyspark.sql import Column as Expr
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from shadowset.functions.names import sensitivity
 from shadowset.models import Analysis, Column, DateOrder, DimensionGroup, Relationship, Role, Table
-from shadowset.operators.profile import SLACK, ColumnProfile, profile
+from shadowset.operators.profile import SLACK, ColumnProfile, profile, together
 
 log = logging.getLogger(__name__)
 
@@ -37,8 +38,15 @@ _TIMES = (T.TimestampType, T.TimestampNTZType)
 def primary_keys(df: DataFrame | None, threshold: float = PK_THRESHOLD, profiled: dict[str, ColumnProfile] | None = None) -> list[tuple[str, float]]:
     """(column, uniqueness) of key candidates, most unique first, ties in column order. Columns with a NULL or of an empty table are none."""
     near = lambda p: p.rows and not p.nulls and p.ratio >= min(threshold, 1) * (1 - SLACK)
-    known = [p for p in (profile(df, near) if profiled is None else profiled).values() if p.rows and not p.nulls]
-    found = [p for p in known if p.ratio >= threshold and p.name.lower().endswith(PK_SUFFIXES)] or [p for p in known if p.distinct_known == p.rows]
+    named = lambda name: name.lower().endswith(PK_SUFFIXES)
+    fits = lambda p: p.rows and not p.nulls and (p.ratio >= threshold if named(p.name) else False)
+    known = profiled
+    if known is None:  # columns named like keys first: where one is found, no other is read
+        known = profile(df, near, names=[c for c in df.columns if named(c)])
+        if not any(map(fits, known.values())):
+            known |= profile(df, near, names=[c for c in df.columns if not named(c)])
+    sound = sorted((p for p in known.values() if p.rows and not p.nulls), key=lambda p: p.ordinal)
+    found = [p for p in sound if fits(p)] or [p for p in sound if p.distinct_known == p.rows]
     return [(p.name, p.ratio) for p in sorted(found, key=lambda p: -p.ratio)]
 
 
@@ -99,19 +107,67 @@ def overlap(child: DataFrame, column: str, parent: DataFrame, key: str, as_strin
     return _share(child.select(sides[0].alias("v")), parent.select(sides[1].alias("v")))
 
 
-def foreign_keys(tables: dict[str, DataFrame], keys: dict[str, str], threshold: float = FK_THRESHOLD) -> list[Relationship]:
-    """Inclusion dependencies among name-gated pairs: the share of distinct child values that the parent's key has, by value or else by text."""
-    out = []
-    for child, column, parent, key in fk_candidates({t: df.columns for t, df in tables.items()}, keys):
-        row = overlap(tables[child], column, tables[parent], key).first()
-        if not row["n"]:
+def _canonical(c: Expr, kind: T.DataType) -> Expr:
+    """What equal values have in common whatever their types: whole numbers as such, others by type."""
+    if isinstance(kind, (*_WHOLE, T.BooleanType)):
+        return F.struct(F.lit("whole").alias("k"), c.cast("long").cast("string").alias("v"))
+    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+        d = c.cast("double")
+        whole = (d == F.floor(d)) & (F.abs(d) < 2.0**63)
+        return F.struct(F.when(whole, "whole").otherwise("number").alias("k"), F.when(whole, d.cast("long").cast("string")).otherwise((d + 0.0).cast("string")).alias("v"))
+    value = F.array_sort(F.map_entries(c)) if isinstance(kind, T.MapType) else c
+    return F.struct(F.lit(kind.simpleString()).alias("k"), value.alias("v"))
+
+
+def shared_values(tables: dict[str, DataFrame], attributes: list[tuple[str, str]], texts: Collection[tuple[str, str]] = ()) -> dict[tuple[int, int, bool], int]:
+    """How many distinct values two attributes (table, column) share: (i, j, as text) -> count; (i, i) is how many attribute i has.
+
+    An inverted index of all of them at once: each table is read once and gives a digest for every value of its attributes; a
+    digest's attributes are a set of bits, joined in the task first and then by digest; equal sets are counted, and only counts of
+    pairs reach the driver. texts: attributes whose values are also compared by their text.
+    """
+    place = {a: i for i, a in enumerate(attributes)}
+    words = -(-len(attributes) // 63)
+    frames = []
+    for t in dict.fromkeys(t for t, _ in attributes):
+        schema, each = tables[t].schema, []
+        for a in (a for a in attributes if a[0] == t):
+            c, kind = F.col(f"`{a[1]}`"), schema[a[1]].dataType
+            for text, value in ((False, _canonical(c, kind)), *([(True, as_text(c, kind))] if a in texts else ())):
+                known = F.struct(F.lit(text).alias("t"), F.xxhash64(value).alias("a"), F.xxhash64(F.lit(1), value).alias("b"))
+                each.append(F.struct(F.lit(place[a]).alias("i"), F.when(c.isNotNull(), known).alias("d")))
+        frames.append(tables[t].select(F.inline(F.array(*each))).filter("d is not null"))
+    if not frames:
+        return {}
+    bits = [F.bit_or(F.when(F.floor(F.col("i") / 63) == w, F.expr("shiftleft(1L, i % 63)")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(words)]
+    sets = reduce(DataFrame.unionByName, frames).groupBy("d").agg(*bits).groupBy(F.col("d.t").alias("t"), *(f"w{w}" for w in range(words))).agg(F.count(F.lit(1)).alias("n"))
+    members = F.filter(F.sequence(F.lit(0), F.lit(len(attributes) - 1)), lambda i: F.getbit(F.element_at(F.array(*(F.col(f"w{w}") for w in range(words))), (F.floor(i / 63) + 1).cast("int")), i % 63) == 1)
+    pairs = sets.select("t", "n", members.alias("m")).select("t", "n", "m", F.explode("m").alias("i")).select("t", "n", "i", F.explode("m").alias("j"))
+    return {(r["i"], r["j"], r["t"]): r["n"] for r in pairs.groupBy("t", "i", "j").agg(F.sum("n").alias("n")).collect()}
+
+
+def foreign_keys(tables: dict[str, DataFrame], keys: dict[str, str], threshold: float = FK_THRESHOLD, unnamed: bool = False) -> list[Relationship]:
+    """Inclusion dependencies: the share of distinct child values that the parent's key has, by value or else by text. Pairs pass the
+    name gate first, unless unnamed asks for all columns of a type that the key's can equal."""
+    if unnamed:
+        wanted = [(child, f.name, parent, key) for child, parent in itertools.product(tables, keys) if child != parent for key in [keys[parent]] for f in tables[child].schema.fields if f.name != keys.get(child) and _same_footing(f.dataType, tables[parent].schema[key].dataType)]
+    else:
+        wanted = fk_candidates({t: df.columns for t, df in tables.items()}, keys)
+    kind = lambda a: tables[a[0]].schema[a[1]].dataType
+    sides = [((c, f), (p, k)) for c, f, p, k in wanted]
+    attributes = list(dict.fromkeys(a for pair in sides for a in pair))
+    texts = {a for pair in sides if kind(pair[0]) != kind(pair[1]) for a in pair}
+    shared, place, out = shared_values(tables, attributes, texts), {a: i for i, a in enumerate(attributes)}, []
+    for child, parent in sides:
+        i, j = place[child], place[parent]
+        share = lambda text: shared.get((i, j, text), 0) / shared[i, i, text] if (i, i, text) in shared else 0.0  # noqa: E731, B023
+        if (i, i, False) not in shared:
             continue
-        ratio = row["hit"] / row["n"]
+        ratio = share(False)
         if ratio < threshold:
-            row = overlap(tables[child], column, tables[parent], key, as_string=True).first()
-            ratio = max(ratio, row["hit"] / row["n"])
+            ratio = max(ratio, share(True))
         if ratio >= threshold:
-            out.append(Relationship(parent, key, child, column, round(ratio, 3)))
+            out.append(Relationship(*parent, *child, round(ratio, 3)))
     return out
 
 
@@ -226,7 +282,8 @@ def analyze(
     pk = PK_THRESHOLD if pk_threshold is None else pk_threshold
     fk = FK_THRESHOLD if fk_threshold is None else fk_threshold
     dim = DIMENSION_THRESHOLD if dim_threshold is None else dim_threshold
-    profiles = {t: profile(df) for t, df in tables.items()}
+    spark = next(iter(tables.values())).sparkSession if tables else None
+    profiles = dict(zip(tables, together(spark, [lambda df=df: profile(df) for df in tables.values()]), strict=True))
     keys = {t: found[0][0] for t in tables if (found := primary_keys(None, pk, profiles[t]))}
     out = Analysis(relationships=foreign_keys(tables, keys, fk))
     for name, df in tables.items():

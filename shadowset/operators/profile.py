@@ -1,22 +1,25 @@
 """Column profiles: what the detection rules need to know of a table, in few passes.
 
-Distinct counts are exact and count NULL as a value (``distinct_values``) or not (``distinct_known``). Many of them in one
-aggregate make Spark expand every row once per column, so columns go in batches; long values go as 128-bit hashes. A rule that
-only needs the columns near its threshold names them by an estimate (a HyperLogLog pass, without any shuffle of values), and
-only those are counted exactly.
+Distinct counts are exact and count NULL as a value (``distinct_values``) or not (``distinct_known``). Several distinct counts
+in one aggregate would make Spark expand every row, with all its columns, once per column. Here a row gives a number and a
+128-bit digest for each column, which are added up in the task and then by column and digest: one scan, whatever the source,
+and a shuffle of distinct digests. A rule that only needs the columns near its threshold names them by an estimate first (a
+HyperLogLog pass, without any shuffle of values), and only those are counted exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import TypeVar
 
-from pyspark.sql import Column, DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BATCH = 8
-
+R = TypeVar("R")
 
 @dataclass
 class ColumnProfile:
@@ -40,37 +43,41 @@ class ColumnProfile:
 #: Relative standard deviation of an estimate, and how many of them a decision leaves on either side.
 DEVIATION, SIGMAS = 0.02, 6
 SLACK = DEVIATION * SIGMAS
-_SHORT = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def _comparable(c: str, kind: T.DataType) -> Column:
-    """What stands for a value in distinct counts: short ones themselves, others two independent hashes. Maps have no equality, so their sorted entries."""
+def digest(c: str, kind: T.DataType) -> Column:
+    """What stands for a value in distinct counts: two independent hashes. Maps have no equality, so their sorted entries; -0.0 is 0.0, as in groups."""
     col = F.col(f"`{c}`")
-    if isinstance(kind, _SHORT):
-        return col
-    value = F.array_sort(F.map_entries(col)) if isinstance(kind, T.MapType) else col
+    value = F.array_sort(F.map_entries(col)) if isinstance(kind, T.MapType) else col + F.lit(0.0).cast(kind) if isinstance(kind, (T.FloatType, T.DoubleType)) else col
     return F.when(col.isNotNull(), F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit(1), value).alias("b")))
 
 
-def profile(df: DataFrame, needed: Callable[[ColumnProfile], bool] | None = None, kind: type[T.DataType] = T.DataType) -> dict[str, ColumnProfile]:
-    """All columns of a kind, exactly. needed: only the columns whose estimated profile it accepts are counted and given."""
-    fields = [(i, f) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, kind)]
-    if needed is not None and fields:
-        asked = [F.count(F.lit(1)).alias("rows")]
-        for i, f in fields:
-            value = _comparable(f.name, f.dataType) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`")
-            asked += [*_simple(i, f), F.approx_count_distinct(value, DEVIATION).alias(f"d{i}")]
+def distinct_counts(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
+    """ordinal, n_rows, n_null, n_known: a row for each of the fields, if df has rows; n_known: distinct values that are not null."""
+    each = F.array(*(F.struct(F.lit(i).alias("ordinal"), digest(f.name, f.dataType).alias("d")) for i, f in fields))
+    values = df.select(F.inline(each)).groupBy("ordinal", "d").agg(F.count(F.lit(1)).alias("n"))
+    null = F.col("d").isNull()
+    return values.groupBy("ordinal").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(null, F.col("n"))), F.lit(0)).alias("n_null"), F.count("d").alias("n_known"))
+
+
+def profile(df: DataFrame, needed: Callable[[ColumnProfile], bool] | None = None, kind: type[T.DataType] = T.DataType, names: Collection[str] | None = None) -> dict[str, ColumnProfile]:
+    """All columns of a kind, exactly. needed: only the columns whose estimated profile it accepts are counted and given. names: only these columns."""
+    fields = [(i, f) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, kind) and (names is None or f.name in names)]
+    if not fields:
+        return {}
+    asked = [F.count(F.lit(1)).alias("rows")]
+    for i, f in fields:
+        value = digest(f.name, f.dataType) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`")
+        asked += [*_simple(i, f), *([F.approx_count_distinct(value, DEVIATION).alias(f"d{i}")] if needed else [])]
+    if needed:
         row = df.agg(*asked).first().asDict()
         fields = [(i, f) for i, f in fields if needed(_of(i, f, row))]
-    out: dict[str, ColumnProfile] = {}
-    for at in range(0, len(fields), BATCH):
-        part = fields[at : at + BATCH]
-        asked = [F.count(F.lit(1)).alias("rows")]
-        for i, f in part:
-            asked += [*_simple(i, f), F.count_distinct(_comparable(f.name, f.dataType)).alias(f"d{i}")]
-        row = df.agg(*asked).first().asDict()
-        out |= {f.name: _of(i, f, row) for i, f in part}
-    return out
+        counts = {r["ordinal"]: r for r in distinct_counts(df, fields).collect()} if fields else {}
+    else:
+        with ThreadPoolExecutor(2) as pool:
+            one, two = pool.submit(inheritable_thread_target(df.sparkSession)(lambda: df.agg(*asked).first().asDict())), pool.submit(inheritable_thread_target(df.sparkSession)(distinct_counts(df, fields).collect))
+            row, counts = one.result(), {r["ordinal"]: r for r in two.result()}
+    return {f.name: _of(i, f, row | {f"d{i}": counts[i]["n_known"] if i in counts else 0}) for i, f in fields}
 
 
 def _simple(i: int, f: T.StructField) -> list[Column]:
@@ -83,13 +90,17 @@ def _of(i: int, f: T.StructField, row: dict) -> ColumnProfile:
 
 
 def profile_frame(df: DataFrame, table: str) -> DataFrame:
-    """The profile as rows: table_name, column_name, ordinal, n_rows, n_null, n_distinct (NULL as a value), uniqueness. One aggregate, unpivoted."""
-    counts = [F.count(F.lit(1)).alias("n_rows")]
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        counts.append(F.struct(F.count_if(c.isNull()).alias("z"), F.count_distinct(_comparable(f.name, f.dataType)).alias("d")).alias(f"s_{f.name}"))
-    one = df.agg(*counts)
-    rows = F.array(*(F.struct(F.lit(f.name).alias("column_name"), F.lit(i).alias("ordinal"), F.col(f"`s_{f.name}`.z").alias("n_null"), (F.col(f"`s_{f.name}`.d") + (F.col(f"`s_{f.name}`.z") > 0).cast("long")).alias("n_distinct")) for i, f in enumerate(df.schema.fields)))
-    flat = one.select("n_rows", F.inline(rows))
-    ratio = F.when(F.col("n_rows") > 0, F.col("n_distinct") / F.col("n_rows")).otherwise(0.0)
-    return flat.select(F.lit(table).alias("table_name"), "column_name", "ordinal", "n_rows", "n_null", "n_distinct", ratio.alias("uniqueness"))
+    """The profile as rows: table_name, column_name, ordinal, n_rows, n_null, n_distinct (NULL as a value), uniqueness."""
+    fields = list(enumerate(df.schema.fields))
+    names = df.sparkSession.createDataFrame([(i, f.name) for i, f in fields], "ordinal int, column_name string")
+    counts = names.join(F.broadcast(distinct_counts(df, fields)), "ordinal", "left")  # a row per column
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    distinct = zero(F.col("n_known")) + (zero(F.col("n_null")) > 0).cast("long")
+    flat = counts.select(F.lit(table).alias("table_name"), "column_name", "ordinal", zero(F.col("n_rows")).alias("n_rows"), zero(F.col("n_null")).alias("n_null"), distinct.alias("n_distinct"))
+    return flat.withColumn("uniqueness", F.when(F.col("n_rows") > 0, F.col("n_distinct") / F.col("n_rows")).otherwise(0.0))
+
+
+def together(spark: SparkSession, jobs: Iterable[Callable[[], R]], at_once: int = 4) -> list[R]:
+    """The results of jobs of several tables, some run at the same time."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]

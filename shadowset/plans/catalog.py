@@ -60,7 +60,9 @@ _SUFFIX = "lower(column_name) SIMILAR TO '.*(_id|_key|_nr|_no|_pk|_code|id)'"
     FROM named JOIN per USING (table_name) WHERE by_name OR (NOT any_name AND by_value)"""
 )
 def pk_candidates(spark, sf_dir):
-    rows = [(v, c, r, i + 1) for v, df in renamed(spark, sf_dir, *_KEYED).items() for i, (c, r) in enumerate(discover.primary_keys(df))]
+    views = renamed(spark, sf_dir, *_KEYED)
+    found = profile.together(spark, [lambda df=df: discover.primary_keys(df) for df in views.values()])
+    rows = [(v, c, r, i + 1) for v, keys in zip(views, found, strict=True) for i, (c, r) in enumerate(keys)]
     return spark.createDataFrame(rows, "table_name string, column_name string, uniqueness double, place long")
 
 
@@ -107,8 +109,8 @@ def fk_overlap_string_cast(spark, sf_dir):
 )
 def fk_detect(spark, sf_dir):
     views = renamed(spark, sf_dir)
-    keys = {v: found[0][0] for v, df in views.items() if (found := discover.primary_keys(df))}
-    found = discover.foreign_keys(views, keys)
+    known = profile.together(spark, [lambda df=df: discover.primary_keys(df) for df in views.values()])
+    found = discover.foreign_keys(views, {v: k[0][0] for v, k in zip(views, known, strict=True) if k})
     return spark.createDataFrame([(*r.edge, r.overlap_ratio) for r in found], "parent_table string, parent_column string, child_table string, child_column string, overlap_ratio double")
 
 
@@ -122,8 +124,8 @@ _STRING_SQL = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_n
 @query(f"SELECT table_name, column_name, d / n AS uniqueness FROM ({_STRING_SQL}) WHERE n > 0 AND d / n < CASE WHEN n < 50 THEN 0.5 WHEN n < 200 THEN 0.15 ELSE 0.05 END")
 def dimension_detect(spark, sf_dir):
     rows = []
-    for t in _STRING_TABLES:
-        known = discover.dimension_profiles(raw(spark, sf_dir, t))
+    profiles = profile.together(spark, [lambda t=t: discover.dimension_profiles(raw(spark, sf_dir, t)) for t in _STRING_TABLES])
+    for t, known in zip(_STRING_TABLES, profiles, strict=True):
         rows += [(t, c, known[c].ratio) for c in discover.dimensions(None, profiled=known)]
     return spark.createDataFrame(rows, "table_name string, column_name string, uniqueness double")
 
@@ -131,8 +133,8 @@ def dimension_detect(spark, sf_dir):
 @query(f"SELECT table_name, column_name, d / n AS uniqueness FROM ({_STRING_SQL}) WHERE n > 0 AND d / n >= 0.05 AND len > 3")
 def text_columns(spark, sf_dir):
     rows = []
-    for t in _STRING_TABLES:
-        known = discover.text_profiles(raw(spark, sf_dir, t))
+    profiles = profile.together(spark, [lambda t=t: discover.text_profiles(raw(spark, sf_dir, t)) for t in _STRING_TABLES])
+    for t, known in zip(_STRING_TABLES, profiles, strict=True):
         rows += [(t, c, known[c].ratio) for c in discover.text_columns(None, profiled=known)]
     return spark.createDataFrame(rows, "table_name string, column_name string, uniqueness double")
 

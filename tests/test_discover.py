@@ -95,3 +95,45 @@ def test_sensitivity(spark, name, level):
 
     assert sensitivity(name) == Sensitivity(level)
     assert spark.range(1).select(sensitivity_column(F.lit(name))).first()[0] == level
+
+
+def test_shared_values_are_those_of_sets(spark):
+    """More attributes than a word has bits, of many types, against Python's sets."""
+    import itertools
+    import random
+
+    rnd = random.Random(4)
+    kinds = {"long": lambda: rnd.randint(0, 30), "double": lambda: rnd.choice([1.0, 2.0, 2.5, 7.0, -0.0, 0.0]), "string": lambda: str(rnd.randint(0, 12)), "boolean": lambda: rnd.random() < 0.5}
+    tables, values = {}, {}
+    for t in range(7):
+        names = [f"c{i} {k}" for i, k in enumerate(rnd.choices(list(kinds), k=10))]
+        rows = [tuple(None if rnd.random() < 0.1 else kinds[n.split()[1]]() for n in names) for _ in range(25)]
+        tables[f"t{t}"] = spark.createDataFrame(rows, ", ".join(names)).repartition(3)
+        for i, n in enumerate(names):
+            values[f"t{t}", n.split()[0]] = {r[i] for r in rows} - {None}
+    attributes = list(values)
+    got = discover.shared_values(tables, attributes)
+    for (i, a), (j, b) in itertools.product(enumerate(attributes), repeat=2):
+        assert got.get((i, j, False), 0) == len(values[a] & values[b]), (a, b)
+
+
+def test_unnamed_references(spark):
+    parent = spark.range(50).select(F.col("id").alias("p_id"))
+    child = spark.range(200).select((F.col("id") % 40).alias("owner"), (F.col("id") + 1000).alias("other"), (F.col("id") % 40).cast("string").alias("text"))
+    tables = {"p": parent, "c": child}
+    assert discover.foreign_keys(tables, {"p": "p_id"}) == []
+    assert [r.edge for r in discover.foreign_keys(tables, {"p": "p_id"}, unnamed=True)] == [("p", "p_id", "c", "owner")]
+
+
+def test_references_read_each_table_once(spark, tmp_path):
+    for t, c in (("p", "id"), ("q", "id"), ("c", "p_id")):
+        spark.range(100).select(F.col("id").alias(c), F.col("id").alias("q_id")).write.parquet(str(tmp_path / t))
+    tables = {t: spark.read.parquet(str(tmp_path / t)) for t in ("p", "q", "c")}
+    tracker, seen = spark.sparkContext.statusTracker(), []
+    spark.sparkContext.setJobGroup("references", "references")
+    found = discover.foreign_keys(tables, {"p": "id", "q": "id"})
+    seen = tracker.getJobIdsForGroup("references")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.edge for r in found} == {("p", "id", "c", "p_id"), ("q", "id", "c", "q_id"), ("q", "id", "p", "q_id"), ("p", "id", "q", "id")} - {("p", "id", "q", "id")}
+    stages = {s for j in seen for s in tracker.getJobInfo(j).stageIds}
+    assert len(stages) <= 3 + 3 * len(seen)
