@@ -9,9 +9,9 @@ text that is no link, as sections of one article differ much in density. No elem
 
 *Furniture.* Menus, headers and footers of the page, sidebars, forms, scripts and styles are known by element or role and are no
 content, but their characters and tags count in the densities of what holds them. A form with most of the page's text is the
-page itself. Words of a class or id only lower densities: to nothing where the whole word names furniture (``ad-slot``,
-``user-comments``), by LOWER where it is one word among others (``notice-of-rights``), so that a page whose only text is in
-such blocks still has it. Marked blocks beside or inside the chosen content are left out.
+page itself. A class or id of which one word names furniture as a whole (``ad-slot``, ``user-comments``) makes the block no
+content. Where such a word is one among others (``notice-of-rights``, ``share-prices``) it only lowers the densities that count
+for the choice of the content and for blocks beside its path, by LOWER; what the chosen content holds stays, whatever its name.
 
 The parser works on the whole page in one forward pass with an explicit stack and constant work for each tag, so time is in
 proportion to the page, broken markup included. Defined results: a null or empty page, or one without text, gives an empty
@@ -223,23 +223,24 @@ class Page:
         path = [best]
         while path[-1] not in (body, 0):
             path.append(parent[path[-1]])
-        on_path, level = set(path), weight[best]
+        on_path = set(path)
         least = min(raw[i] for i in path) / 2
         signs = {parent[i]: self.sign[i] for i in path}
         taken = {best} | {i for i in path[1:] if own[i]}
         inside = [False] * n
         for i in range(n):
             p = parent[i]
-            if weight[i] < level:
+            if not weight[i]:
                 continue
             if i == best or p >= 0 and inside[p]:
                 inside[i] = True
             elif p in on_path and i not in on_path:
-                mostly_text = chars[i] > 2 * link_chars[i] and (tag[i] in PROSE or tag[i] in INLINE or self.sign[i] == signs[p])
-                inside[i] = mostly_text or raw[i] >= least > 0
+                lower = weight[i] / weight[p]
+                mostly_text = lower == 1 and chars[i] > 2 * link_chars[i] and (tag[i] in PROSE or tag[i] in INLINE or self.sign[i] == signs[p])
+                inside[i] = mostly_text or raw[i] * lower >= least > 0
         found: dict[int, list[str]] = {}
         for node, block, text in self.pieces:
-            if inside[node] or node in taken and weight[node] >= level:
+            if inside[node] or node in taken and weight[node]:
                 found.setdefault(block, []).append(text)
         return " ".join(t for t in (" ".join("".join(b).split()) for b in found.values()) if t)
 

@@ -78,6 +78,14 @@ def test_marks_never_empty_a_page(name):
     assert TEXT in kept or name in ("comments", "ad")
 
 
+@pytest.mark.parametrize("name", ["share-prices", "notice-of-rights", "social-history", "menu-of-the-day", "advert-free-reading", "sharing-economy"])
+@pytest.mark.parametrize("page", ["<body><h1>Head</h1><div class='{}'>{}</div>", "<body><div class='wrap'><h1>Head</h1><div id='{}'>{}</div></div>", "<body><div class='{}'><h1>Head</h1>{}</div>", "<body><div id=main class='{}'><div><h1>Head</h1>{}</div></div>", "<body><div><h1>Head</h1><section class='{}'>{}</section></div><footer>foot</footer>", "<body><article><h1>Head</h1>{1}<section class='{0}'>{1}</section></article>"])
+def test_one_word_among_others_loses_no_text(name, page):
+    for times in (1, 4):
+        copies = max(1, page.count("{1}")) * times
+        assert main_text(page.format(name, ARTICLE * times)) == " ".join(["Head", *[TEXT] * copies])
+
+
 def test_long_comments_and_lowered_blocks_stay_out():
     comments = "<p>I think this is a long reader comment, and a rather silly one at that.</p>" * 50
     assert main_text(f"<body><div>{ARTICLE}</div><div class='user-comments'>{comments}</div><div class='promo for-you'>{ARTICLE}</div></body>") == TEXT
