@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from shadowset.functions.names import sensitivity
 from shadowset.models import Analysis, Column, DateOrder, DimensionGroup, Relationship, Role, Table
-from shadowset.operators.profile import SLACK, ColumnProfile, profile, together
+from shadowset.operators.profile import SKETCH_SLACK, SLACK, ColumnProfile, combinations, estimates, profile, sketches, together
 
 log = logging.getLogger(__name__)
 
@@ -196,27 +196,27 @@ def _distinct(columns: Iterable[str]) -> Expr:
     return F.count_distinct(F.struct(*(F.col(f"`{c}`") for c in columns)))
 
 
-def dimension_groups(table: str, df: DataFrame, columns: list[str]) -> list[DimensionGroup]:
-    """Closures of functional dependencies (in either direction) between dimension columns."""
+def dimension_groups(table: str, df: DataFrame, columns: list[str], kept: DataFrame | None = None) -> list[DimensionGroup]:
+    """Closures of functional dependencies (in either direction) between dimension columns.
+
+    Sketches of the columns and of all their pairs come from one scan (kept: from a table that earlier runs stored and merged); only
+    pairs that may be as many as one of their columns are counted exactly, in a second one.
+    """
     if len(columns) < 2:
         return []
-    sets = [(c,) for c in columns] + list(itertools.combinations(columns, 2))
-    counts: dict[tuple, int] = {}
-    for at in range(0, len(sets), 8):
-        part = sets[at : at + 8]
-        counts |= dict(zip(part, df.agg(*(_distinct(s).alias(f"c{i}") for i, s in enumerate(part))).first(), strict=True))
+    pairs = list(itertools.combinations(columns, 2))
+    about = estimates(sketches(df, [(c,) for c in columns] + pairs) if kept is None else kept)
+    likely = [(a, b) for a, b in pairs if about[a, b] * (1 - SKETCH_SLACK) - 2 <= max(about[a,], about[b,]) * (1 + SKETCH_SLACK)]
+    counts = combinations(df, [(c,) for c in columns if any(c in p for p in likely)] + likely)
     group = {c: {c} for c in columns}
-    for a, b in itertools.combinations(columns, 2):
+    for a, b in likely:
         if counts[a, b] in (counts[a,], counts[b,]) and group[a] is not group[b]:
             both = group[a] | group[b]
             for c in both:
                 group[c] = both
-    out = []
-    for members in {id(g): g for g in group.values()}.values():
-        if len(members) > 1:
-            names = [c for c in columns if c in members]
-            out.append(DimensionGroup(table, names, counts[tuple(names)] if tuple(names) in counts else df.agg(_distinct(names)).first()[0]))
-    return out
+    found = [tuple(c for c in columns if c in g) for g in {id(g): g for g in group.values()}.values() if len(g) > 1]
+    counts |= combinations(df, [names for names in found if names not in counts])
+    return [DimensionGroup(table, list(names), counts[names]) for names in found]
 
 
 def is_date_column(name: str, kind: T.DataType) -> bool:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Collection, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
@@ -52,12 +53,72 @@ def digest(c: str, kind: T.DataType) -> Column:
     return F.when(col.isNotNull(), F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit(1), value).alias("b")))
 
 
+def state(df: DataFrame) -> DataFrame:
+    """What df's profile is made of: ordinal, d (digest, or null), n, chars. Such tables of files that came one after the other are put together by merged()."""
+    return _digests(df, list(enumerate(df.schema.fields)), True)
+
+
+def merged(*states: DataFrame) -> DataFrame:
+    """The state of all rows that the given states are of."""
+    every = reduce(DataFrame.unionByName, states)
+    return every.groupBy("ordinal", "d").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+
+
+def _digests(df: DataFrame, fields: list[tuple[int, T.StructField]], lengths: bool = False) -> DataFrame:
+    length = lambda f: F.char_length(F.col(f"`{f.name}`")) if isinstance(f.dataType, T.StringType) else F.lit(None)
+    each = F.array(*(F.struct(F.lit(i).alias("ordinal"), digest(f.name, f.dataType).alias("d"), *([length(f).cast("long").alias("c")] if lengths else [])) for i, f in fields))
+    return df.select(F.inline(each)).groupBy("ordinal", "d").agg(F.count(F.lit(1)).alias("n"), *([F.sum("c").alias("chars")] if lengths else []))
+
+
+def _counted(values: DataFrame) -> DataFrame:
+    null = F.col("d").isNull()
+    lengths = [(F.sum("chars") / F.sum(F.when(~null, F.col("n")))).alias("mean_length")] if "chars" in values.columns else []
+    return values.groupBy("ordinal").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(null, F.col("n"))), F.lit(0)).alias("n_null"), F.count("d").alias("n_known"), *lengths)
+
+
 def distinct_counts(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
     """ordinal, n_rows, n_null, n_known: a row for each of the fields, if df has rows; n_known: distinct values that are not null."""
-    each = F.array(*(F.struct(F.lit(i).alias("ordinal"), digest(f.name, f.dataType).alias("d")) for i, f in fields))
-    values = df.select(F.inline(each)).groupBy("ordinal", "d").agg(F.count(F.lit(1)).alias("n"))
-    null = F.col("d").isNull()
-    return values.groupBy("ordinal").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(null, F.col("n"))), F.lit(0)).alias("n_null"), F.count("d").alias("n_known"))
+    return _counted(_digests(df, fields))
+
+
+def profile_of_state(kept: DataFrame, schema: T.StructType) -> dict[str, ColumnProfile]:
+    """The profile of the rows that a state is of, without reading them again."""
+    counts = {r["ordinal"]: r for r in _counted(kept).collect()}  # a row per column
+    row = lambda i: counts[i].asDict() if i in counts else {"n_rows": 0, "n_null": 0, "n_known": 0, "mean_length": None}
+    return {f.name: ColumnProfile(f.name, i, f.dataType, (r := row(i))["n_rows"], r["n_null"], r["n_known"], r["mean_length"]) for i, f in enumerate(schema.fields)}
+
+
+#: Bits of a sketch's buckets, and how far a decision stays from its estimate.
+SKETCH_BITS, SKETCH_SLACK = 14, 0.06
+
+
+def sketches(df: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
+    """names, sketch: a HyperLogLog sketch of the distinct combinations of each set of columns, NULL being a value, from one scan.
+
+    Stored, such a table can be put together with that of other rows by merged_sketches().
+    """
+    each = [F.hll_sketch_agg(F.xxhash64(*(x for c in s for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`")))), SKETCH_BITS).alias(f"s{i}") for i, s in enumerate(sets)]
+    rows = F.array(*(F.struct(F.array(*map(F.lit, s)).alias("names"), F.col(f"s{i}").alias("sketch")) for i, s in enumerate(sets)))
+    return df.agg(*each).select(F.inline(rows))
+
+
+def merged_sketches(*tables: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables).groupBy("names").agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def estimates(kept: DataFrame) -> dict[tuple[str, ...], int]:
+    """How many distinct combinations each set of columns has, about."""
+    return {tuple(r["names"]): r["n"] for r in kept.select("names", F.hll_sketch_estimate("sketch").alias("n")).collect()}
+
+
+def combinations(df: DataFrame, sets: list[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
+    """How many distinct combinations each set of columns has, exactly, NULL being a value; one scan."""
+    if not sets:
+        return {}
+    hashed = lambda s: [x for c in s for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    each = F.array(*(F.struct(F.lit(i).alias("i"), F.xxhash64(*hashed(s)).alias("a"), F.xxhash64(F.lit(1), *hashed(s)).alias("b")) for i, s in enumerate(sets)))
+    counts = {r["i"]: r["n"] for r in df.select(F.inline(each)).distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {s: counts.get(i, 0) for i, s in enumerate(sets)}
 
 
 def profile(df: DataFrame, needed: Callable[[ColumnProfile], bool] | None = None, kind: type[T.DataType] = T.DataType, names: Collection[str] | None = None) -> dict[str, ColumnProfile]:

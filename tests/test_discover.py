@@ -137,3 +137,32 @@ def test_references_read_each_table_once(spark, tmp_path):
     assert {r.edge for r in found} == {("p", "id", "c", "p_id"), ("q", "id", "c", "q_id"), ("q", "id", "p", "q_id"), ("p", "id", "q", "id")} - {("p", "id", "q", "id")}
     stages = {s for j in seen for s in tracker.getJobInfo(j).stageIds}
     assert len(stages) <= 3 + 3 * len(seen)
+
+
+def test_a_profile_that_grows_equals_the_full_one(spark):
+    from shadowset.operators import profile as P
+
+    df = spark.range(300).select((F.col("id") % 70).alias("k"), F.when(F.col("id") % 9 > 0, F.concat(F.lit("v"), F.col("id") % 40)).alias("s"), F.when(F.col("id") < 10, F.lit(None)).otherwise(F.array("id")).alias("a"), F.create_map(F.lit("x"), F.col("id") % 3).alias("m"))
+    parts = [df.filter("k < 20"), df.filter("k between 20 and 50"), df.filter("k > 50"), df.limit(0)]
+    whole = profile(df)
+    assert P.profile_of_state(P.merged(*map(P.state, parts)), df.schema) == whole == P.profile_of_state(P.state(df), df.schema)
+    again = P.merged(P.merged(*map(P.state, parts[:2])), P.state(parts[2]))
+    assert P.profile_of_state(again, df.schema) == whole
+    none = P.profile_of_state(P.state(df.limit(0)), df.schema)
+    assert none["s"].rows == 0 and none["s"].ratio == 0.0 and whole["s"].distinct_known == df.select("s").distinct().count() - 1
+
+
+def test_sketches_grow_and_groups_are_exact(spark):
+    from shadowset.operators import profile as P
+
+    df = spark.range(6000).select((F.col("id") % 60).cast("string").alias("city"), (F.col("id") % 60 % 7).cast("string").alias("land"), (F.col("id") % 11).cast("string").alias("day"), F.when(F.col("id") % 60 > 3, (F.col("id") % 60 % 7).cast("string")).alias("holed"))
+    columns = df.columns
+    groups = discover.dimension_groups("t", df, columns)
+    assert [(g.column_names, g.combination_count) for g in groups] == [(["city", "land", "holed"], 60)]
+    sets = [(c,) for c in columns] + [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    kept = P.merged_sketches(P.sketches(df.filter("id < 2000") if "id" in df.columns else df.filter("day < 5"), sets), P.sketches(df.filter("day >= 5"), sets))
+    assert discover.dimension_groups("t", df, columns, kept) == groups
+    exact = P.combinations(df, sets)
+    about = P.estimates(kept)
+    assert all(abs(about[s] - exact[s]) <= 2 + 0.03 * exact[s] for s in sets)
+    assert exact["land", "holed"] == df.select("land", "holed").distinct().count()
