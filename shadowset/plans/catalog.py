@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shadowset.functions import names as N
+from shadowset.models import Analysis, Column, Relationship, Role, Table
 from shadowset.operators import config, copula, discover, preview, profile, repair, review, stitch, synthesize, validate
+from shadowset.plans import ranking
 from shadowset.plans.views import VIEWS, columns_of, raw, renamed, renamed_sql
 from shadowset.streaming.checks import stream_orphans
 
@@ -179,16 +181,25 @@ def date_constraints(spark, sf_dir):
     return spark.createDataFrame([(d.low_column, d.high_column, d.violation_count) for d in found], "low_column string, high_column string, n_violations long")
 
 
-_LABELS = sorted({c for v in VIEWS for c in columns_of(v)} | {"ssn", "rating", "classname", "Credit Card", "e mail", "phone_number", "name", "table_name", "zip", "birth_date", "amount", "dob", "IBAN", "user_phone", "emailed", "tax_id"})
-_LOW = "replace(lower(name), ' ', '_')"
+_NAMED = {"events": ["event_id", "ts", "user_id", "event_type", "value", "props"], "documents": ["doc_id", "text", "lang", "source", "n_chars"], "conversations": ["conv_id", "turn", "role", "text"], "pages": ["page_id", "url", "html"]}
+_LOW = "replace(lower(column_name), ' ', '_')"
+_SENSITIVITY = f"""CASE WHEN regexp_matches({_LOW}, '{'|'.join(N.HIGH)}') THEN 'high' WHEN {_LOW} IN ('name', 'email') OR regexp_matches({_LOW}, '{'|'.join(N.LOW_ANYWHERE)}') OR list_has_any(string_split({_LOW}, '_'), {N.LOW_SEGMENT!r}) THEN 'low' ELSE 'none' END"""
 
 
-@query(
-    f"SELECT name, CASE WHEN regexp_matches({_LOW}, '{'|'.join(N.HIGH)}') THEN 'high' WHEN {_LOW} IN ('name', 'email') OR regexp_matches({_LOW}, '{'|'.join(N.LOW_ANYWHERE)}') "
-    f"OR list_has_any(string_split({_LOW}, '_'), {N.LOW_SEGMENT!r}) THEN 'low' ELSE 'none' END AS sensitivity FROM (VALUES {', '.join(f'({n!r})' for n in _LABELS)}) t(name)"
-)
+def _named_sql() -> str:
+    one = "SELECT '{t}' AS table_name, '{c}' AS column_name, count({c}) AS n_values FROM {f}"
+    return " UNION ALL ".join([one.format(t=v, c=c, f=f"v_{v}") for v in _KEYED for c in columns_of(v)] + [one.format(t=t, c=c, f=t) for t, columns in _NAMED.items() for c in columns])
+
+
+@query(renamed_sql() + f" SELECT *, {_SENSITIVITY} AS sensitivity FROM ({_named_sql()})")
 def sensitivity(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in _LABELS], "name string").withColumn("sensitivity", N.sensitivity_column(F.col("name")))
+    """Which columns of the tables may be personal by their names, and how many values they hold."""
+    frames = renamed(spark, sf_dir, *_KEYED) | {t: raw(spark, sf_dir, t) for t in _NAMED}
+    counted = []
+    for t, df in frames.items():
+        one = df.agg(*(F.count(f"`{c}`").alias(c) for c in df.columns))
+        counted.append(one.select(F.lit(t).alias("table_name"), F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("n_values")) for c in df.columns)))))
+    return _union(counted).withColumn("sensitivity", N.sensitivity_column(F.col("column_name")))
 
 
 def _roles_sql() -> str:
@@ -208,9 +219,6 @@ def _roles_sql() -> str:
     )
 
 
-_SENSITIVITY = f"""CASE WHEN regexp_matches({_LOW}, '{'|'.join(N.HIGH)}') THEN 'high' WHEN {_LOW} IN ('name', 'email') OR regexp_matches({_LOW}, '{'|'.join(N.LOW_ANYWHERE)}') OR list_has_any(string_split({_LOW}, '_'), {N.LOW_SEGMENT!r}) THEN 'low' ELSE 'none' END""".replace("lower(name)", "lower(column_name)")
-
-
 @query(
     _roles_sql()
     + f""" SELECT table_name, ordinal, column_name, CASE role WHEN 'primary_key' THEN 'id' WHEN 'foreign_key' THEN 'id' WHEN 'dimension' THEN 'categorical' WHEN 'date' THEN 'datetime' WHEN 'text' THEN 'unknown' WHEN 'measure' THEN 'numerical'
@@ -484,3 +492,78 @@ def validation_report(spark, sf_dir):
 )
 def er_diagram(spark, sf_dir):
     return spark.createDataFrame([(i, x) for i, x in enumerate(review.er_diagram(discover.analyze(renamed(spark, sf_dir))).split("\n"))], "line_no long, line string")
+
+
+# ---- what drawn tables must have
+
+_PLANTED = """p AS (SELECT c_custkey AS customer_id, c_acctbal AS balance, c_mktsegment AS segment FROM customer),
+    c AS (SELECT o_orderkey AS order_id, o_custkey AS customer_id, 0.8 * (balance - 4500) / 3200 + 0.6 * (o_totalprice - 250000) / 144000 AS amount, CASE WHEN o_orderkey % 10 = 0 THEN o_orderpriority ELSE segment END AS label FROM orders JOIN p ON customer_id = o_custkey)"""
+
+
+@query(
+    f"""WITH {_PLANTED}, often AS (SELECT customer_id, count(*) AS n FROM c GROUP BY 1)
+    SELECT round(5 * (SELECT corr(balance, amount) FROM c JOIN p USING (customer_id))) / 5 AS correlation, 0::BIGINT AS n_orphans, true AS as_many_rows, round(10 * (SELECT count(*) FROM often) / (SELECT count(*) FROM p)) / 10 AS share_with_children, true AS counts_occur"""
+)
+def hma_properties(spark, sf_dir):
+    """Children follow their parents: a planted correlation comes back through the references, and parents have as many children as originals have."""
+    customer, orders = raw(spark, sf_dir, "customer"), raw(spark, sf_dir, "orders")
+    tables = {"p": customer.selectExpr("c_custkey AS customer_id", "c_acctbal AS balance", "c_mktsegment AS segment")}
+    own = orders.join(tables["p"], F.col("o_custkey") == F.col("customer_id"))
+    tables["c"] = own.selectExpr("o_orderkey AS order_id", "customer_id", "0.8 * (balance - 4500) / 3200 + 0.6 * (o_totalprice - 250000) / 144000 AS amount", "CASE WHEN o_orderkey % 10 = 0 THEN o_orderpriority ELSE segment END AS label")
+    edge = Relationship("p", "customer_id", "c", "customer_id", 1.0)
+    kinds = {"p": [("customer_id", "id", Role.PRIMARY_KEY), ("balance", "numerical", Role.MEASURE), ("segment", "categorical", Role.DIMENSION)], "c": [("order_id", "id", Role.PRIMARY_KEY), ("customer_id", "id", Role.FOREIGN_KEY), ("amount", "numerical", Role.MEASURE), ("label", "categorical", Role.DIMENSION)]}
+    metas = {t: Table(t, "", tables[t].count(), {c: Column(c, sdtype=k, role=r, is_primary_key=r == Role.PRIMARY_KEY) for c, k, r in columns}, columns[0][0]) for t, columns in kinds.items()}
+    made = synthesize.synthesize(Analysis(metas, [edge]), tables, 1.0, seed=7, method="hma")
+    children, _ = ranking.stored(made["c"])
+    parents, _ = ranking.stored(made["p"])
+    met = children.join(parents, "customer_id")
+    often = children.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"))
+    known = tables["c"].groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")).select("n").distinct()
+    number = lambda df, e: df.agg(e).scalar()
+    one = spark.range(1).select(
+        (F.round(5 * number(met, F.corr("balance", "amount"))) / 5).alias("correlation"),
+        number(children.join(parents, "customer_id", "left_anti"), F.count(F.lit(1))).alias("n_orphans"),
+        (F.abs(number(children, F.count(F.lit(1))) - metas["c"].row_count) <= 0.1 * metas["c"].row_count).alias("as_many_rows"),
+        (F.round(10 * number(often, F.count(F.lit(1))) / number(parents, F.count(F.lit(1)))) / 10).alias("share_with_children"),
+        (number(often.join(known, "n", "left_anti"), F.count(F.lit(1))) == 0).alias("counts_occur"),
+    )
+    return one
+
+
+@query(
+    """SELECT (SELECT count(*) FROM part) AS n_rows, 0::BIGINT AS n_other_brands, 0::BIGINT AS n_other_types, 0::BIGINT AS n_out_of_range, true AS medians_near, true AS brands_as_often"""
+)
+def copula_properties(spark, sf_dir):
+    """What a modelled table must have: values of its categories, numbers within their range and about the median, the most frequent brand about as often."""
+    made, _ = ranking.stored(copula_sample(spark, sf_dir))
+    part = raw(spark, sf_dir, "part")
+    count = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    other = lambda c: count(made.join(part.select(c).distinct(), c, "left_anti"))
+    low, high, middle, dev = part.agg(F.min("p_retailprice"), F.max("p_retailprice"), F.percentile("p_retailprice", 0.5), F.stddev("p_retailprice")).first()
+    n = part.count()
+    often = lambda df: df.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+    far = often(made).withColumnRenamed("n", "m").join(often(part), "p_brand").filter(F.abs(F.col("m") - F.col("n")) > 6 * F.sqrt(2 * F.col("n")) + 6)
+    out = made.filter((F.col("p_retailprice") < low - 0.01) | (F.col("p_retailprice") > high + 0.01))
+    median = made.agg(F.percentile("p_retailprice", 0.5)).scalar()
+    return spark.range(1).select(count(made).alias("n_rows"), other("p_brand").alias("n_other_brands"), other("p_type").alias("n_other_types"), count(out).alias("n_out_of_range"), (F.abs(median - middle) <= F.lit(6 * 1.26 * dev / n**0.5 + 0.02 * dev)).alias("medians_near"), (count(far) == 0).alias("brands_as_often"))
+
+
+@query("SELECT greatest(1, CAST(trunc(count(*) * 0.5::DOUBLE) AS BIGINT)) AS n_rows, greatest(1, CAST(trunc(count(*) * 0.5::DOUBLE) AS BIGINT)) AS n_keys, 0::BIGINT AS n_null_references, true AS dates_within, count(DISTINCT o_orderstatus) >= 1 AS labels_are_new FROM orders")
+def per_table_properties(spark, sf_dir):
+    """What a table modelled on its own must have: as many rows and keys as asked for, references, dates of the source's range, relabelled dimensions."""
+    made, _ = ranking.stored(per_table_sample(spark, sf_dir))
+    orders = raw(spark, sf_dir, "orders")
+    low, high = (orders.agg(f("o_orderdate")).scalar() for f in (F.min, F.max))
+    old = made.join(orders.select("o_orderstatus").distinct(), "o_orderstatus", "left_anti").agg(F.count(F.lit(1))).scalar()
+    n = made.agg(F.count(F.lit(1))).scalar()
+    one = lambda e: made.agg(e).scalar()
+    return spark.range(1).select(n.alias("n_rows"), one(F.count_distinct("order_id")).alias("n_keys"), one(F.count_if(F.col("customer_id").isNull())).alias("n_null_references"), ((one(F.min("order_date")) >= low) & (one(F.max("order_date")) <= high)).alias("dates_within"), (old == n).alias("labels_are_new"))
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT c_custkey) AS n_keys, 0::BIGINT AS n_null, 0::BIGINT AS n_from_source, true AS many_names FROM customer")
+def text_fill_properties(spark, sf_dir):
+    """What made-up text must be: one for every row, none of the source, many of them."""
+    made = text_fill(spark, sf_dir)
+    real = raw(spark, sf_dir, "customer").select(F.col("c_name").alias("customer_name")).distinct()
+    one = lambda df, e: df.agg(e).scalar()
+    return spark.range(1).select(one(made, F.count(F.lit(1))).alias("n_rows"), one(made, F.count_distinct("customer_id")).alias("n_keys"), one(made, F.count_if(F.col("customer_name").isNull())).alias("n_null"), one(made.join(real, "customer_name", "left_semi"), F.count(F.lit(1))).alias("n_from_source"), (one(made, F.count_distinct("customer_name")) >= 50).alias("many_names"))

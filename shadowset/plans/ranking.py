@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, and its path: what several aggregates read is made once."""
+    path = f"{shared_dir(df.sparkSession)}/shadowset/{df.sparkSession.sparkContext.applicationId}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def with_rank(df: DataFrame, order: list, name: str) -> DataFrame:
     """df with a gapless rank from 0 by order: ranges are sorted on their own, and each begins where the ranges before it end."""
     ranged = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from shadowset.plans.catalog import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = ("hma_sample", "per_table_sample", "validation_report")
+SLOW = ("hma_sample", "per_table_sample", "validation_report", "copula_sample", "text_fill")
 
 
 @pytest.fixture(scope="module")
