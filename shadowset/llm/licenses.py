@@ -9,10 +9,12 @@ on licences of no family, that were not trained on, so that a probability says h
 *Keys.* N-grams without a key word (``license``, ``gnu``, ``cc``, ...) are trained under the constraint that they never speak more
 for a family than for "unknown". So a paragraph without any key is unknown for certain and need not be scored.
 
-*Scanning* is SQL expressions on the row at hand. Paragraphs are a text's lines, cut at sentence ends, however long they are.
+*Scanning* is SQL expressions on the row at hand. A line of WRAPPED characters and more that does not end a sentence goes on in the
+next one, without the marks of a comment, until a blank line; the lines so joined are cut at sentence ends, however long they are.
 N-gram weights are summed per class, softmax gives probabilities. A family with at least ``least`` probability is confirmed by
-comparing the paragraph's n-grams with the family's texts: the largest share of a text's (or, for a shorter paragraph, the
-paragraph's) n-grams must reach ``alike``. What is not confirmed is unknown.
+comparing the paragraph's n-grams with the family's paragraphs and with the sentences that notices name it in (a bare name confirms
+nothing): the largest share of a text's (or, for a shorter paragraph, the paragraph's) n-grams, LEAST at least, must reach
+``alike``, and the paragraph must not say ``not licensed`` or the like where the text does not. What is not confirmed is unknown.
 
 Defined results: null, empty and notice-free texts have no findings; every input row gives one row, repeated rows included;
 a null doc_id stays null; extra columns are ignored; long texts are scanned whole; paragraphs that repeat are findings of
@@ -37,6 +39,11 @@ CLASSES = (*sorted(PARAGRAPHS), "unknown")
 WORD = r"[A-Za-z0-9][A-Za-z0-9.+]*[A-Za-z0-9]|[A-Za-z0-9]"
 SENTENCE = r"(?<=[.!?])\s+"
 SMALL = 0.02
+WRAPPED, LEAST = 40, 5
+#: A line that goes on in the next one (each line is looked at once, at its begin or where the one before it was joined to it).
+UNWRAP = rf"(?m)(?:^|\G)([^\r\n]{{{WRAPPED},}}+)(?<![.!?:;])(?:\r\n|\r|\n)[ \t]*(?:[#*/;%>-]+[ \t]+)?(?=\S)"
+#: Pairs of words by which a paragraph says that something is not so licensed.
+DENIED = "^(not|never|nor|longer) (licensed|licenced|released|distributed|available|covered|governed|subject|under|shared|published)$"
 
 
 def _keys() -> str:
@@ -58,10 +65,15 @@ def grams(text: str) -> list[str]:
 
 
 def templates() -> dict[str, list[str]]:
-    """The texts of each family that paragraphs are compared with."""
+    """The texts of each family: paragraphs, and the sentences of notices with its names."""
     return {k: [*PARAGRAPHS[k], *(f.format(n) for n in NAMES.get(k, ()) for f in FRAMES)] for k in PARAGRAPHS}
 
 
+def compared() -> dict[str, list[str]]:
+    """The texts of each family that paragraphs are compared with: all but bare names."""
+    return {k: [t for t in texts if t not in NAMES.get(k, ())] for k, texts in templates().items()}
+
+
 def _has_key(gram: str) -> bool:
     return bool(re.search(GATE, gram))
 
@@ -132,7 +144,7 @@ def _grams(text: Column) -> Column:
 
 
 def _paragraphs(text: Column) -> Column:
-    lines = F.filter(F.split(text, r"[\r\n]+"), lambda x: x.rlike(GATE))
+    lines = F.filter(F.split(F.regexp_replace(text, UNWRAP, "$1 "), r"[\r\n]+"), lambda x: x.rlike(GATE))
     return F.filter(F.flatten(F.transform(lines, lambda x: F.split(x, SENTENCE))), lambda x: x.rlike(GATE))
 
 
@@ -140,7 +152,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", least: float = 0.5, alike
     """docs with ``findings``: array<struct<family, probability, similarity, confirmed, paragraph>>, one for each scored paragraph, in order."""
     weights, bias = model()
     table = F.from_json(F.lit(json.dumps(weights)), "map<string,array<double>>")
-    notices = F.from_json(F.lit(json.dumps({k: [sorted(set(grams(t))) for t in v] for k, v in templates().items()})), "map<string,array<array<string>>>")
+    notices = F.from_json(F.lit(json.dumps({k: [sorted(set(grams(t))) for t in v] for k, v in compared().items()})), "map<string,array<array<string>>>")
     names = F.array(*map(F.lit, CLASSES))
 
     def scores(g: Column) -> Column:
@@ -158,7 +170,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", least: float = 0.5, alike
         top = F.array_max(z)
         family = F.element_at(names, F.array_position(z, top).cast("int"))
         probability = 1 / F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
-        share = lambda n: F.size(F.array_intersect(n, x["grams"])) / F.greatest(F.least(F.size(n), F.size(x["grams"])), F.lit(1))
+        denied = lambda n: F.exists(x["grams"], lambda g: g.rlike(DENIED) & ~F.array_contains(n, g))
+        share = lambda n: F.when(denied(n), 0.0).otherwise(F.size(F.array_intersect(n, x["grams"])) / F.greatest(F.least(F.size(n), F.size(x["grams"])), F.lit(LEAST)))
         similar = F.when((family != "unknown") & (probability >= least), F.array_max(F.transform(F.try_element_at(notices, family), share))).otherwise(0.0)
         return F.struct(family.alias("family"), probability.alias("probability"), similar.alias("similarity"), ((family != "unknown") & (probability >= least) & (similar >= alike)).alias("confirmed"), x["paragraph"].alias("paragraph"))
 

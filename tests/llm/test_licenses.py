@@ -39,8 +39,14 @@ def chances(text):
 
 def plain(text, least=0.5, alike=0.6):
     """All findings of a family, over every sentence of every line, with nothing left out beforehand."""
-    out = []
-    for line in re.split("[\r\n]+", text or ""):
+    out, joined = [], []
+    for line in (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+        bare = re.sub(r"^[ \t]*([#*/;%>-]+[ \t]+)?", "", line)
+        if joined and joined[-1][1] and bare and not bare[0].isspace():
+            joined[-1] = (joined[-1][0] + " " + bare, len(bare) >= 40 and bare[-1] not in ".!?:;")
+        else:
+            joined.append((line, len(line) >= 40 and line[-1] not in ".!?:;"))
+    for line, _ in joined:
         for sentence in re.split(r"(?<=[.!?])\s+", line):
             p = chances(sentence)
             family = max(sorted(p), key=p.get)
@@ -48,7 +54,9 @@ def plain(text, least=0.5, alike=0.6):
                 continue
             own = features(sentence)
             texts = [*licence_texts.PARAGRAPHS[family], *(f.replace("{}", n) for n in licence_texts.NAMES.get(family, ()) for f in licence_texts.FRAMES)]
-            alikes = [len(own & features(t)) / min(len(own), len(features(t))) for t in texts]
+            texts = [t for t in texts if t not in licence_texts.NAMES.get(family, ())]
+            denied = {g for g in own if re.search(licenses.DENIED, g)}
+            alikes = [len(own & features(t)) / max(5, min(len(own), len(features(t)))) if denied <= features(t) else 0 for t in texts]
             out.append((family, round(p[family], 6), bool(p[family] >= least and max(alikes) >= alike)))
     return out
 
@@ -74,6 +82,45 @@ def test_same_as_plain_version(spark):
         assert len(got[i]) == len(want) and all(a[0] == b[0] and math.isclose(a[1], b[1], abs_tol=2e-6) and a[2] == b[2] for a, b in zip(got[i], want, strict=True)), t
 
 
+def wrapped(text, mark="", width=68):
+    import textwrap
+
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// "])
+def test_wrapped_notices_are_found_whole(spark, mark):
+    texts = [(k, t) for k, v in licence_texts.PARAGRAPHS.items() for t in v]
+    rows = [(i, f"int x;\n\n{wrapped(t, mark)}\n\nint y;") for i, (_, t) in enumerate(texts)]
+    got = {r.doc_id: r for r in licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    one = {r.doc_id: r for r in licenses.license_report(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()}
+    for i, (k, _) in enumerate(texts):
+        assert (got[i].families, got[i].n_confirmed) == (one[i].families, one[i].n_confirmed) and k in got[i].families.split(","), texts[i]
+
+
+OTHER_TEXTS = [
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+]
+
+
+@pytest.mark.parametrize("text", ["The MIT campus is near the river.", "The GPL does not apply here.", "This is not licensed under the MIT License.", "It is no longer available under the GPL.", *OTHER_TEXTS[2:], *map(wrapped, OTHER_TEXTS)])
+def test_what_grants_nothing_of_a_family_is_not_confirmed(spark, text):
+    (r,) = licenses.license_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert r.families == "", r
+
+
+def test_long_lines_and_many_lines_take_their_length(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "license " + "a" * 2_000_000), (2, ("the license of a line that is longer than forty characters\n") * 20_000), (3, "license\n" + " " * 1_000_000 + "x")], "doc_id long, text string")
+    start = time.time()
+    assert licenses.license_report(docs).count() == 3 and len(licenses.license_report(docs).collect()) == 3
+    assert time.time() - start < 120
+
+
 def test_paragraphs_without_a_key_are_unknown_for_certain():
     weights, bias = licenses.model()
     for k in range(len(bias) - 1):
