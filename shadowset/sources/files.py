@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shadowset.functions.names import distinct_columns, distinct_table, table_name
+from shadowset.sources import multiline
 from shadowset.sources.xlsx import Workbook
 
 log = logging.getLogger(__name__)
@@ -82,9 +83,12 @@ def _one_row_a_line(spark: SparkSession, uri: str) -> bool:
 def load_csv(spark: SparkSession, path: str | Path) -> dict[str, DataFrame]:
     """A CSV or TSV file as one table; numbers and booleans are inferred, dates stay text. None if it has no rows."""
     path = Path(path)
-    read = spark.read.option("header", True).option("sep", "\t" if path.suffix.lower() == ".tsv" else ",").option("escape", '"')
-    uri = path.resolve().as_uri()
-    read = read.option("multiLine", not _one_row_a_line(spark, uri))  # by lines many tasks share a file
+    sep, uri = "\t" if path.suffix.lower() == ".tsv" else ",", path.resolve().as_uri()
+    read = spark.read.option("header", True).option("sep", sep).option("escape", '"')
+    if not _one_row_a_line(spark, uri):  # by lines many tasks share a file
+        if (rows := multiline.rows(spark, uri, sep)) is not None:
+            return {table_name(path.stem): df} if (df := multiline.typed(rows)).limit(1).count() else {}
+        read = read.option("multiLine", True)  # a stray quote
     inferred = read.option("inferSchema", True).option("samplingRatio", 1.0).csv(uri)
     plain = {T.DateType, T.TimestampType, T.TimestampNTZType}
     schema = T.StructType([T.StructField(f.name, T.StringType() if type(f.dataType) in plain else T.LongType() if isinstance(f.dataType, T.IntegerType) else f.dataType) for f in inferred.schema.fields])

@@ -8,7 +8,7 @@ import pytest
 from shadowset.models import Analysis, Column, DateOrder, DimensionGroup, Relationship, Role, Table
 from shadowset.operators import config, review
 from shadowset.operators.validate import Check, Report
-from shadowset.sources import files, sinks, xlsx
+from shadowset.sources import files, multiline, sinks, xlsx
 
 
 def folder(path):
@@ -44,6 +44,35 @@ def test_rows_over_several_lines(spark, tmp_path, text, by_lines, rows):
     assert sorted(map(tuple, files.load_csv(spark, path)["t"].collect())) == rows
 
 
+@pytest.mark.parametrize("size", [40, 150, 1000, 1 << 20])
+def test_rows_over_several_lines_by_many_tasks(spark, tmp_path, size):
+    """Whatever the byte ranges, the rows are those that one task reads; values hold line ends, quotes, separators and blank lines."""
+    import csv
+    import random
+
+    rnd = random.Random(size)
+    word = lambda: rnd.choice(["plain", "a,b", 'say ""x""', "two\nlines", "\n\n", "x\n" * 60, "", "é😀\n,\"\n", "7"])
+    rows = [(i, word(), rnd.choice(["1.5", "2", ""]), rnd.choice(["true", "false"]), word()) for i in range(150)]
+    path = tmp_path / "many.csv"
+    with path.open("w", newline="") as f:
+        csv.writer(f, lineterminator="\n").writerows([("id", "t", "v", "ok", "last\nname"), *rows])
+    keys = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        lines = multiline.logical_rows(spark, path.as_uri())
+        assert lines.select("block").distinct().count() > (1 if size < 2000 else 0)
+        got = files.load_csv(spark, path)["many"]
+        assert got.dtypes == [("id", "bigint"), ("t", "string"), ("v", "double"), ("ok", "boolean"), ("last\nname", "string")]
+        plain = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path.as_uri())
+        text = lambda df: sorted(str([None if v is None else str(v) for v in r]) for r in df.select("id", "t", "last\nname").collect())
+        assert text(got) == text(plain) and got.count() == len(rows)
+        assert got.agg({"v": "sum"}).first()[0] == sum(float(r[2] or 0) for r in rows)
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+
+
 def test_discovery_limits(tmp_path):
     with pytest.raises(FileNotFoundError):
         files.discover(tmp_path / "none")
