@@ -317,3 +317,16 @@ def test_moments_are_those_of_numpy(spark):
             both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
             assert abs(got[i, j] - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 1e-8
     assert (copula.correlations(*copula._moments(df.limit(1), 3)) == np.eye(3)).all()
+
+
+def test_previews_draw_from_all_values(spark):
+    """A chi-square test over 5,000 distinct values, drawn as often as they occur and evenly."""
+    df = spark.range(20_000).select(F.when(F.col("id") < 15_000, F.col("id") % 2500).otherwise(2500 + F.col("id") % 2500).alias("v"))
+    for distinct in (False, True):
+        got = np.bincount(preview.resampled(df, "v", 50_000, 3, "s", distinct), minlength=5000)
+        want = 50_000 * (np.full(5000, 1 / 5000) if distinct else np.r_[np.full(2500, 6 / 20_000), np.full(2500, 2 / 20_000)])
+        chi = ((got - want) ** 2 / want).sum()
+        assert got.sum() == 50_000 and (got > 0).sum() > 4900 and abs(chi - 4999) < 5 * math.sqrt(2 * 4999)
+    assert preview.resampled(df.limit(0), "v", 5, 3, "s") == [] and set(preview.resampled(df.limit(1), "v", 5, 3, "s")) == {0}
+    one = preview.resampled(df, "v", 40, 3, "t", True)
+    assert one == preview.resampled(df.repartition(7), "v", 40, 3, "t", True) and len(set(one)) > 30
