@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from shadowset.functions import random as R
 from shadowset.models import Analysis
-from shadowset.plans.ranking import with_fills, with_prefix, with_rank
+from shadowset.plans.ranking import cut, with_fills, with_prefixes, with_rank
 
 #: Cells of [0, 1) at least, and at most for each span.
 LEAST_CELLS = 1 << 12
@@ -76,13 +76,14 @@ def alias_cells(weighted: DataFrame) -> tuple[DataFrame, int]:
     sequences are merged and the nearest neighbours carried along, range by range; no value is joined with all that it fills.
     Weights are whole numbers, times the number of cells decimals of 38 digits, so the table does not depend on the partitions.
     """
+    weighted = cut(weighted)
     total, n = weighted.agg(F.sum("w"), F.count(F.lit(1))).first()
     whole = "decimal(38,0)"
     mean = F.lit(total or 0).cast(whole)
     grown = weighted.withColumn("_w", (F.col("w").cast("decimal(20,0)") * F.lit(n).cast("decimal(18,0)")).cast(whole))
     none = F.lit(0).cast(whole)
     grown = grown.withColumn("_d", F.greatest((mean - F.col("_w")).cast(whole), none)).withColumn("_x", F.greatest((F.col("_w") - mean).cast(whole), none))
-    summed = with_prefix(with_prefix(grown, "i", "_d", "_db"), "i", "_x", "_xb")
+    summed = with_prefixes(grown, "i", {"_db": "_d", "_xb": "_x"})
     light, heavy = F.col("_d") > 0, F.col("_x") > 0
     at = F.when(heavy, F.col("_xb") + F.col("_x")).otherwise(F.col("_db")).cast(whole)
     merged = summed.withColumn("_at", at).withColumn("_h", heavy)
