@@ -382,7 +382,7 @@ def name_sanitize(spark, sf_dir):
     return raw(spark, sf_dir, "pages").select("page_id", N.table_name_column(F.col("url")).alias("as_table"), N.column_name_column(F.col("url")).alias("as_column"))
 
 
-_EVENT_EDGES = "SELECT DISTINCT event_type AS parent_table, CAST(user_id % 7 AS {s}) AS parent_column, CASE WHEN user_id % 2 = 0 THEN event_type ELSE 'child' END AS child_table, CAST(user_id % 3 AS {s}) AS child_column FROM {t} WHERE user_id % {m} <> 0"
+_EVENT_EDGES = "SELECT DISTINCT CASE WHEN user_id % {m} = 0 THEN 'other' ELSE event_type END AS parent_table, CAST(user_id % 7 AS {s}) AS parent_column, CASE WHEN user_id % 2 = 0 THEN event_type ELSE 'child' END AS child_table, CAST(user_id % 3 AS {s}) AS child_column FROM {t}"
 
 
 @query("SELECT *, 'added' AS change FROM ((SELECT * FROM (" + _EVENT_EDGES.format(t="events", m=2, s="VARCHAR") + ") WHERE parent_table <> child_table) EXCEPT (" + _EVENT_EDGES.format(t="events", m=3, s="VARCHAR") + ")) UNION ALL SELECT *, 'removed' FROM ((" + _EVENT_EDGES.format(t="events", m=3, s="VARCHAR") + ") EXCEPT (" + _EVENT_EDGES.format(t="events", m=2, s="VARCHAR") + "))")
