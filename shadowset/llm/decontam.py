@@ -104,7 +104,7 @@ def build_index(docs: DataFrame, gap: int = 64) -> tuple[DataFrame, str]:
 
         return each
 
-    return stored(arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, INDEX), "postings")
+    return stored(arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, INDEX), "postings", large_rows=True)
 
 
 class Shard:

@@ -1,7 +1,7 @@
 """Importance resampling towards a target: hashed n-gram counts as compressed sparse rows, gains by bucket, a draw by Gumbel keys.
 
 1. *Count matrix.* Every task counts its documents' runs of 1 to 3 words by bucket (CRC-32 modulo BUCKETS) and stores the counts
-   as CSR blocks, one for an Arrow batch: row pointers, bucket steps within a row, counts. The CRC of a run follows from those of
+   as CSR blocks of about TOGETHER words: row pointers, bucket steps within a row, counts. The CRC of a run follows from those of
    its words: appending bytes is linear over bits, so tables by length move a whole array of them at once.
 2. *Distributions.* Column sums of the blocks, added up in each task and then by bucket, give the corpus' counts; the target's
    text goes the same way. BUCKETS numbers of each reach the driver, whatever the tables' size.
@@ -107,35 +107,34 @@ def count_matrix(docs: DataFrame, row: str = "row", buckets: int = BUCKETS, gram
         grams = Grams(buckets, gram)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n_words, indptr, steps, counts = [], [np.zeros(1, np.int64)], [], []
+            ends, n_words, blocks = [0], [], []
             for group in _gathered(words(t.as_py()) for t in batch.column("text")):
+                ends.append(ends[-1] + len(group))
                 n_words += map(len, group)
                 keys, n = grams.keys(group)
                 doc, bucket = np.divmod(keys, buckets)
-                ends = np.searchsorted(doc, np.arange(1, len(group) + 1))
+                indptr = np.searchsorted(doc, np.arange(len(group) + 1))
                 step = np.diff(bucket, prepend=0)
-                first = np.concatenate(([0], ends[:-1]))[np.diff(ends, prepend=0) > 0]
+                first = indptr[:-1][np.diff(indptr) > 0]
                 step[first] = bucket[first]
-                indptr.append(indptr[-1][-1] + ends)
-                steps.append(step.astype(np.uint16 if buckets <= 1 << 16 else np.uint32))
-                counts.append(n.astype(np.int32))
+                blocks.append((indptr.astype(np.int64).tobytes(), step.astype(np.uint16 if buckets <= 1 << 16 else np.uint32).tobytes(), n.astype(np.int32).tobytes()))
             n_words = np.array(n_words, np.int64)
             n_features = sum(np.maximum(n_words - k, 0) for k in range(gram))
-            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            dealt = lambda values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
             return pa.RecordBatch.from_arrays(
                 [
-                    one(batch.column(row).cast(pa.int64())),
-                    one(batch.column("doc_id").cast(pa.int64())),
-                    one(pa.array(n_words)),
-                    one(pa.array(n_features)),
-                    *(pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in (indptr, steps, counts)),
+                    dealt(batch.column(row).cast(pa.int64())),
+                    dealt(batch.column("doc_id").cast(pa.int64())),
+                    dealt(pa.array(n_words)),
+                    dealt(pa.array(n_features)),
+                    *(pa.array(x, pa.binary()) for x in zip(*blocks, strict=True)),
                 ],
                 names=[c.split()[0] for c in BLOCK.split(", ")],
             )
 
         return each
 
-    return stored(arrow_map(docs.select(F.col(f"`{row}`").alias(row), F.col("doc_id").cast("long").alias("doc_id"), "text"), make, BLOCK), "csr")
+    return stored(arrow_map(docs.select(F.col(f"`{row}`").alias(row), F.col("doc_id").cast("long").alias("doc_id"), "text"), make, BLOCK), "csr", large_rows=True)
 
 
 def _opened(batch: pa.RecordBatch, i: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

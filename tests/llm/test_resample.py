@@ -1,3 +1,4 @@
+import glob
 import hashlib
 import math
 import re
@@ -5,8 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from shadowset.llm import resample
+from shadowset.llm.common import GROUP_ROWS
 
 
 def runs(text, most=3):
@@ -88,3 +92,15 @@ def test_more_likely_texts_weigh_more(spark):
     aim = spark.createDataFrame([("rare target phrase " * 5,)], "text string")
     got = {r.doc_id: r.weight for r in resample.importance_report(spark.createDataFrame(docs, "doc_id long, text string"), aim).collect()}
     assert got[99] > max(v for k, v in got.items() if k != 99)
+
+
+def test_blocks_and_row_groups_are_bounded(spark):
+    """A block has about TOGETHER words, and a row group few blocks, however long a task's input is."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(400)), lambda k: F.substring(F.md5(F.concat_ws("-", "id", k).cast("binary")), 1, 6))
+    docs = spark.range(1200).coalesce(1).select(F.col("id").alias("row"), F.col("id").alias("doc_id"), F.concat_ws(" ", words).alias("text"))
+    blocks, path = resample.count_matrix(docs)
+    sizes = [sum(r.n_words) for r in blocks.select("n_words").collect()]
+    assert sum(sizes) == 1200 * 400 and max(sizes) < resample.TOGETHER + 400
+    files = glob.glob(path.removeprefix("file://") + "/*.parquet")
+    groups = [m.row_group(i) for m in (pq.ParquetFile(f).metadata for f in files) for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == len(sizes) > GROUP_ROWS and max(g.num_rows for g in groups) <= GROUP_ROWS
