@@ -158,6 +158,8 @@ def fit(df: DataFrame, orders: list[DateOrder] = (), groups: list[DimensionGroup
         elif known:
             m.spans, m.few, m.n = _spans(work, c, known, m.exact)
     scored = _scored(work, columns, marginals, [h for h, c in hidden.items() if c])
+    if given is not None:
+        scored = cut(scored)  # read for the columns' own correlations and for those with the parent's
     model = Model(columns, marginals, np.eye(len(columns)), orders, composites, schema, scored.drop("_on") if key else None)
     own = correlations(*_moments(scored, len(columns)))
     if given is None:
@@ -181,35 +183,40 @@ def _spans(work: DataFrame, c: str, total: int, by_value: bool) -> tuple[DataFra
     return sums, None, sums.count()
 
 
-def _before(q: Column, holds) -> Column:
-    """How many of a sorted array's first values hold, by halving."""
-    top = 1 << (QUANTILES - 1).bit_length() - 1
-    steps = F.array(*(F.lit(top >> i) for i in range(top.bit_length())))
-    return F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= QUANTILES) & holds(F.element_at(q, F.least(n + s, F.lit(QUANTILES)))), n + s).otherwise(n))
-
-
 def _normal_score(u: Column) -> Column:
     return normal_quantile(F.greatest(F.least(u, F.lit(1 - 1e-4)), F.lit(1e-4)))
 
 
 def _scored(work: DataFrame, columns: list[str], marginals: dict[str, Marginal], keep: list[str] = ()) -> DataFrame:
     """s0, s1, ...: the normal score of each column's value, of its middle rank. keep: further columns of work."""
-    scores = []
-    ranks = F.array(*(F.lit(NormalDist().inv_cdf(max(1e-4, min(1 - 1e-4, r / (2 * QUANTILES))))) for r in range(2 * QUANTILES + 1)))
+    values, sorted_ = [], {}
     for i, c in enumerate(columns):
         m, col = marginals[c], F.col(f"`{c}`")
         if m.spans is not None:
             middle = m.spans.select(F.col("v").alias(f"_v{i}"), _normal_score((F.col("lo") + F.col("hi")) / 2).alias(f"s{i}"))
             work = work.join(F.broadcast(middle) if m.few else middle, col == F.col(f"_v{i}"), "left")
-            scores.append(F.col(f"s{i}"))
+            values.append(F.col(f"s{i}"))
         elif m.quantiles:
-            v, q = F.col(f"_x{i}"), F.array(*map(F.lit, m.quantiles))
-            work = work.withColumn(f"_x{i}", _number(col, m.type))
-            rank = _before(q, lambda x, v=v: x < v) + _before(q, lambda x, v=v: x <= v)
-            scores.append(F.when(v.isNotNull(), F.element_at(ranks, rank + 1)).alias(f"s{i}"))
+            sorted_[i] = np.array(m.quantiles)
+            values.append(_number(col, m.type).alias(f"s{i}"))
         else:
-            scores.append(F.lit(None).cast("double").alias(f"s{i}"))
-    return work.select(*keep, *scores)
+            values.append(F.lit(None).cast("double").alias(f"s{i}"))
+    ready = work.select(*keep, *values)
+    if not sorted_:
+        return ready
+    ranks = np.array([NormalDist().inv_cdf(max(1e-4, min(1 - 1e-4, r / (2 * QUANTILES)))) for r in range(2 * QUANTILES + 1)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = list(batch.columns)
+            for i, q in sorted_.items():
+                at = len(keep) + i
+                x = arrays[at].fill_null(0.0).to_numpy(zero_copy_only=False)
+                rank = np.searchsorted(q, x, "left") + np.searchsorted(q, x, "right")
+                arrays[at] = pa.array(ranks[rank], mask=arrays[at].is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+
+    return ready.mapInArrow(run, ready.schema)
 
 
 def _summed(df: DataFrame, make: Callable[[pa.RecordBatch], list[np.ndarray]], shape: tuple[int, int], parts: int) -> list[np.ndarray]:
@@ -283,7 +290,10 @@ def _condition(model: Model, own: np.ndarray, scored: DataFrame, given: DataFram
     sums = [x for i in range(k) for x in (F.sum(f"s{i}").alias(f"t{i}"), F.sum(F.col(f"s{i}") * F.col(f"s{i}")).alias(f"q{i}"), F.count(f"s{i}").alias(f"n{i}"))]
     families = scored.filter(F.col("_on").isNotNull()).groupBy("_on").agg(F.count(F.lit(1)).alias("n"), *sums)
     parents = given.filter(F.col("_key").isNotNull()).groupBy("_key").agg(*(F.avg(c).alias(f"g{i}") for i, c in enumerate(names)))
-    met = families.join(parents, F.col("_on") == F.col("_key"))
+    if not k or not p:
+        model.factor = factor(own)
+        return
+    met = cut(families.join(parents, F.col("_on") == F.col("_key")))
 
     def cross(batch: pa.RecordBatch) -> list[np.ndarray]:
         t, _ = _values(batch, [f"t{i}" for i in range(k)])
@@ -297,9 +307,6 @@ def _condition(model: Model, own: np.ndarray, scored: DataFrame, given: DataFram
         g, known = _values(batch, [f"g{i}" for i in range(p)])
         return [(n * known).T @ known, (n * g).T @ known, (n * g * g).T @ known, (n * g).T @ g]
 
-    if not k or not p:
-        model.factor = factor(own)
-        return
     between = correlations(*_summed(met, cross, (k, p), 6))
     n, one, two, both = _summed(met, among, (p, p), 4)
     theirs = correlations(n, one, two, both)

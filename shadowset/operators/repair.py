@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shadowset.models import Analysis, DateOrder, Role
-from shadowset.plans.ranking import with_rank
+from shadowset.plans.ranking import cut, with_rank
 
 log = logging.getLogger(__name__)
 
@@ -67,8 +67,10 @@ def relabel_dimensions(tables: dict[str, DataFrame], analysis: Analysis, row: st
     out = dict(tables)
     for t, df in tables.items():
         columns = df.columns
-        for c in analysis.columns_with(t, Role.DIMENSION) if t in analysis.tables else ():
-            if c in df.columns:
-                df = relabel(df, c, row)
+        found = [c for c in (analysis.columns_with(t, Role.DIMENSION) if t in analysis.tables else ()) if c in columns]
+        if found:
+            df = cut(df)  # read for every dimension and for the result
+        for c in found:
+            df = relabel(df, c, row)
         out[t] = df.select(*(f"`{c}`" for c in columns))
     return out

@@ -62,7 +62,8 @@ def drawn_values(df: DataFrame, u: str, spans: DataFrame | list[tuple], n: int,
         edges = spark.range(cells).select(F.col("id").alias("_b"), (F.col("id") / cells).alias("_at"), F.lit(None).cast(begun.schema["_s"].dataType).alias("_s"))
         filled = with_fills(begun.unionByName(edges).withColumn("_e", F.col("_s").isNull()), ["_b", "_at", "_e"], {"_in": (F.col("_s"), False)})
         values = filled.select("_b", F.col("_in.v").alias(name), F.col("_in.lo").alias("_lo"), F.col("_in.hi").alias("_hi")).filter("_lo is not null").dropDuplicates(["_b", "_lo"])
-    asked = df.withColumn(u, F.greatest(F.least(F.col(u), F.lit(1 - 2.0**-53)), F.lit(0.0))).withColumn("_b", cell(F.col(u)))
+    # a key that can be null is filtered below the join, where u's whole expression would be written out once for every use
+    asked = df.withColumn(u, F.greatest(F.least(F.col(u), F.lit(1 - 2.0**-53)), F.lit(0.0))).withColumn("_b", F.coalesce(cell(F.col(u)), F.lit(0).cast("long")))
     met = asked.join(values, "_b").filter(f"{u} >= _lo and {u} < _hi")
     return (met.withColumn(middle, (F.col("_lo") + F.col("_hi")) / 2) if middle else met).drop("_b", "_lo", "_hi")
 

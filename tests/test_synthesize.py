@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shadowset.functions import random as R
 from shadowset.functions.fakes import LOCALES, PROVIDERS, Fakes, provider_for
@@ -330,3 +331,34 @@ def test_previews_draw_from_all_values(spark):
     assert preview.resampled(df.limit(0), "v", 5, 3, "s") == [] and set(preview.resampled(df.limit(1), "v", 5, 3, "s")) == {0}
     one = preview.resampled(df, "v", 40, 3, "t", True)
     assert one == preview.resampled(df.repartition(7), "v", 40, 3, "t", True) and len(set(one)) > 30
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_draws_are_not_filtered_by_their_own_expressions(spark):
+    """A cell that can be null would be filtered below the join, its number's whole expression written out for every use."""
+    u = copula.normal_cdf(R.normal(F.col("id"), 7, "s"))
+    got = stitch.drawn_values(spark.range(100).select("id", u.alias("u")), "u", [("a", 0.0, 0.25), ("b", 0.25, 1.0)], 2, "v", T.StringType())
+    assert not any("xxhash64" in line for line in _plan(got).split("\n") if "Filter" in line)
+    assert got.count() == 100 and {r.v for r in got.collect()} == {"a", "b"}
+
+
+def test_tables_are_made_once_for_all_their_labels(spark):
+    columns = {c: Column(c, role=Role.DIMENSION) for c in "ab"}
+    df = spark.range(50).select(F.col("id").alias("_row"), (F.col("id") % 3).cast("string").alias("a"), (F.col("id") % 5).cast("string").alias("b"))
+    out = repair.relabel_dimensions({"t": df}, Analysis({"t": Table("t", "", 50, columns)}), "_row")["t"]
+    assert "Range" not in _plan(out)
+    assert sorted((r["_row"], r.a, r.b) for r in out.collect()) == [(i, f"a_{i % 3}", f"b_{i % 5}") for i in range(50)]
+
+
+def test_scores_of_numbers_are_those_of_their_middle_ranks(spark):
+    from statistics import NormalDist
+
+    q = [float(min(j, 60)) for j in range(copula.QUANTILES)]
+    rows = [None, float("nan"), -1.0, 0.0, 0.5, 60.0, 61.0]
+    m = copula.Marginal(T.DoubleType(), quantiles=q)
+    got = [r.s0 for r in copula._scored(spark.createDataFrame([(x,) for x in rows], "x double").coalesce(1), ["x"], {"x": m}).collect()]
+    rank = lambda x: 2 * len(q) if math.isnan(x) else sum(v < x for v in q) + sum(v <= x for v in q)
+    assert got == [None if x is None else NormalDist().inv_cdf(max(1e-4, min(1 - 1e-4, rank(x) / (2 * len(q))))) for x in rows]
