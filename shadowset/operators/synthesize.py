@@ -22,11 +22,13 @@ from shadowset.plans.ranking import cut, with_rank
 log = logging.getLogger(__name__)
 ROW, SCORES, GIVEN = "_row", "_scores", "_given"
 MULTI_TABLE_LIMIT = 10
-MAX_ROWS, WARN_ROWS, SMALL_ROWS = 5_000_000, 1_000_000, 3
+WARN_ROWS, SMALL_ROWS = 1_000_000, 3
 
 
-def max_rows() -> int:
-    return int(os.environ.get("SHADOWSET_MAX_OUTPUT_ROWS", MAX_ROWS))
+def max_rows() -> int | None:
+    """As many rows as may be made, if SHADOWSET_MAX_OUTPUT_ROWS says so; rows are made by tasks, so no other limit is needed."""
+    most = os.environ.get("SHADOWSET_MAX_OUTPUT_ROWS")
+    return int(most) if most else None
 
 
 def choose_method(analysis: Analysis, method: str = "auto") -> str:
@@ -38,9 +40,9 @@ def choose_method(analysis: Analysis, method: str = "auto") -> str:
 
 
 def guard_output(analysis: Analysis, scale: float, warn: Callable[[str], None]) -> int:
-    """The rows to come; too many are an error before any job starts."""
+    """The rows to come; more than allowed are an error before any job starts."""
     rows = sum(expected_rows(t.row_count, scale) for t in analysis.tables.values())
-    if rows > (most := max_rows()):
+    if (most := max_rows()) is not None and rows > most:
         raise ValueError(f"{rows} rows would be made, {most} are allowed (SHADOWSET_MAX_OUTPUT_ROWS)")
     if rows > WARN_ROWS:
         warn(f"{rows} rows will be made")

@@ -362,3 +362,12 @@ def test_scores_of_numbers_are_those_of_their_middle_ranks(spark):
     got = [r.s0 for r in copula._scored(spark.createDataFrame([(x,) for x in rows], "x double").coalesce(1), ["x"], {"x": m}).collect()]
     rank = lambda x: 2 * len(q) if math.isnan(x) else sum(v < x for v in q) + sum(v <= x for v in q)
     assert got == [None if x is None else NormalDist().inv_cdf(max(1e-4, min(1 - 1e-4, rank(x) / (2 * len(q))))) for x in rows]
+
+
+def test_large_outputs_are_made_unless_a_limit_is_set(monkeypatch):
+    a, said = Analysis({"t": Table("t", "", 9_900_000, {})}), []
+    monkeypatch.delenv("SHADOWSET_MAX_OUTPUT_ROWS", raising=False)
+    assert synthesize.guard_output(a, 1.0, said.append) == 9_900_000 and len(said) == 1
+    monkeypatch.setenv("SHADOWSET_MAX_OUTPUT_ROWS", "5000000")
+    with pytest.raises(ValueError):
+        synthesize.guard_output(a, 1.0, said.append)
